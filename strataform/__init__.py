@@ -1 +1,10 @@
-"""A PySpark-native analytics engine: relational, vector, text, hybrid and graph queries over DataFrames."""
+"""A PySpark-native analytics engine: relational, vector, text, hybrid and graph queries over DataFrames.
+
+Functions of this package travel to Python workers by value, so executors need no installed copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

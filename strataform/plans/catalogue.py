@@ -1,15 +1,568 @@
 """The queries of the engine and the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import chunks, search, vectors
+from ..operators.graphs import Graph, recursive_union
+from ..operators.tables import ForeignKey, Policy, Table, number_rows
+from ..sources import tables as T
+from ..streaming import streams
+from . import dialect
+from .relational import PAIRS
+
+_Q, _SQL = {}, {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        _Q[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Revenue, orders and distinct customers of each nation."""
+    o, c, n, li = (T.load(spark, sf_dir, t) for t in ("orders", "customer", "nation", "lineitem"))
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count_distinct("c_custkey").alias("customers"))
+
+
+_Q["flagship"] = flagship
+_SQL["flagship"] = "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(DISTINCT c_custkey) AS customers FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
+
+
+def _relational(text: str):
+    names = [t for t in T.TABLES if re.search(rf"\b{t}\b", text)]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        T.register(spark, sf_dir, names)
+        return spark.sql(text)
+
+    return run
+
+
+for _name, _pair in PAIRS.items():
+    _ours, _theirs = _pair if isinstance(_pair, tuple) else (_pair, _pair)
+    _Q[_name], _SQL[_name] = _relational(_ours), _theirs
+
+
+@query("param_query", "SELECT p_partkey FROM part WHERE p_size > 40 AND p_brand = 'Brand#11'")
+def _param(spark, d):
+    T.register(spark, d, ["part"])
+    return dialect.Query(spark).select("p_partkey").from_("part").where("p_size > ?", 40).where("p_brand = ?", "Brand#11").exec()
+
+
+# JSON, dialect
+
+
+@query("json_contains", "SELECT event_id, coalesce(json_extract_string(props, '$.k') = '7', false) AS has FROM events")
+def _json_contains(spark, d):
+    return T.load(spark, d, "events").select("event_id", C.json_contains("props", F.lit('{"k": 7}')).alias("has"))
+
+
+@query("json_contained_by", "SELECT event_id, coalesce(json_extract_string(props, '$.k') = '7', false) AS inside FROM events")
+def _json_contained(spark, d):
+    return T.load(spark, d, "events").select("event_id", C.json_contains(F.lit('{"k": 7, "x": 1}'), F.col("props")).alias("inside"))
+
+
+@query("json_keys", "SELECT event_id, coalesce(list_contains(json_keys(props), 'k'), false) AS has_k, coalesce(list_contains(json_keys(props), 'z') OR list_contains(json_keys(props), 'k'), false) AS any_of, coalesce(list_contains(json_keys(props), 'z') AND list_contains(json_keys(props), 'k'), false) AS all_of FROM events")
+def _json_keys(spark, d):
+    return T.load(spark, d, "events").select("event_id", C.json_has_key("props", "k").alias("has_k"), C.json_has_any("props", ["z", "k"]).alias("any_of"), C.json_has_all("props", ["z", "k"]).alias("all_of"))
+
+
+@query("dialect_operators", "SELECT event_id, json_extract_string(props, '$.k') AS k, power(2, 3) AS p, coalesce(NULL, event_type) AS t, event_type || '!' AS s, contains(lower(event_type), 'c') AS m FROM events")
+def _dialect(spark, d):
+    T.register(spark, d, ["events"])
+    return dialect.sql(spark, "SELECT event_id, props ->> 'k' AS k, 2 ** 3 AS p, NULL ?? event_type AS t, event_type ++ '!' AS s, event_type @@ 'c' AS m FROM events")
+
+
+# Vectors
+
+
+def _emb(spark, d):
+    return T.load(spark, d, "embeddings")
+
+
+_PAIR = "FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0) AS q FROM embeddings)"
+
+
+def _with_q(spark, d):
+    e = _emb(spark, d)
+    return e.crossJoin(F.broadcast(e.filter("vec_id = 0").select(F.col("embedding").alias("q"))))  # one row
+
+
+@query("vector_distances", f"SELECT vec_id, round(list_cosine_distance(e, q), 6) AS cosine, round(list_distance(e, q), 6) AS l2, round(list_inner_product(e, q), 6) AS ip, round(list_sum(list_transform(list_zip(e, q), lambda z: abs(z[1] - z[2]))), 6) AS l1, CAST(len(e) AS INT) AS dims {_PAIR}")
+def _distances(spark, d):
+    return _with_q(spark, d).select("vec_id", F.round(C.cosine_distance("embedding", "q"), 6).alias("cosine"), F.round(C.l2_distance("embedding", "q"), 6).alias("l2"), F.round(C.inner_product("embedding", "q"), 6).alias("ip"), F.round(C.l1_distance("embedding", "q"), 6).alias("l1"), F.size("embedding").alias("dims"))
+
+
+def _first(spark, d):
+    return [float(x) for x in _emb(spark, d).filter("vec_id = 0").first().embedding]
+
+
+@query("knn_exact", f"SELECT vec_id, round(list_cosine_distance(e, q), 6) AS distance {_PAIR} ORDER BY list_cosine_distance(e, q), vec_id LIMIT 10")
+def _knn(spark, d):
+    return vectors.knn(_emb(spark, d), _first(spark, d), 10).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("knn_filtered", "SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS distance FROM embeddings WHERE label = 1 ORDER BY list_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), vec_id LIMIT 10")
+def _knn_filtered(spark, d):
+    return vectors.knn(_emb(spark, d), _first(spark, d), 10, metric="euclidean", where="label = 1").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("knn_batch", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(e.v, q.v), e.vec_id) AS rank FROM e, e q WHERE q.vec_id % 50 = 0) WHERE rank <= 5")
+def _knn_batch(spark, d):
+    e = _emb(spark, d)
+    return vectors.knn_batch(e, e.filter("vec_id % 50 = 0"), 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("vec_normalize", "SELECT vec_id, round(list_sum(list_transform(e, lambda x: (x / n) * (x / n))), 6) AS unit, round(e[1] / n, 6) AS head FROM (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings))")
+def _normalize(spark, d):
+    u = _emb(spark, d).select("vec_id", C.normalize("embedding").alias("u"))
+    return u.select("vec_id", F.round(C.inner_product("u", "u"), 6).alias("unit"), F.round(F.col("u")[0], 6).alias("head"))
+
+
+@query("scalar_quant8", "WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings), b AS (SELECT min(x) AS lo, max(x) AS hi FROM e) SELECT vec_id, CAST(floor((x - lo) / (hi - lo) * 255 + 0.5) AS INT) AS code FROM e, b")
+def _quant(spark, d):
+    e = _emb(spark, d)
+    dims = 64
+    stats = e.agg(F.array(*(F.min(F.col("embedding")[i].cast("double")) for i in range(dims))).alias("lo"), F.array(*(F.max(F.col("embedding")[i].cast("double")) for i in range(dims))).alias("hi"))
+    return e.crossJoin(F.broadcast(stats)).select("vec_id", C.quantize("embedding", F.col("lo"), F.col("hi"))[0].alias("code"))
+
+
+@query("binary_hamming", f"SELECT vec_id, CAST(len(list_filter(list_zip(e, q), lambda z: (z[1] >= 0) <> (z[2] >= 0))) AS BIGINT) AS hamming {_PAIR}")
+def _hamming(spark, d):
+    return _with_q(spark, d).select("vec_id", C.hamming(C.binarize("embedding"), C.binarize("q")).alias("hamming"))
+
+
+@query("ivf_search")
+def _ivf(spark, d):
+    return vectors.IvfIndex(_emb(spark, d)).search(_first(spark, d), 10, probes=8).select("vec_id", "cell", "distance")
+
+
+@query("lsh_search")
+def _lsh(spark, d):
+    e = _emb(spark, d).withColumn("bucket", vectors.sign_buckets("embedding", 64, bits=4))
+    own = e.filter("vec_id = 0").select("bucket").first().bucket
+    return vectors.knn(e, _first(spark, d), 10, where=F.bit_count(F.conv("bucket", 2, 10).cast("int").bitwiseXOR(F.lit(int(own, 2)))) <= 2).select("vec_id", "bucket", "distance")
+
+
+@query("pq_search")
+def _pq(spark, d):
+    e = _emb(spark, d)
+    pq = vectors.ProductQuantizer(e)
+    return e.select("vec_id", pq.encode().alias("codes")).withColumn("distance", pq.distance("codes", _first(spark, d))).orderBy("distance", "vec_id").limit(10)
+
+
+# Text search
+
+_STOP = ", ".join(f"'{w}'" for w in C.STOP)
+_TOK = f"list_filter(regexp_extract_all(lower(text), '[\\p{{L}}_-]+'), lambda t: length(t) BETWEEN 2 AND 64 AND t NOT IN ({_STOP}))"
+_D = f"d AS (SELECT doc_id, {_TOK} AS t FROM documents)"
+
+
+def _docs(spark, d):
+    return T.load(spark, d, "documents")
+
+
+@query("tokenize_counts", f"WITH {_D} SELECT doc_id, CAST(len(t) AS BIGINT) AS n, CAST(len(list_distinct(t)) AS BIGINT) AS n_terms FROM d")
+def _tokenize(spark, d):
+    t = C.tokens("text")
+    return _docs(spark, d).select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"))
+
+
+def _ranking(form: str, terms: list[str], limit: int) -> str:
+    tf = ", ".join(f"CAST(len(list_filter(t, lambda x: x = '{w}')) AS DOUBLE) AS tf{i}" for i, w in enumerate(terms))
+    df = ", ".join(f"CAST(sum(CASE WHEN tf{i} > 0 THEN 1 ELSE 0 END) AS DOUBLE) AS df{i}" for i in range(len(terms)))
+    score = " + ".join(f"CASE WHEN tf{i} > 0 THEN {form.replace('TF', f'tf{i}').replace('DF', f'df{i}')} ELSE 0 END" for i in range(len(terms)))
+    some = " OR ".join(f"tf{i} > 0" for i in range(len(terms)))
+    return f"WITH {_D}, c AS (SELECT doc_id, CAST(len(t) AS DOUBLE) AS dl, {tf} FROM d), s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS a, {df} FROM c) SELECT doc_id, round({score}, 6) AS score FROM c, s WHERE {some} ORDER BY {score} DESC, doc_id LIMIT {limit}"
+
+
+_BM = "ln((n - DF + 0.5) / (DF + 0.5) + 1) * TF * 2.2 / (TF + 1.2 * (0.25 + 0.75 * dl / a))"
+
+
+@query("bm25", _ranking(_BM, ["mit", "license"], 50))
+def _bm25(spark, d):
+    return search.bm25(_docs(spark, d), "the MIT license", 50).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("tfidf", _ranking("TF * ln(n / DF)", ["apache", "version"], 50))
+def _tfidf(spark, d):
+    return search.tfidf(_docs(spark, d), "apache version", 50).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("fuzzy_levenshtein", f"WITH {_D}, v AS (SELECT DISTINCT unnest(t) AS term FROM d) SELECT term, levenshtein(term, 'license') AS distance FROM v WHERE abs(length(term) - 7) <= 2 AND levenshtein(term, 'license') <= 2")
+def _fuzzy(spark, d):
+    return search.fuzzy_terms(search.vocabulary(_docs(spark, d)), "license").select("term", "distance")
+
+
+@query("prefix_terms", f"WITH {_D} SELECT term, count(*) AS freq FROM (SELECT unnest(t) AS term FROM d) WHERE term LIKE 'lic%' GROUP BY term")
+def _prefix(spark, d):
+    return search.wildcard(search.vocabulary(_docs(spark, d)), "lic*")
+
+
+@query("wildcard_terms", f"WITH {_D} SELECT term, count(*) AS freq FROM (SELECT unnest(t) AS term FROM d) WHERE term LIKE '%cens_' GROUP BY term")
+def _wildcard(spark, d):
+    return search.wildcard(search.vocabulary(_docs(spark, d)), "*cens?")
+
+
+@query("postings", f"WITH {_D} SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY term, doc_id")
+def _postings(spark, d):
+    return search.postings(_docs(spark, d)).select("term", "doc_id", "tf")
+
+
+@query("phrase", f"WITH {_D}, p AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM d) SELECT a.doc_id, count(*) AS n_matches FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'apache' AND b.term = 'license' GROUP BY a.doc_id")
+def _phrase(spark, d):
+    return search.phrase(_docs(spark, d), "Apache License")
+
+
+@query("proximity_two_terms", f"WITH {_D}, p AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM d) SELECT a.doc_id, min(abs(CAST(a.pos AS BIGINT) - b.pos)) AS span FROM p a JOIN p b ON a.doc_id = b.doc_id WHERE a.term = 'licensed' AND b.term = 'version' GROUP BY a.doc_id HAVING min(abs(CAST(a.pos AS BIGINT) - b.pos)) <= 6")
+def _proximity(spark, d):
+    return search.proximity(_docs(spark, d), "licensed version", 6)
+
+
+@query("boolean_and_or_not", f"WITH {_D} SELECT doc_id FROM d WHERE (list_contains(t, 'license') OR list_contains(t, 'rights')) AND NOT list_contains(t, 'apache')")
+def _boolean(spark, d):
+    return _docs(spark, d).filter(search.boolean("(license OR rights) AND NOT apache")).select("doc_id")
+
+
+@query("boolean_rich", f"WITH {_D} SELECT d.doc_id FROM d JOIN documents USING (doc_id) WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' mit license ') AND lang = 'en' AND len(list_filter(t, lambda x: starts_with(x, 'releas'))) > 0")
+def _boolean_rich(spark, d):
+    return _docs(spark, d).filter(search.boolean('"MIT license" +lang:en releas*')).select("doc_id")
+
+
+@query("fts_match_substring", "SELECT doc_id FROM documents WHERE contains(lower(text), 'mit') AND contains(lower(text), 'license')")
+def _match(spark, d):
+    T.register(spark, d, ["documents"])
+    return dialect.sql(spark, "SELECT doc_id FROM documents WHERE text @@ 'mit license'")
+
+
+@query("ngram_fuzzy", f"WITH {_D}, v AS (SELECT term, count(*) AS freq FROM (SELECT unnest(t) AS term FROM d) GROUP BY term), g AS (SELECT term, freq, list_distinct(list_transform(range(1, greatest(length(term), 1) + 1), lambda i: substring('$' || term || '$', i, 3))) AS x, list_distinct(list_transform(range(1, 8), lambda i: substring('$license$', i, 3))) AS y FROM v WHERE abs(length(term) - 7) <= 2) SELECT term, freq, round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 6) AS similarity FROM g WHERE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) >= 0.1")
+def _ngram(spark, d):
+    return search.ngram_fuzzy(search.vocabulary(_docs(spark, d)), "license").select("term", "freq", F.round("similarity", 6).alias("similarity"))
+
+
+@query("facet_counts", "SELECT 'lang' AS field, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source")
+def _facets(spark, d):
+    return search.facet_counts(_docs(spark, d), ["lang", "source"])
+
+
+@query("facet_filter", "SELECT doc_id FROM documents WHERE lang IN ('fr', 'de') AND source IN ('src0', 'src1', 'src2') AND NOT coalesce(source IN ('src1'), false)")
+def _facet_filter(spark, d):
+    return search.facet_filter(_docs(spark, d), {"lang": ["fr", "de"], "source": ["src0", "src1", "src2"]}, {"source": ["src1"]}).select("doc_id")
+
+
+@query("detect_language", "SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^\\p{Cyrillic}]', '', 'g')) > length(regexp_replace(text, '[^A-Za-z]', '', 'g')) THEN 'ru' ELSE 'en' END AS lang FROM documents")
+def _detect(spark, d):
+    return _docs(spark, d).select("doc_id", C.detect_language("text").alias("lang"))
+
+
+@query("stem_terms", f"WITH {_D} SELECT stem, count(*) AS n FROM (SELECT regexp_replace(term, '^(.{{3,}}?)(ational|ization|ingly|ness|ment|tion|ing|edly|ies|ed|ly|es|s)$', '\\1') AS stem FROM (SELECT unnest(t) AS term FROM d)) GROUP BY stem")
+def _stems(spark, d):
+    return search.vocabulary(_docs(spark, d)).groupBy(C.simple_stem("term").alias("stem")).agg(F.sum("freq").alias("n"))
+
+
+@query("chunk_paragraph", "SELECT doc_id, CAST(len(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: trim(p, ' ' || chr(9) || chr(13) || chr(10))), lambda p: length(p) > 0)) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL")
+def _paragraphs(spark, d):
+    return _docs(spark, d).filter("text IS NOT NULL").select("doc_id", F.size(C.chunk_paragraphs("text")).cast("long").alias("n"))
+
+
+@query("chunk_sentence", "SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(text, '([.?!]) ', '\\1' || chr(1), 'g'), chr(1)), lambda p: length(trim(p, ' ' || chr(9) || chr(13) || chr(10))) > 0)) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL")
+def _sentences(spark, d):
+    return _docs(spark, d).filter("text IS NOT NULL").select("doc_id", F.size(C.chunk_sentences("text")).cast("long").alias("n"))
+
+
+@query("chunk_recursive")
+def _chunk(spark, d):
+    return chunks.chunk(_docs(spark, d))
+
+
+# Hybrid
+
+
+def _lists(spark, d, k=20):
+    e, docs = _emb(spark, d), _docs(spark, d)
+    vec = search.ranked(vectors.knn(e, _first(spark, d), k).select(F.col("vec_id").alias("doc_id"), "distance"), ["distance", "doc_id"], k)
+    return vec, search.ranked(search.bm25(docs, "license", k), [F.desc("score"), "doc_id"], k)
+
+
+_VEC = f"v AS (SELECT doc_id, row_number() OVER (ORDER BY distance, doc_id) AS rank, distance FROM (SELECT vec_id AS doc_id, list_cosine_distance(e, q) AS distance {_PAIR} ORDER BY distance, doc_id LIMIT 20))"
+_TXT = f"x AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS rank FROM ({_ranking(_BM, ['license'], 20).replace('round(CASE', '(CASE').replace(', 6) AS score', ') AS s')}))"
+
+
+@query("hybrid_rrf", f"WITH {_VEC}, {_TXT} SELECT doc_id, round(sum(s), 8) AS score FROM (SELECT doc_id, 1.0 / (60 + rank) AS s FROM v UNION ALL SELECT doc_id, 1.0 / (60 + rank) FROM x) GROUP BY doc_id".replace("1.0 /", "CAST(1 AS DOUBLE) /"))
+def _hybrid(spark, d):
+    return search.rank_fusion(list(_lists(spark, d)), "doc_id").select("doc_id", F.round("score", 8).alias("score"))
+
+
+@query("hybrid_weighted", f"WITH {_VEC}, {_TXT} SELECT doc_id, round(sum(s), 8) AS score FROM (SELECT doc_id, CAST(0.7 AS DOUBLE) / (60 + rank) AS s FROM v UNION ALL SELECT doc_id, CAST(0.3 AS DOUBLE) / (60 + rank) FROM x) GROUP BY doc_id")
+def _weighted(spark, d):
+    return search.rank_fusion(list(_lists(spark, d)), "doc_id", [0.7, 0.3]).select("doc_id", F.round("score", 8).alias("score"))
+
+
+@query("crossmodal_scores", f"WITH {_VEC}, {_TXT} SELECT doc_id, round(sum(s), 8) AS score FROM (SELECT doc_id, CAST(0.5 AS DOUBLE) / (1 + distance) AS s FROM v UNION ALL SELECT doc_id, CAST(0.5 AS DOUBLE) / rank FROM x) GROUP BY doc_id")
+def _crossmodal(spark, d):
+    v, x = _lists(spark, d)
+    s = v.select("doc_id", (F.lit(0.5) / (1 + F.col("distance"))).alias("s")).unionByName(x.select("doc_id", (F.lit(0.5) / F.col("rank")).alias("s")))
+    return s.groupBy("doc_id").agg(F.round(F.sum("s"), 8).alias("score"))
+
+
+@query("rerank_overlap", "SELECT doc_id, round(CAST(contains(lower(text), 'mit') AS INT) * 0.01 + CAST(contains(lower(text), 'license') AS INT) * 0.01, 6) AS score FROM documents".replace("0.01", "CAST(0.01 AS DOUBLE)"))
+def _rerank(spark, d):
+    return search.rerank(_docs(spark, d).withColumn("score", F.lit(0.0)), "MIT license").select("doc_id", F.round("score", 6).alias("score"))
+
+
+# Graph: parts that follow each other in an order
+
+_E = "e AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, min(a.l_quantity) AS w FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey GROUP BY 1, 2)"
+
+
+def _graph(spark, d) -> Graph:
+    li = T.load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    a, b = li.alias("a"), li.alias("b")
+    e = a.join(b, F.expr("a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND a.l_partkey <> b.l_partkey"))
+    e = e.groupBy(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).agg(F.min("a.l_quantity").alias("weight")).withColumn("label", F.lit("next"))
+    n = T.load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("label"), F.create_map(F.lit("type"), F.col("p_type")).alias("properties"))
+    return Graph(n, e)
+
+
+_START = 1
+
+
+@query("bfs_depth", f"WITH RECURSIVE {_E}, r(id, depth) AS (SELECT CAST({_START} AS BIGINT), 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 2) SELECT id, min(depth) AS depth FROM r GROUP BY id")
+def _bfs(spark, d):
+    return _graph(spark, d).bfs(_START, 2).select("id", "depth")
+
+
+@query("dijkstra")
+def _dijkstra(spark, d):
+    return _graph(spark, d).dijkstra(_START)
+
+
+def _pagerank_sql(rounds: int) -> str:
+    text = f"WITH {_E}, n AS (SELECT p_partkey AS id FROM part), k AS (SELECT count(*) AS k FROM n), dg AS (SELECT src, count(*) AS c FROM e GROUP BY src), r0 AS (SELECT id, 1.0 / k AS rank FROM n, k)".replace("1.0 / k", "CAST(1 AS DOUBLE) / k")
+    for i in range(rounds):
+        text += f", l{i} AS (SELECT coalesce(sum(rank), 0) AS l FROM r{i} WHERE id NOT IN (SELECT src FROM dg)), g{i} AS MATERIALIZED (SELECT e.dst AS id, sum(r.rank / dg.c) AS g FROM e JOIN r{i} r ON r.id = e.src JOIN dg ON dg.src = e.src GROUP BY e.dst), r{i + 1} AS MATERIALIZED (SELECT n.id, CAST(0.15 AS DOUBLE) / k + CAST(0.85 AS DOUBLE) * (coalesce(g, 0) + l / k) AS rank FROM n LEFT JOIN g{i} g ON g.id = n.id, k, l{i})"
+    return text + f" SELECT id, round(rank, 9) AS rank FROM r{rounds}"
+
+
+@query("pagerank", _pagerank_sql(20))
+def _pagerank(spark, d):
+    return _graph(spark, d).pagerank().select("id", F.round("rank", 9).alias("rank"))
+
+
+@query("degree_counts", f"WITH {_E} SELECT id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY id")
+def _degrees(spark, d):
+    return _graph(spark, d).degrees()
+
+
+_NS = "e AS (SELECT DISTINCT s_nationkey AS src, c_nationkey + 100 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 49)"
+
+
+def _nations(spark, d) -> Graph:
+    T.register(spark, d, ["lineitem", "orders", "customer", "supplier", "nation"])
+    e = spark.sql(f"WITH {_NS} SELECT src, dst, 'sells' AS label, 1D AS weight FROM e")
+    n = spark.sql("SELECT n_nationkey AS id, 'seller' AS label, map('name', n_name) AS properties FROM nation UNION ALL SELECT n_nationkey + 100, 'buyer', map('name', n_name) FROM nation")
+    return Graph(n, e)
+
+
+@query("jaccard_nodes", f"WITH {_NS}, n AS (SELECT src AS id, dst AS n FROM e UNION SELECT dst, src FROM e), c AS (SELECT id, count(*) AS d FROM n GROUP BY id) SELECT x.id AS a, y.id AS b, round(count(*) / (min(p.d) + min(q.d) - count(*)), 6) AS similarity FROM n x JOIN n y ON x.n = y.n AND x.id < y.id JOIN c p ON p.id = x.id JOIN c q ON q.id = y.id GROUP BY x.id, y.id")
+def _jaccard(spark, d):
+    return _nations(spark, d).jaccard().select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("adamic_adar", f"WITH {_NS}, r AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), c AS (SELECT src AS n, count(*) AS d FROM r GROUP BY src HAVING count(*) > 1) SELECT x.src AS a, y.src AS b, round(sum(1 / ln(d)), 6) AS similarity FROM r x JOIN r y ON x.dst = y.dst AND x.src < y.src JOIN c ON c.n = x.dst GROUP BY x.src, y.src")
+def _adamic(spark, d):
+    g = _nations(spark, d)
+    both = Graph(g.nodes, g.edges.unionByName(g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "label", "weight")))
+    return both.adamic_adar().select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("pattern_two_hop", f"WITH {_NS}, r AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e) SELECT a.src AS x, a.dst AS y, b.dst AS z FROM r a JOIN r b ON a.dst = b.src WHERE a.src < 3 AND a.src <> b.dst")
+def _pattern(spark, d):
+    g = _nations(spark, d)
+    both = Graph(g.nodes, g.edges.unionByName(g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "label", "weight")))
+    return both.match([{"name": "x"}, {"name": "y"}, {"name": "z"}], [{}, {}]).filter("x < 3")
+
+
+@query("cypher_match", f"WITH {_NS} SELECT p.n_name AS seller, q.n_name AS buyer FROM e JOIN nation p ON e.src = p.n_nationkey JOIN nation q ON e.dst = q.n_nationkey + 100 WHERE p.n_nationkey < 4")
+def _cypher(spark, d):
+    return _nations(spark, d).cypher("MATCH (a:seller)-[:sells]->(b:buyer) WHERE a.id < 4 RETURN a.name AS seller, b.name AS buyer")
+
+
+@query("shortest_path")
+def _shortest(spark, d):
+    return _graph(spark, d).graph_table("shortest_path", start=_START, end=17)
+
+
+@query("dfs")
+def _dfs(spark, d):
+    return _nations(spark, d).dfs(0)
+
+
+@query("louvain")
+def _louvain(spark, d):
+    return _nations(spark, d).louvain()
+
+
+@query("node2vec")
+def _node2vec(spark, d):
+    return _graph(spark, d).node2vec(dims=16, walks=2, length=4)
+
+
+@query("cte_recursive_distinct", "WITH RECURSIVE t(n) AS (SELECT CAST(0 AS BIGINT) UNION SELECT (n * 3 + 1) % 40 FROM t) SELECT n FROM t")
+def _recursive(spark, d):
+    return recursive_union(spark.range(1).select(F.lit(0).cast("long").alias("n")), lambda new: new.select(((F.col("n") * 3 + 1) % 40).alias("n")))
+
+
+# Changes
+
+
+def _customers(spark, d, **kw) -> Table:
+    return Table("customer", T.load(spark, d, "customer"), key=["c_custkey"], **kw)
+
+
+@query("insert_select", "SELECT c_custkey, c_name FROM customer UNION ALL SELECT s_suppkey + 10000000, s_name FROM supplier")
+def _insert(spark, d):
+    t = _customers(spark, d)
+    t.insert(T.load(spark, d, "supplier").select((F.col("s_suppkey") + 10000000).alias("c_custkey"), F.col("s_name").alias("c_name")))
+    return t.df.select("c_custkey", "c_name")
+
+
+@query("update_where", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal FROM customer")
+def _update(spark, d):
+    t = _customers(spark, d)
+    t.update({"c_acctbal": "c_acctbal + 100"}, "c_mktsegment = 'BUILDING'")
+    return t.df.select("c_custkey", "c_acctbal")
+
+
+@query("delete_where", "SELECT c_custkey FROM customer WHERE NOT (c_acctbal < 0)")
+def _delete(spark, d):
+    t = _customers(spark, d)
+    t.delete("c_acctbal < 0")
+    return t.df.select("c_custkey")
+
+
+@query("merge_upsert", "SELECT coalesce(c_custkey, k) AS c_custkey, CASE WHEN k IS NOT NULL AND c_custkey IS NOT NULL THEN c_acctbal + v WHEN c_custkey IS NULL THEN v ELSE c_acctbal END AS c_acctbal FROM customer FULL JOIN (SELECT s_suppkey * 3 + 100 AS k, s_acctbal AS v FROM supplier) ON c_custkey = k")
+def _merge(spark, d):
+    t = _customers(spark, d)
+    s = T.load(spark, d, "supplier").select((F.col("s_suppkey") * 3 + 100).alias("c_custkey"), F.col("s_acctbal").alias("v"))
+    t.merge(s, ["c_custkey"], {"c_acctbal": "t.c_acctbal + s.v"}, insert={"c_custkey": "s.c_custkey", "c_acctbal": "s.v"})
+    return t.df.select("c_custkey", "c_acctbal")
+
+
+@query("merge_delete", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def _merge_delete(spark, d):
+    t = _customers(spark, d)
+    t.merge(T.load(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey")), ["c_custkey"], "delete")
+    return t.df.select("c_custkey")
+
+
+@query("fk_cascade", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def _cascade(spark, d):
+    c = _customers(spark, d)
+    o = Table("orders", T.load(spark, d, "orders"), key=["o_orderkey"], foreign=[ForeignKey(["o_custkey"], c, ["c_custkey"], on_delete="cascade")])
+    c.delete("c_nationkey = 3")
+    return o.df.select("o_orderkey")
+
+
+@query("unique_violations", "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
+def _unique(spark, d):
+    return Table("lineitem", T.load(spark, d, "lineitem"), unique=[["l_orderkey"]]).violations(T.load(spark, d, "lineitem"))["unique l_orderkey"]
+
+
+@query("check_violations", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_quantity < 49)")
+def _checks(spark, d):
+    li = T.load(spark, d, "lineitem")
+    return Table("lineitem", li, checks={"small": "l_quantity < 49"}).violations(li)["check small"].select("l_orderkey", "l_linenumber")
+
+
+@query("rls_filter", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0")
+def _rls(spark, d):
+    t = _customers(spark, d, rls=True, policies=[Policy("own", "c_mktsegment = current_user"), Policy("paid", "c_acctbal > 0", command="select")])
+    return t.read("BUILDING").select("c_custkey")
+
+
+@query("rls_with_check", "SELECT c_custkey FROM customer UNION ALL SELECT s_suppkey + 10000000 FROM supplier WHERE s_acctbal > 0")
+def _rls_check(spark, d):
+    t = _customers(spark, d, rls=True, policies=[Policy("paid", check="c_acctbal > 0", command="insert")])
+    t.insert(T.load(spark, d, "supplier").select((F.col("s_suppkey") + 10000000).alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal")), user="x")
+    return t.df.select("c_custkey")
+
+
+@query("auto_increment", "SELECT count(*) AS n, count(DISTINCT id) AS ids, min(id) AS lo, max(id) AS hi FROM (SELECT row_number() OVER () + 100 AS id FROM nation)")
+def _serial(spark, d):
+    n = number_rows(T.load(spark, d, "nation").select(F.lit(None).cast("long").alias("id"), "n_name"), "id", 100)
+    return n.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+
+
+@query("cdc_log", "SELECT kind, count(*) AS n FROM (SELECT 'update' AS kind FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'delete' FROM nation WHERE n_regionkey = 2) GROUP BY kind")
+def _cdc(spark, d):
+    t = Table("nation", T.load(spark, d, "nation"))
+    t.update({"n_name": "upper(n_name)"}, "n_regionkey = 1")
+    t.delete("n_regionkey = 2")
+    return t.change_log().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Files, views, functions, streams
+
+
+def _roundtrip(format: str):
+    def run(spark, d):
+        src = T.load(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+        path = T.scratch(spark, format)
+        T.export_file(src, path, format)
+        return T.import_file(spark, path, "ndjson" if format == "json" else format, schema=src.schema)
+
+    return run
+
+
+for _f in ("csv", "json", "ndjson", "parquet", "orc"):
+    query(f"{_f}_roundtrip", "SELECT c_custkey, c_name, c_acctbal FROM customer")(_roundtrip(_f))
+
+
+@query("view_query", "SELECT c_custkey, c_acctbal * 2 AS twice FROM customer WHERE c_acctbal > 5000")
+def _view(spark, d):
+    T.load(spark, d, "customer").filter("c_acctbal > 5000").createOrReplaceTempView("rich")
+    return spark.sql("SELECT c_custkey, c_acctbal * 2 AS twice FROM rich")
+
+
+@query("sql_udf", "SELECT p_partkey, p_retailprice * 1.2 + 1 AS gross FROM part".replace("1.2", "CAST(1.2 AS DOUBLE)"))
+def _udf(spark, d):
+    T.register(spark, d, ["part"])
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION gross(x DOUBLE) RETURNS DOUBLE RETURN x * 1.2D + 1")
+    return spark.sql("SELECT p_partkey, gross(p_retailprice) AS gross FROM part")
+
+
+@query("show_columns", "SELECT 'c_custkey' AS name UNION ALL SELECT 'c_name' UNION ALL SELECT 'c_nationkey' UNION ALL SELECT 'c_acctbal' UNION ALL SELECT 'c_mktsegment'")
+def _columns(spark, d):
+    T.register(spark, d, ["customer"])
+    return spark.sql("DESCRIBE TABLE customer").select(F.col("col_name").alias("name"))
+
+
+@query("tumbling_window", "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
+def _tumbling(spark, d):
+    return streams.tumbling(T.load(spark, d, "events")).withColumn("total", F.round("total", 3))
+
+
+@query("session_window", 'WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 minute THEN 0 ELSE 1 END AS s FROM events), y AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM x) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 minute AS "end", count(*) AS n FROM y GROUP BY user_id, g')
+def _sessions(spark, d):
+    return streams.sessions(T.load(spark, d, "events"))
 
 
 def queries() -> dict:
-    return {}
+    return dict(_Q)
 
 
 def oracles() -> dict:
-    return {}
+    return dict(_SQL)
