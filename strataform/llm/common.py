@@ -83,6 +83,13 @@ def extended(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def slices(batches, rows: int = 500):
+    """The batches in parts of a few hundred rows, so that only a part's texts are Python objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or name with underscores where a column (in any case) already has it."""
     taken = {c.lower() for c in df.columns}

@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 from .tokens import WordTokenizer, default_path
 
 ORDER = 2
@@ -34,22 +35,34 @@ BASE = 1 << 17
 
 
 def tokenize(docs: DataFrame, doc_id: str, text: str, chunk_tokens: int, tokenizer: str | None) -> DataFrame:
-    """chunk, doc_id and ids (little-endian unsigned 32-bit) of each row."""
+    """chunk, doc_id, ids (packed) and n, their number, of each row."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     definition = d.sparkSession.sparkContext.broadcast(open(tokenizer or default_path()).read())
 
     def run(batches):
         tok, chunk, size = WordTokenizer(definition.value), TaskContext.get().partitionId() << 32, 0
-        for b in batches:
+        for b in slices(batches):
             got, chunks = tok.encode(b.column(1).to_pylist()), []
             for e in got:
                 if size and size + len(e) // 4 > chunk_tokens:
                     chunk, size = chunk + 1, 0
                 size += len(e) // 4
                 chunks.append(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), b.column(0), pa.array(got, pa.binary())], names=["chunk", "doc_id", "ids"])
+            n = [len(e) // 4 for e in got]
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), b.column(0), pa.array([packed(e) for e in got], pa.binary()), pa.array(n, pa.int64())], names=["chunk", "doc_id", "ids", "n"])
 
-    return d.mapInArrow(run, f"chunk long, doc_id {d.schema['doc_id'].dataType.simpleString()}, ids binary")
+    return d.mapInArrow(run, f"chunk long, doc_id {d.schema['doc_id'].dataType.simpleString()}, ids binary, n long")
+
+
+def packed(ids: bytes) -> bytes:
+    """Ids of 16 bits where all fit, compressed; the first byte tells the width."""
+    a = np.frombuffer(ids, dtype="<u4")
+    wide = bool(len(a)) and int(a.max()) > 0xFFFF
+    return (b"4" if wide else b"2") + zstandard.ZstdCompressor(level=1).compress(a.astype("<u4" if wide else "<u2").tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), dtype="<u" + chr(data[0])).astype(np.uint32)
 
 
 def grams_of(ids: np.ndarray, order: int) -> np.ndarray:
@@ -70,23 +83,31 @@ def _grams_below(ids: np.ndarray, top: int) -> np.ndarray:
 def chunk_grams(tokens: DataFrame, order: int) -> DataFrame:
     """chunk, gram and n: n-grams of order 1 to order, counted within runs of a chunk's rows."""
 
-    def flush(chunk: int, held: list[np.ndarray]):
-        grams, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), chunk, dtype=np.int64)), pa.array(grams), pa.array(n.astype(np.int64))], names=["chunk", "gram", "n"])
+    def count(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        all_grams, all_n = (np.concatenate(x) for x in zip(*held))
+        grams, place = np.unique(all_grams, return_inverse=True)
+        return grams, np.bincount(place, weights=all_n, minlength=len(grams)).astype(np.int64)
+
+    def emit(chunk: int, counted: tuple[np.ndarray, np.ndarray]):
+        grams, n = counted
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), chunk, dtype=np.int64)), pa.array(grams), pa.array(n)], names=["chunk", "gram", "n"])
 
     def run(batches):
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size, last = 0, None
-        for b in batches:
+        for b in slices(batches):
             for chunk, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if held and (chunk != last or size > 4_000_000):
-                    yield flush(last, held)
+                if last is not None and chunk != last:
+                    yield emit(last, count(held))
                     held, size = [], 0
                 last = chunk
-                held.append(_grams_below(np.frombuffer(ids, dtype="<u4"), order))
-                size += len(held[-1])
-        if held:
-            yield flush(last, held)
+                grams = _grams_below(unpacked(ids), order)
+                held.append((grams, np.ones(len(grams), dtype=np.int64)))
+                size += len(grams)
+                if size > 500_000:
+                    held, size = [count(held)], 0
+        if last is not None:
+            yield emit(last, count(held))
 
     return tokens.select("chunk", "ids").mapInArrow(run, "chunk long, gram long, n long")
 
@@ -123,7 +144,7 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order:
     if not 1 <= order <= 3:
         raise ValueError("order is 1, 2 or 3")
     tokens = materialize(tokenize(docs, doc_id, text, chunk_tokens, tokenizer), "tokens")
-    n_tokens = tokens.agg(F.sum(F.octet_length("ids") / 4).cast("long")).first()[0] or 0
+    n_tokens = tokens.agg(F.sum("n")).first()[0] or 0
     grams = materialize(chunk_grams(tokens, order), "grams")
     counts = grams.groupBy("gram").agg(F.sum("n").alias("total"))
     told = grams.select("chunk", "gram").join(counts, "gram")
@@ -135,13 +156,13 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order:
         total = total[first]
         size, logs = [], []
         for e in left.column("ids").to_pylist():
-            ids = np.frombuffer(e, dtype="<u4")
+            ids = unpacked(e)
             size.append(len(ids))
             logs.append(score_document(ids, gram, total, n_tokens, order) if len(ids) else None)
         mean = [x / n if n else None for x, n in zip(logs, size)]
         return pa.table([left.column("doc_id"), pa.array(size, pa.int64()), pa.array(logs, pa.float64()), pa.array(mean, pa.float64())], names=["doc_id", "n_tokens", "log_score", "mean_log_score"])
 
-    return tokens.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, n_tokens long, log_score double, mean_log_score double")
+    return tokens.select("chunk", "doc_id", "ids").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, n_tokens long, log_score double, mean_log_score double")
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:
