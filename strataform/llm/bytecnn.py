@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, extended, fresh, held_out, table
+from .common import bounded_sample, extended, fresh, held_out, slices, table
 
 #: Labelled documents that the network is fitted on, at most about this many.
 TRAIN_DOCS = 2500
@@ -158,7 +158,7 @@ def score_quality(docs: DataFrame, network: ByteNetwork, text: str = "text") ->
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(b.column(place).to_pylist()), pa.float64())], names=[*cols, name])
 
     return docs.mapInArrow(run, extended(docs, f"{name} double"))

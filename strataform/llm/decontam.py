@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, fresh, table
+from .common import extended, fresh, slices, table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -129,7 +129,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
         def run(batches, items=items, first=first):
             searcher = Searcher(items.value, window)
-            for b in batches:
+            for b in slices(batches):
                 texts = b.column(place).to_pylist()
                 if not first:
                     spans, found = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, extended, fresh, held_out
+from .common import bounded_sample, extended, fresh, held_out, slices
 
 #: Documents that the model is fitted on, at most about this many.
 TRAIN_DOCS = 2000
@@ -211,7 +211,7 @@ def label_languages(docs: DataFrame, model: LanguageModel, text: str = "text", s
 
     def run(batches):
         labeller = Labeller(shared.value)
-        for b in batches:
+        for b in slices(batches, 2500):
             got = labeller.label(b.column(place).to_pylist(), spans)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _, _ in got], pa.string()), pa.array([s for _, s, _ in got], pa.float64()), pa.array([r for _, _, r in got], kind)], names=[*cols, *names])
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 from .tokens import WordTokenizer, default_path
 
 CAPACITY = 2048
@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
     def run(batches):
         tok, at = WordTokenizer(definition.value), TaskContext.get().partitionId() << 40
         step = 4 * capacity
-        for b in batches:
+        for b in slices(batches):
             doc, rows = b.column(0).to_pylist(), []
             for i, e in zip(doc, tok.encode(b.column(1).to_pylist())):
                 e += END
@@ -168,8 +168,8 @@ def pack_pieces(sized: DataFrame, capacity: int = CAPACITY, group: int = GROUP,
                     done.append(len(got[0]) <= lower_bound(n, capacity))
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, _POP), pa.array(best, pa.int32()), pa.array(done, pa.bool_())], names=["shard", "island", "lens", "pop", "bins", "done"])
 
-        # one task for each island that is still at work
-        state = materialize(state.repartition("shard", "island").mapInArrow(run, "shard long, island int, lens array<int>, pop array<array<int>>, bins int, done boolean"), f"round-{r}")
+        # a few islands a task, whatever their size in bytes
+        state = materialize(state.repartition(max(1, groups * islands // 4), "shard", "island").mapInArrow(run, "shard long, island int, lens array<int>, pop array<array<int>>, bins int, done boolean"), f"round-{r}")
         open_groups = state.groupBy("shard").agg(F.bool_or("done").alias("any")).filter("NOT any")
         if r == rounds - 1 or not open_groups.take(1):
             break

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_small, extended, fresh, materialize
+from .common import checked_small, extended, fresh, materialize, slices
 
 RADIUS = 4
 SHINGLE = 4
@@ -66,7 +66,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "_fp", kee
     d = docs.select(*keep, F.col(text).alias("_fp_text"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = [fingerprint(shingle_hashes(t)) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.int64())], names=[*keep, name])
 
