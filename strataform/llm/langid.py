@@ -18,6 +18,7 @@ import bisect
 import math
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -84,21 +85,30 @@ class LanguageModel:
         for k in (1, 2, 3, 4):
             own = m[size == k]
             m[size == k] = np.log((own + 0.2) / (own.sum(axis=0) + 0.2 * len(own) + 1))
-        self.matrix = (m - m.max(axis=1, keepdims=True)).astype(np.float32) if n else m
+        self.matrix = np.concatenate([m - m.max(axis=1, keepdims=True), np.zeros((1, n))]).astype(np.float32) if n else m
         spread = [sum(c.values()) for c in words]
-        self.scripts = {s: np.array([0.0 if scripts[s, i] > 0.005 * max(1, spread[i]) else -math.inf for i in range(n)]) for s in {s for s, _ in scripts}}
+        #: The languages of each script; of others, none.
+        self.fits = {s: [scripts[s, i] > 0.005 * max(1, spread[i]) for i in range(n)] for s in {s for s, _ in scripts}}
+        self.fits_none = [False] * n
         self.most = max(range(n), key=lambda i: (langs.count(self.langs[i]), -i)) if n else None
 
-    def word(self, w: str) -> np.ndarray:
-        """Log score of each language, 0 for the best and -inf where the script excludes it."""
-        mask = self.scripts.get(script(w[0]))
-        if mask is None or not (mask > -math.inf).any():
-            return np.full(len(self.langs), np.nan)
-        place = self.place
-        total = self.matrix[[place[g] for g in grams(w) if g in place]].sum(axis=0)
-        total = total + mask
-        total = total - total.max()
-        return np.where(mask > -math.inf, np.maximum(total, -CLIP), -CLIP * 4)
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """A row for each word: log score of each language, 0 for the best, the same low value where the script excludes it, NaN where no language has the script."""
+        get, rows, sizes = self.place.get, [], []
+        for w in words:
+            own = grams(w)
+            rows += map(get, own, repeat(len(self.place)))  # the last row, of zeros, for an n-gram that wasn't learned
+            sizes.append(len(own))
+        if not words:
+            return np.zeros((0, len(self.langs)))
+        total = np.add.reduceat(self.matrix[rows], np.cumsum([0, *sizes[:-1]]), axis=0).astype(np.float64)
+        fits = np.array([self.fits.get(script(w[0]), self.fits_none) for w in words])
+        total = np.where(fits, total, -math.inf)
+        told = fits.any(axis=1)
+        out = np.full(total.shape, np.nan)
+        own = total[told]
+        out[told] = np.where(fits[told], np.maximum(own - own.max(axis=1, keepdims=True), -CLIP), -CLIP * 4)
+        return out
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH) -> list[np.ndarray]:
@@ -141,14 +151,17 @@ class Labeller:
     def __init__(self, model: LanguageModel):
         self.model, self.cache, self.rows = model, {}, np.zeros((1024, len(model.langs)), dtype=np.float32)
 
-    def _index(self, words: list[str]) -> list[int]:
+    def _learn(self, group: list[list[str]]) -> None:
+        """Score the words of the group that the cache lacks, some thousands at a time."""
         cache = self.cache
-        for w in set(words).difference(cache):
-            at = cache[w] = len(cache)
-            if at >= len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[at] = self.model.word(w)
-        return [cache[w] for w in words]
+        new = list(set().union(*group).difference(cache))
+        need = len(cache) + len(new)
+        if need > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((need - len(self.rows), self.rows.shape[1]), dtype=np.float32)])
+        for i in range(0, len(new), 20_000):
+            part, at = new[i : i + 20_000], len(cache)
+            self.rows[at : at + len(part)] = self.model.score_words(part)
+            cache.update(zip(part, range(at, at + len(part))))
 
     def label(self, texts: list[str | None], spans: bool = False) -> list[tuple]:
         """(language, score, spans) of each text; at most a few million words at a time."""
@@ -170,7 +183,9 @@ class Labeller:
             return [("und", 0.0, [])] * len(group)
         if len(self.cache) > CACHE:
             self.cache = {}
-        index = [i for words in group for i in self._index(words)]
+        self._learn(group)
+        cache = self.cache
+        index = [cache[w] for words in group for w in words]
         lengths = np.array([len(w) for w in group], dtype=np.int64)
         if not index:
             return [("und", 0.0, [])] * len(group)
