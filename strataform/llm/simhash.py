@@ -196,10 +196,15 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group: that of the smallest doc_id (one of them, where it repeats)."""
-    name, root = fresh(docs, "_fp"), fresh(docs, "_root")
+    name = fresh(docs, "_fp")
     ids = materialize(with_fingerprint(docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_t")), "_t", keep=["_doc"]), "simhash")
     groups = checked_small(duplicate_groups(ids).select(F.col("_fp").alias("_g"), F.col("component_id").alias("_c")), "groups")
-    marked = with_fingerprint(docs, text, name)
+    return keep_least(docs, with_fingerprint(docs, text, name), name, groups, doc_id)
+
+
+def keep_least(docs: DataFrame, marked: DataFrame, name: str, groups: DataFrame, doc_id: str) -> DataFrame:
+    """A row of each group of marked (docs with the column name): groups has _g (values of name), _c (the smallest doc_id), and _group if not told by _c and _g."""
+    root = fresh(docs, "_root")
     kept = marked.join(groups, marked[name] == groups._g, "left").filter(F.col("_g").isNull() | F.col("_c").eqNullSafe(F.col(doc_id)))
     # A row per group is left, but for groups whose smallest doc_id repeats or is null: only these are dealt by group.
     alone = kept.filter("_g IS NULL").select(*docs.columns)
@@ -207,7 +212,8 @@ def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     per = one.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 OR _c IS NULL")
     if not checked_small(per, "repeated").take(1):
         return kept.select(*docs.columns)
-    one = one.withColumn(root, F.coalesce(F.col("_c").cast("string"), F.concat(F.lit("fp "), F.col("_g").cast("string")))).dropDuplicates([root])
+    told = F.col("_group") if "_group" in groups.columns else F.coalesce(F.col("_c").cast("string"), F.concat(F.lit("fp "), F.col("_g").cast("string")))
+    one = one.withColumn(root, told).dropDuplicates([root])
     return alone.unionByName(one.select(*docs.columns))
 
 
