@@ -6,8 +6,10 @@ sequences of their own.  The others are dealt by a hash of their unique number i
 An island keeps a small population of packings.  Crossover injects whole well-filled bins of one parent
 into the other, removes the other's bins that hold the same pieces, and best-fits the displaced pieces,
 longest first.  After each round an island's best packing goes to the next island.  An island rests once it
-has reached the lower bound (tokens over capacity, or pieces over half of it), which proves its packing best.
-A group wastes at most about one sequence against a packing of all pieces at once.
+has reached the lower bound (tokens over capacity, or pieces over half of it), which proves its packing best for its
+group.  Then the worst-filled sequences of all groups are opened, and their pieces are dealt into groups and packed the
+same way again, so that what groups waste at their edges is packed across groups.  Of each piece are told its level
+(1, or 2 where it was packed across groups) and how many sequences evolution saved in its group against best fit.
 
 Cases: null and empty texts are one piece of one id.  Repeated rows are pieces of their own.  Texts of any
 length are cut, never dropped.  An empty table gives no rows.  Extra columns are ignored.
@@ -24,12 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
-from .tokens import WordTokenizer, default_path
+from .common import materialize
+from .tokens import WordTokenizer, default_path, parts
 
 CAPACITY = 2048
 GROUP = 4096
 ISLANDS, POPULATION, GENERATIONS, ROUNDS = 3, 5, 4, 3
+#: Sequences of each group that are packed again across groups.
+OPENED = 8
 END = array("I", [0]).tobytes()
 
 
@@ -41,10 +45,12 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
     def run(batches):
         tok, at = WordTokenizer(definition.value), TaskContext.get().partitionId() << 40
         step = 4 * capacity
-        for b in slices(batches):
-            doc, rows = b.column(0).to_pylist(), []
-            for i, e in zip(doc, tok.encode(b.column(1).to_pylist())):
-                e += END
+        for b in parts(batches, 1):
+            found, sizes = tok.encode_array(b.column(1))
+            data, rows, begin = found.astype("<u4").tobytes(), [], 0
+            for i, n in zip(b.column(0).to_pylist(), sizes.tolist()):
+                e = data[begin : begin + 4 * n] + END
+                begin += 4 * n
                 for k in range(0, len(e), step):
                     part = e[k : k + step]
                     rows.append((at, i, k // step, k // 4, len(part) // 4, zlib.crc32(part), part if ids else None))
@@ -145,54 +151,75 @@ def _bins(assigned: list[int]) -> list[list[int]]:
 
 
 _POP = pa.list_(pa.list_(pa.int32()))
+_STATE = "shard long, island int, lens array<int>, pop array<array<int>>, bins int, start int, done boolean"
 
 
-def pack_pieces(sized: DataFrame, capacity: int = CAPACITY, group: int = GROUP, islands: int = ISLANDS, rounds: int = ROUNDS) -> DataFrame:
-    """uid, sequence_id and offset of each row of sized(uid, length), with lengths from 1 to capacity.  sized is read twice: give it written."""
-    full = sized.filter(F.col("length") == capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = sized.filter(F.col("length") < capacity)
-    groups = max(1, -(-rest.count() // group))
-    dealt = rest.groupBy(F.pmod(F.xxhash64("uid"), F.lit(groups)).alias("shard")).agg(F.sort_array(F.collect_list(F.struct(F.col("length").cast("int").alias("n"), "uid")), asc=False).alias("p"))
-    dealt = materialize(dealt.select("shard", F.col("p.n").alias("lens"), F.col("p.uid").alias("uids")), "groups")
-    state = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lens", F.array().cast("array<array<int>>").alias("pop"))
+def _evolved(dealt: DataFrame, groups: int, capacity: int, islands: int, rounds: int) -> DataFrame:
+    """shard, bin (of each piece), bins and start (the best packing before any crossover) of each group of dealt(shard, lens)."""
+    state = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lens", F.array().cast("array<array<int>>").alias("pop"), F.lit(None).cast("int").alias("start"))
     for r in range(rounds):
 
         def run(batches, r=r):
             for b in batches:
-                shard, island, lens, pop = (b.column(i).to_pylist() for i in range(4))
-                out, best, done = [], [], []
-                for s, i, n, p in zip(shard, island, lens, pop):
+                shard, island, lens, pop, start = (b.column(i).to_pylist() for i in range(5))
+                out, best, done, began = [], [], [], []
+                for s, i, n, p, k in zip(shard, island, lens, pop, start):
                     got = evolve(n, [_bins(x) for x in p], f"{s} {i} {r}", capacity)
                     out.append([_assigned(x, len(n)) for x in got[:2]])
                     best.append(len(got[0]))
+                    began.append(len(best_fit([], sorted(range(len(n)), key=lambda x: -n[x]), n, capacity)) if k is None else k)
                     done.append(len(got[0]) <= lower_bound(n, capacity))
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, _POP), pa.array(best, pa.int32()), pa.array(done, pa.bool_())], names=["shard", "island", "lens", "pop", "bins", "done"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, _POP), pa.array(best, pa.int32()), pa.array(began, pa.int32()), pa.array(done, pa.bool_())], names=["shard", "island", "lens", "pop", "bins", "start", "done"])
 
         # a few islands a task, whatever their size in bytes
-        state = materialize(state.repartition(max(1, groups * islands // 4), "shard", "island").mapInArrow(run, "shard long, island int, lens array<int>, pop array<array<int>>, bins int, done boolean"), f"round-{r}")
-        open_groups = state.groupBy("shard").agg(F.bool_or("done").alias("any")).filter("NOT any")
-        if r == rounds - 1 or not open_groups.take(1):
+        state = materialize(state.repartition(max(1, groups * islands // 4), "shard", "island").mapInArrow(run, _STATE), f"round-{r}")
+        if r == rounds - 1 or not state.groupBy("shard").agg(F.bool_or("done").alias("any")).filter("NOT any").take(1):
             break
-        moved = state.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.lit(None).cast("array<int>").alias("lens"), F.slice("pop", 1, 1).alias("pop"))
-        state = state.select("shard", "island", "lens", "pop").unionByName(moved).groupBy("shard", "island").agg(F.first("lens", ignorenulls=True).alias("lens"), F.flatten(F.collect_list("pop")).alias("pop"))
-    best = state.groupBy("shard").agg(F.min_by(F.element_at("pop", 1), F.struct("bins", "island")).alias("bin"))
+        moved = state.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.lit(None).cast("array<int>").alias("lens"), F.slice("pop", 1, 1).alias("pop"), F.lit(None).cast("int").alias("start"))
+        state = state.select("shard", "island", "lens", "pop", "start").unionByName(moved).groupBy("shard", "island").agg(F.first("lens", ignorenulls=True).alias("lens"), F.flatten(F.collect_list("pop")).alias("pop"), F.max("start").alias("start"))
+    return state.groupBy("shard").agg(F.min_by(F.element_at("pop", 1), F.struct("bins", "island")).alias("bin"), F.min("bins").alias("bins"), F.min("start").alias("start"))
+
+
+def _level(rest: DataFrame, capacity: int, group: int, islands: int, rounds: int, level: int, opened: int) -> DataFrame:
+    """uid, length, sequence_id, offset, level and saved of each row of rest(uid, length), written; sequence_id is null for the pieces of a group's `opened` worst-filled sequences, unless there is one group alone."""
+    groups = max(1, -(-rest.count() // group))
+    dealt = rest.groupBy(F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(groups)).alias("shard")).agg(F.sort_array(F.collect_list(F.struct(F.col("length").cast("int").alias("n"), "uid")), asc=False).alias("p"))
+    dealt = materialize(dealt.select("shard", F.col("p.n").alias("lens"), F.col("p.uid").alias("uids")), "groups")
+    best = _evolved(dealt.select("shard", "lens"), groups, capacity, islands, rounds)
+    spare = opened if groups > 1 else 0
 
     def lay(batches):
         for b in batches:
-            shard, lens, uids, bins = (b.column(i).to_pylist() for i in range(4))
-            for s, n, u, k in zip(shard, lens, uids, bins):
+            shard, lens, uids, bins, count, start = (b.column(i).to_pylist() for i in range(6))
+            for s, n, u, k, c, first in zip(shard, lens, uids, bins, count, start):
                 filled, offset = {}, []
                 for x, at in zip(n, k):
                     offset.append(filled.get(at, 0))
                     filled[at] = offset[-1] + x
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array([s << 32 | at for at in k], pa.int64()), pa.array(offset, pa.int64())], names=["uid", "sequence_id", "offset"])
+                again = set(sorted((at for at, full in filled.items() if full < capacity), key=lambda at: (filled[at], at))[:spare])
+                where = [None if at in again else level << 60 | s << 24 | at for at in k]
+                size = len(u)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(u, pa.int64()), pa.array(n, pa.int64()), pa.array(where, pa.int64()), pa.array(offset, pa.int64()), pa.array([level] * size, pa.int32()), pa.array([first - c] * size, pa.int32())],
+                    names=["uid", "length", "sequence_id", "offset", "level", "saved"],
+                )
+
+    laid = dealt.join(best, "shard").select("shard", "lens", "uids", "bin", "bins", "start")
+    return materialize(laid.mapInArrow(lay, "uid long, length long, sequence_id long, offset long, level int, saved int"), "laid")
+
 
-    laid = dealt.join(best, "shard").select("shard", "lens", "uids", "bin").mapInArrow(lay, "uid long, sequence_id long, offset long")
-    return full.unionByName(laid)
+def pack_pieces(sized: DataFrame, capacity: int = CAPACITY, group: int = GROUP, islands: int = ISLANDS, rounds: int = ROUNDS, opened: int = OPENED) -> DataFrame:
+    """uid, sequence_id, offset, level and saved of each row of sized(uid, length), with lengths from 1 to capacity.  sized is read twice: give it written."""
+    columns = ["uid", "sequence_id", "offset", "level", "saved"]
+    full = sized.filter(F.col("length") == capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).alias("level"), F.lit(0).alias("saved"))
+    first = _level(sized.filter(F.col("length") < capacity), capacity, group, islands, rounds, 1, opened)
+    again = first.filter("sequence_id IS NULL").select("uid", "length")
+    out = full.unionByName(first.filter("sequence_id IS NOT NULL").select(*columns))
+    return out.unionByName(_level(again, capacity, group, islands, rounds, 2, 0).select(*columns)) if again.take(1) else out
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, ids: bool = False, **kw) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids), sequence_id and offset of each piece of each document."""
+    """doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset, level and saved of each piece of each document."""
     cut = materialize(pieces(docs, doc_id, text, capacity, tokenizer, ids), "pieces")
     return cut.join(pack_pieces(cut.select("uid", "length"), capacity, **kw), "uid").drop("uid")
 

@@ -286,6 +286,14 @@ def check_packing(rows, lens=None):
     return len(by)
 
 
+def test_tokens_of_any_word():
+    """Odd letters, contractions, runs of one kind, special tokens' strings and all white space."""
+    tok, rng = tokens.WordTokenizer(open(tokens.default_path()).read()), random.Random(5)
+    alphabet = [*map(chr, range(0x180)), *"'''sstltvremddll<||>\u2028\u3000\u1e9e\u65e5\ufb01\u200b\ufeff", "<|endoftext|>", "'s", "'re", " ", "\n", "a" * 70, "!" * 80]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + ["a" + chr(c) + "b" for c in range(0x2000, 0x2070)]
+    assert [np.frombuffer(e, "<u4").tolist() for e in tok.encode(texts)] == [tok.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_query(spark, sf_dir):
     rows = QUERIES["op8_packing"](spark, sf_dir).collect()
     used = check_packing(rows)
@@ -327,6 +335,54 @@ def test_islands(spark):
     check_packing(rows)
 
 
+def best_count(lens, capacity):
+    """The fewest bins, by trying every bin of each piece."""
+    best = len(lens)
+
+    def go(i, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if i == len(lens):
+            best = len(room)
+            return
+        for k in range(len(room)):
+            if room[k] >= lens[i] and room[k] not in room[:k]:
+                go(i + 1, [*room[:k], room[k] - lens[i], *room[k + 1 :]])
+        go(i + 1, [*room, capacity - lens[i]])
+
+    go(0, [])
+    return best
+
+
+def test_packing_is_best_in_small_cases():
+    """Against every packing; some of these cases best fit alone packs worse."""
+    rng, gained = random.Random(9), 0
+    for case in range(40):
+        lens = sorted((rng.choice([2, 3, 4, 5, 6, 7]) for _ in range(9)), reverse=True)
+        got = packing.evolve(lens, [], f"{case}", capacity=10, generations=30)[0]
+        assert sorted(i for b in got for i in b) == list(range(9)) and all(sum(lens[i] for i in b) <= 10 for b in got)
+        assert len(got) == best_count(lens, 10)
+        gained += len(packing.best_fit([], list(range(9)), lens, 10)) > len(got)
+    assert gained
+
+
+def test_groups_share_their_last_sequences(spark):
+    """Groups of their own waste a part of a sequence each; the level across groups takes that back."""
+    rng = random.Random(4)
+    d = spark.createDataFrame([(i, rng.randint(20, 900)) for i in range(2400)], "uid long, length long")
+    alone = packing.pack_pieces(d, group=100, opened=0, rounds=1).select("sequence_id").distinct().count()
+    rows = packing.pack_pieces(d, group=100, rounds=1).join(d, "uid").collect()
+    used = check_packing(rows)
+    assert len(rows) == 2400 and {r.level for r in rows} == {1, 2} and used < alone
+    assert used <= -(-sum(r.length for r in rows) // 2048) * 1.015
+
+
+def test_packing_text_ids(spark):
+    rows = packing.pack(spark.createDataFrame([("a", "x y"), (None, None), ("a", "x y")], "doc_id string, text string")).collect()
+    assert sorted((r.doc_id or "", r.length) for r in rows) == [("", 1), ("a", 3), ("a", 3)]
+
+
 def test_network(spark, odd, none, sf_dir):
     out = QUERIES["op9_quality"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
     right = out.filter("held_out").agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0]
