@@ -19,40 +19,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session names none."""
+    """The folder of spark.checkpoint.dir.  Where the session names none, one of our own: with a local master alone, since other machines don't see it."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="strataform-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
-def remove_at_exit(spark: SparkSession, path: str) -> None:
-    def remove() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may have ended before the interpreter
-            pass
-
-    atexit.register(remove)
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/strataform/{label}-{uuid.uuid4().hex}"
-    remove_at_exit(spark, path)
+
+    def at_exit() -> None:
+        try:
+            _remove(spark, path)
+        except Exception:  # the session may have ended before the interpreter
+            pass
+
+    atexit.register(at_exit)
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and a lost executor costs nothing."""
+def materialize(df: DataFrame, label: str, block_bytes: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, and a lost executor costs nothing.
+
+    block_bytes: size of Parquet row groups, for rows of megabytes.
+    """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.option("parquet.block.size", block_bytes) if block_bytes else df.write).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._written = path
+    return kept
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a DataFrame that materialize returned and that nothing reads any more."""
+    _remove(df.sparkSession, df._written)
 
 
 def checked_small(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,169 +1,259 @@
 """LM scoring: stupid-backoff scores of documents, from n-gram counts over all documents.
 
-Words are the ids of a public tokenizer.  An n-gram is one long: its ids in a base above the vocabulary,
-and its order.  Count tables are partitioned by the n-gram's hash; none is broadcast or collected.
-
-Relations: tokens (chunk, doc, ids), written once; grams (chunk, gram, n), exploded from each chunk of about
-``chunk_tokens`` tokens and counted within it, so that a frequent n-gram has one row a chunk; counts (gram,
-total), the sum over chunks; grams joined to counts on the gram's hash, and back to their chunk, where the
-documents' n-grams meet their counts and are summed for each document.
-
-A document's own n-grams are taken out of the counts that score it (leave one out); what is not seen
-elsewhere backs off with factor 0.4, down to single words, where a word not seen elsewhere counts half.
-
-Cases: null and empty texts have no tokens, n_tokens 0 and null scores.  Repeated rows are documents of their
-own, which see one another.  Texts of any length are whole; one longer than a chunk is a chunk.
+A word is a run of other than white space, A-Z lower-cased (or an id of a public tokenizer, if one is named).  An n-gram is
+a 64-bit hash of its words.  Documents stand in chunks of about ``chunk_bytes`` of text, written once with their words as
+codes.  Each order is a round of relations: grams (chunk, gram, n, docs), exploded from the chunks, one row for an n-gram
+of a chunk; counts, the sum over chunks, in tables partitioned by the gram's hash; and counts joined back to the chunks
+that hold the gram, where each document's own occurrences are taken out (leave one out).  What is left of a position's
+n-gram and of its context gives its score; what no other document holds backs off with factor 0.4, down to single words,
+where a word not seen elsewhere counts half.  Scores are summed for each document.
+
+A round explodes only n-grams whose two parts of one order less are both held by another document: all others are held by
+no other document either, whatever the counts, so nothing is lost.  Counts are never broadcast or collected, a frequent
+n-gram has one row a chunk, and a task holds one chunk with its n-grams at a time.
+
+Cases: null and wordless texts have n_words 0 and null scores.  Repeated rows are documents of their own, which see one
+another.  A text longer than a chunk is a chunk.  Texts shorter than the order are scored by the orders that they have.
+An empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
-from .tokens import WordTokenizer, default_path
+from .common import discard, materialize
+from .tokens import WordTokenizer, parts
 
-ORDER = 2
+ORDER = 5
 BACKOFF = 0.4
-CHUNK_TOKENS = 4_000_000
-#: Base of the ids in an n-gram's long; three of them and the order fit.
-BASE = 1 << 17
-
-
-def tokenize(docs: DataFrame, doc_id: str, text: str, chunk_tokens: int, tokenizer: str | None) -> DataFrame:
-    """chunk, doc_id, ids (packed) and n, their number, of each row."""
+CHUNK_BYTES = 6 << 20
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of distinct words, the codes of all words, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat = split.flatten().dictionary_encode()
+    words = flat.dictionary.to_pylist()
+    codes = flat.indices.to_numpy()
+    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], dtype=np.uint64)
+    full = np.ones(len(codes), dtype=bool) if "" not in words else codes != words.index("")  # ends of a text may be empty
+    ends = np.concatenate(([0], np.cumsum(full)))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+    return hashes, codes[full].astype(np.uint32), np.diff(ends).astype(np.int64)
+
+
+def ids_of(tokenizer: WordTokenizer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, sizes = tokenizer.encode_array(texts)
+    kinds, codes = np.unique(ids, return_inverse=True)
+    return mixed(kinds.astype(np.uint64), np.uint64(1)), codes.astype(np.uint32), sizes
+
+
+def mixed(h: np.ndarray, w) -> np.ndarray:
+    """The hash of an n-gram and the word behind it."""
+    h = h * np.uint64(0x9E3779B97F4A7C15) + w
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _pack(a: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+
+
+def _unpack(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
+
+
+class Chunk:
+    """The words of a chunk's documents, and what other documents hold of the n-grams that start at each."""
+
+    def __init__(self, row: dict):
+        self.lens = np.frombuffer(row["lens"], dtype=np.int64)
+        self.words, self.codes = np.frombuffer(row["words"], dtype=np.uint64), _unpack(row["codes"], np.uint32)
+        self.ends = np.repeat(np.cumsum(self.lens), self.lens)
+        self.left = [_unpack(x, np.uint32) for x in row["left"]]
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the n-grams of order k that another document may hold: their places, sorted by hash, their hashes, whether a gram begins, and whether a document begins in it."""
+        at = np.arange(len(self.codes))
+        fit = at + k <= self.ends
+        if k > 1:
+            seen = self.left[k - 2] > 0
+            fit &= seen
+            fit[:-1] &= seen[1:]
+        at = at[fit]
+        h = self.words[self.codes[at]]
+        for j in range(1, k):
+            h = mixed(h, self.words[self.codes[at + j]])
+        order = np.argsort(h, kind="stable")
+        at, h = at[order], h[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = h[1:] != h[:-1]
+        own = new.copy()
+        own[1:] |= self.ends[at[1:]] != self.ends[at[:-1]]
+        return at, h, new, own
+
+    def counted(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each gram, its occurrences, and whether one document (1) or more (2) hold it."""
+        at, h, new, own = self.grams(k)
+        begin = np.flatnonzero(new)
+        if not len(begin):
+            return h, begin, begin
+        return h[begin], np.diff(np.append(begin, len(h))), np.minimum(np.add.reduceat(own.astype(np.int64), begin), 2)
+
+    def learn(self, k: int, grams: np.ndarray, totals: np.ndarray) -> None:
+        """Take out each document's own occurrences from the totals of the grams that several documents hold."""
+        at, h, new, own = self.grams(k)
+        left = np.zeros(len(self.codes), dtype=np.uint32)
+        if len(at) and len(grams):
+            order = np.argsort(grams)
+            grams, totals = grams[order], totals[order]
+            begin = np.flatnonzero(new)
+            place = np.minimum(np.searchsorted(grams, h[begin]), len(grams) - 1)
+            total = np.where(grams[place] == h[begin], totals[place], 0)[np.cumsum(new) - 1]
+            held = np.diff(np.append(np.flatnonzero(own), len(h)))[np.cumsum(own) - 1]
+            left[at] = np.minimum(np.where(total > 0, total - held, 0), 0xFFFFFFFF)
+        self.left.append(left)
+
+    def scores(self, n_words: int, backoff: float = BACKOFF) -> np.ndarray:
+        """The sum of natural logarithms of the scores of each document's words."""
+        rest = np.repeat(np.maximum(1, n_words - self.lens), self.lens)
+        out = np.log(np.maximum(self.left[0], 0.5) / rest)
+        begins = self.ends - np.repeat(self.lens, self.lens)
+        for k in range(2, len(self.left) + 1):
+            at = np.arange(k - 1, len(out))
+            at = at[at - (k - 1) >= begins[at]]  # the last word of an n-gram within a document
+            here, context = self.left[k - 1][at - (k - 1)], self.left[k - 2][at - (k - 1)]
+            out[at] = np.where(here > 0, np.log(np.maximum(here, 1) / np.maximum(context, 1)), out[at] + np.log(backoff))
+        full = np.flatnonzero(self.lens)
+        sums = np.zeros(len(self.lens))
+        if len(full):
+            sums[full] = np.add.reduceat(out, (np.cumsum(self.lens) - self.lens)[full])
+        return sums
+
+
+def chunks(docs: DataFrame, doc_id: str, text: str, chunk_bytes: int, tokenizer: str | None) -> DataFrame:
+    """chunk, n (words), docs (ids), lens, words, codes and left (nothing yet).  No shuffle."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    definition = d.sparkSession.sparkContext.broadcast(open(tokenizer or default_path()).read())
+    shared = d.sparkSession.sparkContext.broadcast(open(tokenizer).read()) if tokenizer else None  # one vocabulary file
 
     def run(batches):
-        tok, chunk, size = WordTokenizer(definition.value), TaskContext.get().partitionId() << 32, 0
-        for b in slices(batches):
-            got, chunks = tok.encode(b.column(1).to_pylist()), []
-            for e in got:
-                if size and size + len(e) // 4 > chunk_tokens:
-                    chunk, size = chunk + 1, 0
-                size += len(e) // 4
-                chunks.append(chunk)
-            n = [len(e) // 4 for e in got]
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), b.column(0), pa.array([packed(e) for e in got], pa.binary()), pa.array(n, pa.int64())], names=["chunk", "doc_id", "ids", "n"])
-
-    return d.mapInArrow(run, f"chunk long, doc_id {d.schema['doc_id'].dataType.simpleString()}, ids binary, n long")
+        tok, chunk = WordTokenizer(shared.value) if shared else None, TaskContext.get().partitionId() << 32
+        for b in parts(batches, 1, chunk_bytes):
+            words, codes, lens = ids_of(tok, b.column(1)) if tok else words_of(b.column(1))
+            ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
+            cols = [pa.array([x], k) for x, k in ((chunk, pa.int64()), (len(codes), pa.int64()), (lens.tobytes(), pa.binary()), (words.tobytes(), pa.binary()), (_pack(codes), pa.binary()), ([], pa.list_(pa.binary())))]
+            yield pa.RecordBatch.from_arrays([*cols, ids], names=["chunk", "n", "lens", "words", "codes", "left", "docs"])
+            chunk += 1
 
+    return d.mapInArrow(run, f"chunk long, n long, lens binary, words binary, codes binary, left array<binary>, docs array<{d.schema['doc_id'].dataType.simpleString()}>")
 
-def packed(ids: bytes) -> bytes:
-    """Ids of 16 bits where all fit, compressed; the first byte tells the width."""
-    a = np.frombuffer(ids, dtype="<u4")
-    wide = bool(len(a)) and int(a.max()) > 0xFFFF
-    return (b"4" if wide else b"2") + zstandard.ZstdCompressor(level=1).compress(a.astype("<u4" if wide else "<u2").tobytes())
 
+def exploded(state: DataFrame, k: int) -> DataFrame:
+    """chunk, gram, n and docs: the n-grams of order k of each chunk that another document may hold."""
 
-def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), dtype="<u" + chr(data[0])).astype(np.uint32)
-
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                grams, n, docs = Chunk(row).counted(k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), row["chunk"])), pa.array(grams.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(docs.astype(np.int8))], names=["chunk", "gram", "n", "docs"])
 
-def grams_of(ids: np.ndarray, order: int) -> np.ndarray:
-    """The n-grams of one order, each a long that ends in the order."""
-    ids = ids.astype(np.int64)
-    if len(ids) < order:
-        return np.zeros(0, dtype=np.int64)
-    out = ids[: len(ids) - order + 1].copy()
-    for k in range(1, order):
-        out = out * BASE + ids[k : len(ids) - order + 1 + k]
-    return out * 4 + order
+    return state.select("chunk", "lens", "words", "codes", "left").mapInArrow(run, "chunk long, gram long, n int, docs tinyint")
 
 
-def _grams_below(ids: np.ndarray, top: int) -> np.ndarray:
-    return np.concatenate([grams_of(ids, k) for k in range(1, top + 1)])
+def totals(grams: DataFrame) -> DataFrame:
+    """chunk, gram and total of each gram that two documents or more hold: dealt and sorted by gram, summed over its chunks."""
 
+    def told(chunk: np.ndarray, gram: np.ndarray, n: np.ndarray, docs: np.ndarray):
+        begin = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+        size = np.diff(np.append(begin, len(gram)))
+        kept = np.repeat(np.add.reduceat(docs.astype(np.int64), begin) > 1, size)
+        total = np.repeat(np.add.reduceat(n.astype(np.int64), begin), size)
+        return pa.RecordBatch.from_arrays([pa.array(chunk[kept]), pa.array(gram[kept]), pa.array(total[kept])], names=["chunk", "gram", "total"])
 
-def chunk_grams(tokens: DataFrame, order: int) -> DataFrame:
-    """chunk, gram and n: n-grams of order 1 to order, counted within runs of a chunk's rows."""
+    def run(batches):
+        held: list[tuple] = []  # rows of the last gram, which may go on: one for each chunk that holds it
+        for b in batches:
+            cols = tuple(c.to_numpy() for c in b.columns)
+            if not len(cols[1]):
+                continue
+            last = int(np.searchsorted(cols[1], cols[1][-1]))
+            if held and held[0][1][0] == cols[1][0] and not last:
+                held.append(cols)
+                continue
+            ready = tuple(np.concatenate(x) for x in zip(*held, tuple(c[:last] for c in cols)))
+            if len(ready[1]):
+                yield told(*ready)
+            held = [tuple(c[last:] for c in cols)]
+        if held:
+            yield told(*(np.concatenate(x) for x in zip(*held)))
+
+    return grams.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "chunk long, gram long, total long")
+
+
+def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, n_words, log_score and mean_log_score of each row of docs.  tokenizer: the path of a vocabulary file."""
+    if order < 1:
+        raise ValueError("order is 1 or more")
+    state = materialize(chunks(docs, doc_id, text, chunk_bytes, tokenizer), "chunks", block_bytes=16 << 20)
+    n_words = state.agg(F.sum("n")).first()[0] or 0
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def learner(k: int):
+        def learn(left: pa.Table, right: pa.Table) -> pa.Table:
+            row = left.to_pylist()[0]
+            c = Chunk(row)
+            c.learn(k, right.column("gram").to_numpy().view(np.uint64), right.column("total").to_numpy())
+            if k < order:
+                more = pa.array([[*row["left"], _pack(c.left[-1])]], pa.list_(pa.binary()))
+                return left.set_column(left.schema.get_field_index("left"), "left", more)
+            ids = pa.concat_arrays([x.flatten() for x in left.column("docs").chunks])
+            sums, full = c.scores(n_words), c.lens > 0
+            return pa.table([ids, pa.array(c.lens), pa.array(sums, mask=~full), pa.array(sums / np.maximum(c.lens, 1), mask=~full)], names=["doc_id", "n_words", "log_score", "mean_log_score"])
+
+        return learn
 
-    def count(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        all_grams, all_n = (np.concatenate(x) for x in zip(*held))
-        grams, place = np.unique(all_grams, return_inverse=True)
-        return grams, np.bincount(place, weights=all_n, minlength=len(grams)).astype(np.int64)
+    for k in range(1, order + 1):
+        told = totals(exploded(state, k))
+        out = state.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(learner(k), state.schema if k < order else f"doc_id {kind}, n_words long, log_score double, mean_log_score double")
+        if k == order:
+            return out
+        after = materialize(out, f"order-{k}", block_bytes=16 << 20)
+        discard(state)
+        state = after
 
-    def emit(chunk: int, counted: tuple[np.ndarray, np.ndarray]):
-        grams, n = counted
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), chunk, dtype=np.int64)), pa.array(grams), pa.array(n)], names=["chunk", "gram", "n"])
 
-    def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size, last = 0, None
-        for b in slices(batches):
-            for chunk, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if last is not None and chunk != last:
-                    yield emit(last, count(held))
-                    held, size = [], 0
-                last = chunk
-                grams = _grams_below(unpacked(ids), order)
-                held.append((grams, np.ones(len(grams), dtype=np.int64)))
-                size += len(grams)
-                if size > 500_000:
-                    held, size = [count(held)], 0
-        if last is not None:
-            yield emit(last, count(held))
-
-    return tokens.select("chunk", "ids").mapInArrow(run, "chunk long, gram long, n long")
-
-
-def score_document(ids: np.ndarray, grams: np.ndarray, totals: np.ndarray, n_tokens: int, order: int, backoff: float = BACKOFF) -> float:
-    """The sum of natural logarithms of stupid-backoff scores of one document's tokens, its own counts taken out.
-
-    grams (sorted) and totals: the counts over all documents of at least this document's n-grams.
-    """
-    n = len(ids)
-    left: dict[int, np.ndarray] = {}
-    for k in range(1, order + 1):
-        own = grams_of(ids, k)
-        if not len(own):
-            left[k] = np.zeros(0, dtype=np.int64)
-            continue
-        _, place, count = np.unique(own, return_inverse=True, return_counts=True)
-        left[k] = totals[np.searchsorted(grams, own)] - count[place]
-    rest = max(1, n_tokens - n)
-    out = np.log(np.maximum(left[1], 0.5) / rest)
+def op10_lm_score(spark, sf_dir: str) -> DataFrame:
+    d = lm_score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return d.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+def _oracle(order: int) -> str:
+    """Counts of each order, each document's own taken out, the longest one that is left for each word."""
+    count = "\n".join(
+        f"g{k} AS (SELECT rid, p, c - own AS left_{k} FROM (SELECT rid, p, count(*) OVER (PARTITION BY g) AS c, count(*) OVER (PARTITION BY g, rid) AS own "
+        f"FROM (SELECT rid, p, array_to_string(w[p:p + {k - 1}], ' ') AS g FROM places WHERE p + {k - 1} <= len(w)))),"
+        for k in range(1, order + 1)
+    )
+    score = f"ln(greatest(u.left_1, 0.5) / greatest(1, (SELECT sum(len(w)) FROM d) - n))"
     for k in range(2, order + 1):
-        if n < k:
-            break
-        here = left[k]  # of the n-gram that ends at token k - 1 and on
-        context = left[k - 1][: len(here)]
-        seen = here > 0
-        lower = out[k - 1 :] + np.log(backoff)
-        out[k - 1 :] = np.where(seen, np.log(np.maximum(here, 1) / np.maximum(context, 1)), lower)
-    return float(out.sum())
-
-
-def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, chunk_tokens: int = CHUNK_TOKENS, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, log_score and mean_log_score of each row of docs."""
-    if not 1 <= order <= 3:
-        raise ValueError("order is 1, 2 or 3")
-    tokens = materialize(tokenize(docs, doc_id, text, chunk_tokens, tokenizer), "tokens")
-    n_tokens = tokens.agg(F.sum("n")).first()[0] or 0
-    grams = materialize(chunk_grams(tokens, order), "grams")
-    counts = grams.groupBy("gram").agg(F.sum("n").alias("total"))
-    told = grams.select("chunk", "gram").join(counts, "gram")
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        gram, total = right.column("gram").to_numpy(), right.column("total").to_numpy()
-        gram, first = np.unique(gram, return_index=True)
-        total = total[first]
-        size, logs = [], []
-        for e in left.column("ids").to_pylist():
-            ids = unpacked(e)
-            size.append(len(ids))
-            logs.append(score_document(ids, gram, total, n_tokens, order) if len(ids) else None)
-        mean = [x / n if n else None for x, n in zip(logs, size)]
-        return pa.table([left.column("doc_id"), pa.array(size, pa.int64()), pa.array(logs, pa.float64()), pa.array(mean, pa.float64())], names=["doc_id", "n_tokens", "log_score", "mean_log_score"])
-
-    return tokens.select("chunk", "doc_id", "ids").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, n_tokens long, log_score double, mean_log_score double")
+        context = "c1.left_1" if k == 2 else f"c{k - 1}.left_{k - 1}"
+        score = f"CASE WHEN a{k}.left_{k} IS NULL THEN {score} WHEN a{k}.left_{k} > 0 THEN ln(a{k}.left_{k} / {context}) ELSE {score} + ln({BACKOFF}) END"
+    joins = "\n".join(f"LEFT JOIN g{k} a{k} ON a{k}.rid = o.rid AND a{k}.p = o.p - {k - 1} LEFT JOIN g{k - 1} c{k - 1} ON c{k - 1}.rid = o.rid AND c{k - 1}.p = o.p - {k - 1}" for k in range(2, order + 1))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+places AS (SELECT rid, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS p FROM d),
+{count}
+scored AS (SELECT o.rid, sum({score}) AS s FROM places o JOIN g1 u ON u.rid = o.rid AND u.p = o.p
+{joins} GROUP BY o.rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(s, 4) AS log_score, round(s / len(w), 6) AS mean_log_score FROM d LEFT JOIN scored USING (rid)
+"""
 
 
-def op10_lm_score(spark, sf_dir: str) -> DataFrame:
-    return lm_score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+ORACLE = _oracle(ORDER)

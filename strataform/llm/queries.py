@@ -14,4 +14,4 @@ QUERIES = {
     "op9_quality": bytecnn.op9_quality,
     "op10_lm_score": lmscore.op10_lm_score,
 }
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op3_decontamination": decontam.ORACLE, "op5_warc": warc.ORACLE, "op6_url_filter": urlfilter.ORACLE}
+ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op3_decontamination": decontam.ORACLE, "op5_warc": warc.ORACLE, "op6_url_filter": urlfilter.ORACLE, "op10_lm_score": lmscore.ORACLE}

@@ -45,7 +45,7 @@ def none(spark):
     return docs_of(spark, [])
 
 
-@pytest.mark.parametrize("name", ["op1_quality_rules", "op3_decontamination", "op5_warc", "op6_url_filter"])
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op3_decontamination", "op5_warc", "op6_url_filter", "op10_lm_score"])
 def test_oracles(spark, duck, sf_dir, same_rows, name):
     assert same_rows(QUERIES[name](spark, sf_dir), duck.sql(ORACLES[name]))
 
@@ -426,32 +426,53 @@ def test_gradients():
     net.p = real
 
 
-def test_lm_brute(spark, odd, none):
-    rows = [(i, t, None, None, None) for i, t in enumerate(["the cat sat", "the cat ran", "a dog sat", "the the the", None, "cat"])]
-    got = {r.doc_id: r for r in lmscore.lm_score(docs_of(spark, rows), chunk_tokens=4).collect()}
+def lm_brute(docs, order):
+    """The definition, by counting every n-gram of every other document."""
+    gram = lambda x, at, k: tuple(x[at : at + k])
+    seen = lambda others, g: sum(gram(x, at, len(g)) == g for x in others for at in range(len(x) - len(g) + 1))
+    every, out = sum(map(len, docs)), []
+    for i, x in enumerate(docs):
+        others, total = docs[:i] + docs[i + 1 :], 0.0
+        for at in range(len(x)):
+            s = max(seen(others, gram(x, at, 1)), 0.5) / max(1, every - len(x))
+            for k in range(2, min(order, at + 1) + 1):
+                c = seen(others, gram(x, at - k + 1, k))
+                s = c / seen(others, gram(x, at - k + 1, k - 1)) if c else 0.4 * s
+            total += np.log(s)
+        out.append(total if x else None)
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 5])
+def test_lm_brute(spark, odd, none, order):
+    rng = random.Random(order)
+    texts = ["the cat sat", "the cat ran", "a dog sat", "the the the", None, "cat", " \n"] + [" ".join(rng.choice("abAB") for _ in range(rng.randint(0, 9))) for _ in range(20)]
+    texts += [texts[-1], "one two three four five six", "One  two three\tfour five six ", "zero one two three four five six"]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    want = lm_brute([(t or "").lower().split() for t in texts], order)
+    for chunk_bytes in (1, 40, 1 << 20):
+        got = {r.doc_id: r for r in lmscore.lm_score(docs_of(spark, rows), order=order, chunk_bytes=chunk_bytes).collect()}
+        for i, w in enumerate(want):
+            assert got[i].n_words == len((texts[i] or "").split())
+            assert got[i].log_score is None if w is None else abs(got[i].log_score - w) < 1e-9
+    assert lmscore.lm_score(odd, order=order).count() == len(ODD) and lmscore.lm_score(none, order=order).count() == 0
+
+
+def test_lm_token_ids(spark):
+    texts = ["the cat sat on it", "The cats ran", None, "the cat sat"]
     tok = tokens.WordTokenizer(open(tokens.default_path()).read())
-    ids = {i: np.frombuffer(tok.encode([t])[0], "<u4").tolist() for i, t, *_ in rows}
-    every = [w for x in ids.values() for w in x]
-    uni = lambda xs, w: sum(x.count(w) for x in xs)
-    bi = lambda xs, p: sum(list(zip(x, x[1:])).count(p) for x in xs)
-    for i, x in ids.items():
-        others, total = [v for k, v in ids.items() if k != i], 0.0
-        for k, w in enumerate(x):
-            low = max(uni(others, w), 0.5) / max(1, len(every) - len(x))
-            if k:
-                c = bi(others, (x[k - 1], w))
-                low = c / uni(others, x[k - 1]) if c else 0.4 * low
-            total += np.log(low)
-        assert got[i].n_tokens == len(x)
-        assert got[i].log_score is None if not x else abs(got[i].log_score - total) < 1e-9
-    assert lmscore.lm_score(odd, order=3).count() == len(ODD) and lmscore.lm_score(none).count() == 0
-
-
-def test_lm_chunks_agree(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    one = {r.doc_id: r.log_score for r in lmscore.lm_score(docs).collect()}
-    many = {r.doc_id: r.log_score for r in lmscore.lm_score(docs, chunk_tokens=3000).collect()}
-    assert one.keys() == many.keys() and all(one[i] == many[i] or abs(one[i] - many[i]) < 1e-6 for i in one)
+    want = lm_brute([np.frombuffer(e, "<u4").tolist() for e in tok.encode(texts)], 3)
+    got = lmscore.lm_score(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), order=3, tokenizer=tokens.default_path()).collect()
+    assert all((r.log_score is None) == (want[r.doc_id] is None) and (r.log_score is None or abs(r.log_score - want[r.doc_id]) < 1e-9) for r in got)
+
+
+def test_lm_tells_repeats(spark):
+    """A document that another repeats scores far above its like."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["ba", "do", "ki", "lu", "ma", "ne", "po"]) + rng.choice("xyz") for _ in range(60)) for _ in range(300)]
+    texts[7] = texts[250]
+    got = {r.doc_id: r.mean_log_score for r in lmscore.lm_score(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert min(got[7], got[250]) > max(v for k, v in got.items() if k not in (7, 250)) + 1
 
 
 def test_held_out(spark):
