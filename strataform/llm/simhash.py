@@ -6,10 +6,11 @@ a radius of two.  Every distinct fingerprint emits, for each drop, all variants
 itself and each single flip of a kept bit.  Fingerprints within the radius share a variant.  A shuffle on
 variants brings them together; each bucket verifies whole fingerprints and emits a spanning forest of its
 links, never all its pairs.  That takes 131 rows for each fingerprint, where variants of all 64 bits within
-two flips take 2081, and finds the same links.
+two flips take 2081, and finds the same links; ``whole=True`` emits those 2081 instead.
 
 Buckets hold distinct fingerprints alone (copies are aggregated before), and no bucket is cut short.
-Components come from alternating large-star and small-star rounds over written tables.
+Components come from alternating large-star and small-star rounds over written tables; nodes with many links get their
+minimum by a broadcast whose rows are bounded by the count of links, so that no key's links meet in one task.
 
 Cases: text that is null or without words has fingerprint zero, linked like any other.  Repeated rows
 keep a row each.  A null doc_id is never a component's smallest unless all its ids are null (then the
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_small, extended, fresh, materialize, slices
+from .common import checked_small, discard, extended, fresh, materialize, slices
 
 RADIUS = 4
 SHINGLE = 4
@@ -77,8 +78,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def variants(fps: DataFrame, fp: str = "_fp") -> DataFrame:
-    """_key and _fp: each variant of each fingerprint; the dropped block of a key says which block it is."""
+def variants(fps: DataFrame, fp: str = "_fp", whole: bool = False) -> DataFrame:
+    """_key and _fp: each variant of each fingerprint; the dropped block of a key says which block it is.
+
+    whole: no block is dropped, and a variant flips up to two of all 64 bits.
+    """
+    if whole:
+        flips = [0, *(1 << i for i in range(64)), *(1 << i | 1 << j for i in range(64) for j in range(i))]
+        d = fps.select(F.col(fp).alias("_fp"), F.explode(F.array(*(F.lit(_signed(x)).cast("long") for x in flips))).alias("_v"))
+        return d.select(F.col("_fp").bitwiseXOR(F.col("_v")).alias("_key"), "_fp")
     parts = []
     for i, (a, b) in enumerate(BLOCKS):
         dropped = ((1 << (b - a)) - 1) << a
@@ -143,13 +151,22 @@ def _bucket_edges(batches):
         yield emit(np.full(sum(map(len, held_f)), held_k), np.concatenate(held_f))
 
 
+#: Rows of minima that are broadcast in a round of components, at most; by arithmetic, not by a count of them.
+HUBS = 50_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) of each node of edges(a, b), by large-star and small-star rounds."""
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        j = both.join(least, "a")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        if 4 * n <= HUBS:  # at most two rows a link
+            j = both.join(F.broadcast(least), "a")
+        else:  # of 2n links, at most HUBS / 2 nodes have more than 4n / HUBS
+            bound = 4 * n // HUBS
+            hubs = both.join(F.broadcast(least.filter(F.col("n") > bound).select("a", "m")), "a", "left")
+            j = hubs.filter("m IS NOT NULL").unionByName(hubs.filter("m IS NULL").select("a", "b").join(least.filter(F.col("n") <= bound).select("a", "m"), "a"))
         if large:
             out = j.filter("b > a").select(F.col("b").alias("x"), "m")
         else:
@@ -163,14 +180,16 @@ def components(edges: DataFrame) -> DataFrame:
         if now == sign or not now[0]:
             break
         sign = now
-        at = materialize(star(star(at, True), False), "stars")
+        after = materialize(star(star(at, True, now[0]), False, 2 * now[0]), "stars")
+        discard(at)
+        at = after
     roots = at.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
 
 
-def link_fingerprints(fps: DataFrame) -> DataFrame:
+def link_fingerprints(fps: DataFrame, whole: bool = False) -> DataFrame:
     """_fp and root of every fingerprint that links to another; fps has distinct _fp."""
-    buckets = variants(fps).repartition("_key").sortWithinPartitions("_key")
+    buckets = variants(fps, whole=whole).repartition("_key").sortWithinPartitions("_key")
     return components(buckets.mapInArrow(_bucket_edges, "a long, b long"))
 
 
@@ -183,7 +202,7 @@ def duplicate_groups(ids: DataFrame, doc_id: str = "_doc", fp: str = "_fp") -> D
     linked = materialize(link_fingerprints(distinct.select("_fp")), "components")
     grouped = distinct.join(linked, distinct._fp == linked.node, "left").select("_fp", "_least", "_n", "root")
     grouped = grouped.filter("_n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "_fp"))
-    least = grouped.groupBy("root").agg(F.min("_least").alias("component_id"))
+    least = checked_small(grouped.groupBy("root").agg(F.min("_least").alias("component_id")), "least")
     return grouped.join(least, "root").select("_fp", "component_id")
 
 
@@ -197,9 +216,9 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group: that of the smallest doc_id (one of them, where it repeats)."""
     name = fresh(docs, "_fp")
-    ids = materialize(with_fingerprint(docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_t")), "_t", keep=["_doc"]), "simhash")
-    groups = checked_small(duplicate_groups(ids).select(F.col("_fp").alias("_g"), F.col("component_id").alias("_c")), "groups")
-    return keep_least(docs, with_fingerprint(docs, text, name), name, groups, doc_id)
+    marked = materialize(with_fingerprint(docs, text, name), "marked")
+    groups = checked_small(duplicate_groups(marked.select(F.col(doc_id).alias("_doc"), F.col(name).alias("_fp"))).select(F.col("_fp").alias("_g"), F.col("component_id").alias("_c")), "groups")
+    return keep_least(docs, marked, name, groups, doc_id)
 
 
 def keep_least(docs: DataFrame, marked: DataFrame, name: str, groups: DataFrame, doc_id: str) -> DataFrame:

@@ -244,6 +244,38 @@ def test_links_brute(spark):
     assert {k: r for k, r in want.items() if len(size[r]) > 1} == got
 
 
+def test_whole_balls_find_the_same_links(spark):
+    """All 2081 variants of each fingerprint, and the 131 of dropped blocks."""
+    rng, fps = random.Random(8), set()
+    for _ in range(12):
+        at = rng.getrandbits(63)
+        for _ in range(6):
+            fps.add(at)
+            at ^= sum(1 << b for b in rng.sample(range(63), rng.choice([1, 3, 4, 5])))
+    d = spark.createDataFrame([(f,) for f in fps], "_fp long")
+    both = [{(r.node, r.root) for r in simhash.link_fingerprints(d, whole=w).collect()} for w in (False, True)]
+    assert both[0] == both[1] and both[0] and spark.range(1).select(F.col("id").alias("_fp")).transform(lambda x: simhash.variants(x, whole=True)).count() == 2081
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """Hubs by broadcast and the other nodes by shuffle give what union-find gives."""
+    monkeypatch.setattr(simhash, "HUBS", 40)
+    rng = random.Random(6)
+    edges = [(0, rng.randint(1, 400)) for _ in range(150)] + [(rng.randint(1, 900), rng.randint(1, 900)) for _ in range(250)] + [(5000 + i, 5001 + i) for i in range(30)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in up if any(x in e and e[0] != e[1] for e in edges)}
+
+
 def test_bucket_runs_span_batches():
     import pyarrow as pa
 
@@ -502,7 +534,15 @@ def test_pipeline_brute(spark, sf_dir):
     ids = sorted(docs)
     ids = [i for i, s in zip(ids, net.score([docs[i].text for i in ids])) if s >= 0.7]
     ids = [i for i, (x, s, _) in zip(ids, langid.Labeller(model).label([docs[i].text for i in ids])) if x != "und" and s >= 0.5]
-    comp = brute_components({i: brute_fingerprint(docs[i].text) for i in ids})
+    words = {i: (docs[i].text or "").translate({c: c + 32 for c in range(65, 91)}) for i in ids}
+    words = {i: re.findall("[^\\x20\\x09-\\x0D]+", t) for i, t in words.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    comp = {i: i for i in ids}
+    for i in ids:  # all pairs, at Jaccard 0.8
+        for j in ids:
+            if i < j and comp[i] != comp[j] and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                a, b = sorted((comp[i], comp[j]))
+                comp = {k: a if c == b else c for k, c in comp.items()}
     ids = [i for i in ids if comp[i] == i]
     search = decontam.Searcher([(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])
     ids = [i for i in ids if not search.search(decontam.words_of(docs[i].text))[0]]
