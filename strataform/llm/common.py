@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -67,6 +68,19 @@ def discard(df: DataFrame) -> None:
     _remove(df.sparkSession, df._written)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more, now rather than at the driver's next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def file_system(uri: str):
+    """pyarrow's file system of a path in the shared folder, and the path there."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
 def checked_small(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Write df; mark it for broadcast only if its counted rows are at most limit.
 

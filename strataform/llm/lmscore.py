@@ -1,16 +1,20 @@
 """LM scoring: stupid-backoff scores of documents, from n-gram counts over all documents.
 
 A word is a run of other than white space, A-Z lower-cased (or an id of a public tokenizer, if one is named).  An n-gram is
-a 64-bit hash of its words.  Documents stand in chunks of about ``chunk_bytes`` of text, written once with their words as
-codes.  Each order is a round of relations: grams (chunk, gram, n, docs), exploded from the chunks, one row for an n-gram
-of a chunk; counts, the sum over chunks, in tables partitioned by the gram's hash; and counts joined back to the chunks
-that hold the gram, where each document's own occurrences are taken out (leave one out).  What is left of a position's
-n-gram and of its context gives its score; what no other document holds backs off with factor 0.4, down to single words,
-where a word not seen elsewhere counts half.  Scores are summed for each document.
+a 64-bit hash of its words.  Documents stand in chunks of about ``chunk_bytes`` of text.  Each order is a round of
+relations: grams (bucket, chunk), exploded from the chunks, with how often a chunk holds each n-gram and whether several
+of its documents do; counts, partitioned by the bucket of the hash and summed over chunks; and counts joined back to the
+chunks that hold the n-gram, where each document's own occurrences are taken out (leave one out).  What is left of a
+position's n-gram and of its context gives its score; what no other document holds backs off with factor 0.4, down to
+single words, where a word not seen elsewhere counts half.  Scores are summed for each document.
 
-A round explodes only n-grams whose two parts of one order less are both held by another document: all others are held by
-no other document either, whatever the counts, so nothing is lost.  Counts are never broadcast or collected, a frequent
-n-gram has one row a chunk, and a task holds one chunk with its n-grams at a time.
+A row holds the n-grams that one chunk has in one bucket, sorted and packed, so that shuffles move six bytes an n-gram
+and few rows.  Buckets are as many as the counted words need.  A round explodes only n-grams whose two parts of one order
+less are both held by another document: all others are held by no other document either, so nothing is lost.  A frequent
+n-gram counts once a chunk; nothing is broadcast or collected; a task holds one chunk, or one bucket, at a time.
+
+A chunk's words, as codes, and what is left of each order are files in the shared folder, written once, under names that no
+other attempt has, and read by the rounds that need them; rows with their paths are all that rounds shuffle of them.
 
 Cases: null and wordless texts have n_words 0 and null scores.  Repeated rows are documents of their own, which see one
 another.  A text longer than a chunk is a chunk.  Texts shorter than the order are scored by the orders that they have.
@@ -19,6 +23,8 @@ An empty table gives no rows.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, file_system, forget, materialize, scratch
 from .tokens import WordTokenizer, parts
 
 ORDER = 5
 BACKOFF = 0.4
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 8 << 20
+#: Words of the corpus for one bucket of n-gram hashes.
+BUCKET_WORDS = 1_000_000
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,28 +71,63 @@ def mixed(h: np.ndarray, w) -> np.ndarray:
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+    """The bytes of each place together, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
 
 
 def _unpack(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
+    plain = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(plain.reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def pack_sorted(a: np.ndarray) -> bytes:
+    return _pack(np.diff(a, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
+
+
+def _file(folder: str, data: bytes) -> str:
+    """Written under a name of its own."""
+    fs, path = file_system(folder)
+    fs.create_dir(path, recursive=True)
+    name = uuid.uuid4().hex
+    with fs.open_output_stream(f"{path}/{name}", compression=None) as f:
+        f.write(data)
+    return f"{folder}/{name}"
+
+
+def _read(path: str) -> bytes:
+    fs, name = file_system(path)
+    with fs.open_input_stream(name, compression=None) as f:
+        return f.read()
 
 
 class Chunk:
     """The words of a chunk's documents, and what other documents hold of the n-grams that start at each."""
 
-    def __init__(self, row: dict):
-        self.lens = np.frombuffer(row["lens"], dtype=np.int64)
-        self.words, self.codes = np.frombuffer(row["words"], dtype=np.uint64), _unpack(row["codes"], np.uint32)
-        self.ends = np.repeat(np.cumsum(self.lens), self.lens)
-        self.left = [_unpack(x, np.uint32) for x in row["left"]]
+    def __init__(self, lens: np.ndarray, words: np.ndarray, codes: np.ndarray, left: list[np.ndarray]):
+        self.lens, self.words, self.codes, self.left = lens, words, codes, left
+        self.ends = np.repeat(np.cumsum(lens), lens)
+
+    @classmethod
+    def of(cls, path: str, left: list[str]) -> "Chunk":
+        data = _read(path)
+        a, b = np.frombuffer(data[:16], dtype=np.int64)
+        return cls(np.frombuffer(data[16 : 16 + a], dtype=np.int64), np.frombuffer(data[16 + a : 16 + a + b], dtype=np.uint64), _unpack(data[16 + a + b :], np.uint32), [_unpack(_read(x), np.uint32) for x in left])
+
+    def write(self, folder: str) -> str:
+        parts = self.lens.tobytes(), self.words.tobytes()
+        return _file(folder, np.array([len(x) for x in parts], dtype=np.int64).tobytes() + b"".join(parts) + _pack(self.codes))
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the n-grams of order k that another document may hold: their places, sorted by hash, their hashes, whether a gram begins, and whether a document begins in it."""
         at = np.arange(len(self.codes))
         fit = at + k <= self.ends
         if k > 1:
-            seen = self.left[k - 2] > 0
+            seen = self.left[-1] > 0
             fit &= seen
             fit[:-1] &= seen[1:]
         at = at[fit]
@@ -108,15 +151,13 @@ class Chunk:
         return h[begin], np.diff(np.append(begin, len(h))), np.minimum(np.add.reduceat(own.astype(np.int64), begin), 2)
 
     def learn(self, k: int, grams: np.ndarray, totals: np.ndarray) -> None:
-        """Take out each document's own occurrences from the totals of the grams that several documents hold."""
+        """Take out each document's own occurrences from the totals of the grams (sorted) that several documents hold."""
         at, h, new, own = self.grams(k)
         left = np.zeros(len(self.codes), dtype=np.uint32)
         if len(at) and len(grams):
-            order = np.argsort(grams)
-            grams, totals = grams[order], totals[order]
             begin = np.flatnonzero(new)
             place = np.minimum(np.searchsorted(grams, h[begin]), len(grams) - 1)
-            total = np.where(grams[place] == h[begin], totals[place], 0)[np.cumsum(new) - 1]
+            total = np.where(grams[place] == h[begin], totals[place].astype(np.int64), 0)[np.cumsum(new) - 1]
             held = np.diff(np.append(np.flatnonzero(own), len(h)))[np.cumsum(own) - 1]
             left[at] = np.minimum(np.where(total > 0, total - held, 0), 0xFFFFFFFF)
         self.left.append(left)
@@ -138,8 +179,11 @@ class Chunk:
         return sums
 
 
-def chunks(docs: DataFrame, doc_id: str, text: str, chunk_bytes: int, tokenizer: str | None) -> DataFrame:
-    """chunk, n (words), docs (ids), lens, words, codes and left (nothing yet).  No shuffle."""
+STATE = "chunk long, n long, path string, left array<string>"
+
+
+def chunks(docs: DataFrame, doc_id: str, text: str, chunk_bytes: int, tokenizer: str | None, folder: str) -> DataFrame:
+    """chunk, n (words), path, left (nothing yet) and docs (ids).  No shuffle."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     shared = d.sparkSession.sparkContext.broadcast(open(tokenizer).read()) if tokenizer else None  # one vocabulary file
 
@@ -147,71 +191,84 @@ def chunks(docs: DataFrame, doc_id: str, text: str, chunk_bytes: int, tokenizer:
         tok, chunk = WordTokenizer(shared.value) if shared else None, TaskContext.get().partitionId() << 32
         for b in parts(batches, 1, chunk_bytes):
             words, codes, lens = ids_of(tok, b.column(1)) if tok else words_of(b.column(1))
+            path = Chunk(lens, words, codes, []).write(folder)
             ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
-            cols = [pa.array([x], k) for x, k in ((chunk, pa.int64()), (len(codes), pa.int64()), (lens.tobytes(), pa.binary()), (words.tobytes(), pa.binary()), (_pack(codes), pa.binary()), ([], pa.list_(pa.binary())))]
-            yield pa.RecordBatch.from_arrays([*cols, ids], names=["chunk", "n", "lens", "words", "codes", "left", "docs"])
+            cols = [pa.array([x], k) for x, k in ((chunk, pa.int64()), (len(codes), pa.int64()), (path, pa.string()), ([], pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays([*cols, ids], names=["chunk", "n", "path", "left", "docs"])
             chunk += 1
 
-    return d.mapInArrow(run, f"chunk long, n long, lens binary, words binary, codes binary, left array<binary>, docs array<{d.schema['doc_id'].dataType.simpleString()}>")
+    return d.mapInArrow(run, f"{STATE}, docs array<{d.schema['doc_id'].dataType.simpleString()}>")
 
 
-def exploded(state: DataFrame, k: int) -> DataFrame:
-    """chunk, gram, n and docs: the n-grams of order k of each chunk that another document may hold."""
+_GRAMS = "bucket long, chunk long, grams binary, n binary"
+_MANY = np.uint32(1 << 31)
 
-    def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                grams, n, docs = Chunk(row).counted(k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), row["chunk"])), pa.array(grams.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(docs.astype(np.int8))], names=["chunk", "gram", "n", "docs"])
 
-    return state.select("chunk", "lens", "words", "codes", "left").mapInArrow(run, "chunk long, gram long, n int, docs tinyint")
+def _rows(bucket, chunk, grams, n):
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(chunk, pa.int64()), pa.array(grams, pa.binary()), pa.array(n, pa.binary())], names=["bucket", "chunk", "grams", "n"])
 
 
-def totals(grams: DataFrame) -> DataFrame:
-    """chunk, gram and total of each gram that two documents or more hold: dealt and sorted by gram, summed over its chunks."""
-
-    def told(chunk: np.ndarray, gram: np.ndarray, n: np.ndarray, docs: np.ndarray):
-        begin = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-        size = np.diff(np.append(begin, len(gram)))
-        kept = np.repeat(np.add.reduceat(docs.astype(np.int64), begin) > 1, size)
-        total = np.repeat(np.add.reduceat(n.astype(np.int64), begin), size)
-        return pa.RecordBatch.from_arrays([pa.array(chunk[kept]), pa.array(gram[kept]), pa.array(total[kept])], names=["chunk", "gram", "total"])
+def exploded(state: DataFrame, k: int, buckets: int) -> DataFrame:
+    """bucket, chunk, grams and n: the n-grams of order k of each chunk that another document may hold; the top bit of n tells that several documents of the chunk do."""
 
     def run(batches):
-        held: list[tuple] = []  # rows of the last gram, which may go on: one for each chunk that holds it
         for b in batches:
-            cols = tuple(c.to_numpy() for c in b.columns)
-            if not len(cols[1]):
-                continue
-            last = int(np.searchsorted(cols[1], cols[1][-1]))
-            if held and held[0][1][0] == cols[1][0] and not last:
-                held.append(cols)
-                continue
-            ready = tuple(np.concatenate(x) for x in zip(*held, tuple(c[:last] for c in cols)))
-            if len(ready[1]):
-                yield told(*ready)
-            held = [tuple(c[last:] for c in cols)]
-        if held:
-            yield told(*(np.concatenate(x) for x in zip(*held)))
-
-    return grams.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "chunk long, gram long, total long")
-
-
-def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, tokenizer: str | None = None) -> DataFrame:
+            for chunk, path, left in zip(*(b.column(i).to_pylist() for i in range(3))):
+                grams, n, docs = Chunk.of(path, left[-1:] if k > 1 else []).counted(k)
+                n = np.minimum(n, 0x7FFFFFFF).astype(np.uint32) | np.where(docs > 1, _MANY, np.uint32(0))
+                place = (grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True]))) if len(place) else [0]
+                runs = list(zip(cut[:-1], cut[1:]))
+                yield _rows([int(place[i]) for i, _ in runs], [chunk] * len(runs), [pack_sorted(grams[i:j]) for i, j in runs], [_pack(n[i:j]) for i, j in runs])
+
+    return state.select("chunk", "path", "left").repartition("chunk").mapInArrow(run, _GRAMS)
+
+
+def totals(grams: DataFrame) -> DataFrame:
+    """bucket, chunk, grams and n: of the n-grams that two documents or more hold, how often all chunks do."""
+
+    def told(table: pa.Table) -> pa.Table:
+        chunk = table.column("chunk").to_pylist()
+        own = [unpack_sorted(x) for x in table.column("grams").to_pylist()]
+        n = np.concatenate([_unpack(x, np.uint32) for x in table.column("n").to_pylist()])
+        every = np.concatenate(own)
+        order = np.argsort(every, kind="stable")
+        begin = np.flatnonzero(np.concatenate(([True], every[order][1:] != every[order][:-1])))
+        run = np.empty(len(every), dtype=np.int64)
+        run[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(every))))
+        shared = np.add.reduceat(np.where(n[order] & _MANY, 2, 1), begin) > 1
+        total = np.minimum(np.add.reduceat((n[order] & ~_MANY).astype(np.int64), begin), 0xFFFFFFFF).astype(np.uint32)
+        out, at = [], 0
+        for g in own:
+            r = run[at : at + len(g)]
+            at += len(g)
+            kept = shared[r]
+            out.append((pack_sorted(g[kept]), _pack(total[r[kept]])))
+        return pa.Table.from_batches([_rows(table.column("bucket").to_pylist(), chunk, [x for x, _ in out], [x for _, x in out])])
+
+    return grams.groupBy("bucket").applyInArrow(told, _GRAMS)
+
+
+def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, tokenizer: str | None = None, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """doc_id, n_words, log_score and mean_log_score of each row of docs.  tokenizer: the path of a vocabulary file."""
     if order < 1:
         raise ValueError("order is 1 or more")
-    state = materialize(chunks(docs, doc_id, text, chunk_bytes, tokenizer), "chunks", block_bytes=16 << 20)
+    spark = docs.sparkSession
+    folder = scratch(spark, "lm-chunks")
+    state = materialize(chunks(docs, doc_id, text, chunk_bytes, tokenizer, folder), "chunks")
     n_words = state.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-n_words // bucket_words))
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def learner(k: int):
         def learn(left: pa.Table, right: pa.Table) -> pa.Table:
             row = left.to_pylist()[0]
-            c = Chunk(row)
-            c.learn(k, right.column("gram").to_numpy().view(np.uint64), right.column("total").to_numpy())
+            c = Chunk.of(row["path"], row["left"] if k == order else row["left"][-1:])
+            back = sorted(zip(*(right.column(x).to_pylist() for x in ("bucket", "grams", "n"))))
+            grams = np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(x) for _, x, _ in back)])
+            c.learn(k, grams, np.concatenate([np.zeros(0, np.uint32), *(_unpack(x, np.uint32) for _, _, x in back)]))
             if k < order:
-                more = pa.array([[*row["left"], _pack(c.left[-1])]], pa.list_(pa.binary()))
+                more = pa.array([[*row["left"], _file(folder, _pack(c.left[-1]))]], pa.list_(pa.string()))
                 return left.set_column(left.schema.get_field_index("left"), "left", more)
             ids = pa.concat_arrays([x.flatten() for x in left.column("docs").chunks])
             sums, full = c.scores(n_words), c.lens > 0
@@ -220,13 +277,17 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order:
         return learn
 
     for k in range(1, order + 1):
-        told = totals(exploded(state, k))
+        told = materialize(totals(exploded(state, k, buckets)), f"counts-{k}")
+        forget(spark)
         out = state.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(learner(k), state.schema if k < order else f"doc_id {kind}, n_words long, log_score double, mean_log_score double")
         if k == order:
             return out
-        after = materialize(out, f"order-{k}", block_bytes=16 << 20)
+        after = materialize(out, f"order-{k}")
+        discard(told)
         discard(state)
         state = after
+        del out, told
+        forget(spark)
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:

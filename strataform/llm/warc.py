@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_small, materialize, scratch
+from .common import checked_small, file_system, materialize, scratch
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20
@@ -120,12 +120,6 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return headers, data[begin:end], end + 4
 
 
-def _file_system(uri: str):
-    from pyarrow.fs import FileSystem
-
-    return FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def decide(pages: DataFrame, page_id: str, payload: str, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """pages with _payload, _digest and _first: the page_id of the response with an equal payload, where payloads repeat."""
     p = pages.withColumn("_payload", F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b"")))
@@ -147,7 +141,7 @@ def write_bundles(pages: DataFrame, folder: str, page_id: str = "page_id", url:
             rows = []
             for page, link, body, digest, refers in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if writer is None:
-                    fs, path = _file_system(folder)
+                    fs, path = file_system(folder)
                     fs.create_dir(path, recursive=True)
                     name = f"bundle-{uuid.uuid4().hex}.warc.zst"
                     writer = BundleWriter(fs.open_output_stream(f"{path}/{name}", compression=None), frame_bytes)
@@ -176,7 +170,7 @@ def read_bundles(index: DataFrame, payloads: bool = False) -> DataFrame:
     names = [x.split()[0] for x in RECORD.split(", ")]
 
     def records(bundle: str):
-        fs, path = _file_system(bundle)
+        fs, path = file_system(bundle)
         with fs.open_input_file(path) as f:
             reader = BundleReader(f)
             for i in range(len(reader.frames)):
@@ -215,7 +209,7 @@ def fetch(index: DataFrame, record_id: str) -> tuple[dict[str, str], bytes]:
     r = index.filter(F.col("record_id") == record_id).first()
     if r is None:
         raise KeyError(record_id)
-    fs, path = _file_system(r.bundle)
+    fs, path = file_system(r.bundle)
     with fs.open_input_file(path) as f:
         return parse_record(BundleReader(f).record(r.frame, r.offset, r.length))[:2]
 
