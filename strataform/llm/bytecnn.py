@@ -3,7 +3,8 @@
 A text's UTF-8 bytes are cut into overlapping chunks that cover the whole text.  Bytes are embedded, learned
 filters slide over each chunk, and each filter's maximum in a chunk is kept.  A text's features are, for each
 filter, the largest, the mean and the smallest of its chunk maxima; a logistic layer combines them into one
-probability.  Embedding, filters and layer are trained together by Adam.
+probability.  Embedding, filters and layer are trained together by Adam.  A step takes CHUNKS_A_DOC chunks of a longer
+training text, drawn anew each time; scores read all chunks.
 
 Scoring adds, for each place in a filter, one row of a table of 256 bytes, which is embedding times filter.
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, extended, fresh, held_out, slices, table
+from .common import SAMPLE_CHARS, bounded_sample, extended, fresh, held_out, slices, table
 
 #: Labelled documents that the network is fitted on, at most about this many.
 TRAIN_DOCS = 2500
@@ -146,9 +147,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
     Labels that contradict one another or are null are left out.
     """
     told = labels.filter(~held_out(doc_id) & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("i")).agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("z")).filter("y = z").select("i", "y")
-    told = bounded_sample(told, "i", limit)
+    told = bounded_sample(told, ["i"], limit)
     d = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"))
-    rows = sorted(d.join(F.broadcast(told), "i").collect(), key=lambda r: (r.i, r.t or ""))  # bounded by limit
+    few = d.filter(F.length(F.coalesce("t", F.lit(""))) <= SAMPLE_CHARS).join(F.broadcast(told), "i").dropDuplicates(["i", "t"]).limit(2 * limit)
+    rows = sorted(few.collect(), key=lambda r: (r.i, r.t or ""))
     return ByteNetwork().fit([r.t for r in rows], [r.y for r in rows])
 
 

@@ -1,13 +1,13 @@
 """Benchmark decontamination: Wu-Manber search for windows of benchmark words in whole documents.
 
-Words are the symbols.  Patterns are the windows: ten consecutive words of an item, or all words of a
+Words are the symbols, as numbers of a vocabulary of the benchmark's own words.  Patterns are the windows: ten consecutive words of an item, or all words of a
 shorter one.  Patterns of one length form one searcher: a block is the last two words at a position (one,
 for patterns of one word); the shift table says how far the window can move without missing a pattern; a
 block with shift zero selects, by its hash, the bucket of patterns that end in it; direct comparison of
-the words confirms an occurrence.
+the words confirms an occurrence.  Tables are sorted arrays; a full block takes some tens of MB in a worker.
 
-The benchmark is read in blocks of a bounded number of bytes; each block is one pass over the batch, and
-hits add up, so a benchmark of any size is searched whole.
+The benchmark is read in blocks of a bounded number of bytes; each block is one pass over the documents, written before
+the next one starts where there are several, and hits add up, so a benchmark of any size is searched whole.
 
 Cases: null text or text without words has no words and no hits; so has a null item.  Items with equal
 windows all count.  Repeated rows keep a row each.  A null item_id counts as the text ``null``.
@@ -18,72 +18,117 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, fresh, slices, table
+from .common import discard, extended, fresh, materialize, slices, table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 WINDOW = 10
 #: Bytes of benchmark text in one block of patterns, which is what is broadcast at a time.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.translate(_LOWER) if text else "")
 
 
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct row, and which of these each row is: by hashes, if no two rows share one by chance."""
+    h = np.zeros(len(rows), dtype=np.uint64)
+    for c in rows.T:
+        h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    _, kept, same = np.unique(h, return_index=True, return_inverse=True)
+    if not (rows[kept[same]] == rows).all():
+        _, kept, same = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+    return kept, same
+
+
 class WuManber:
-    """Patterns of one length m, each a tuple of words with the items that hold it."""
-
-    def __init__(self, m: int, patterns: dict[tuple, set]):
-        self.m, self.block = m, min(2, m)
-        self.shift: dict[tuple, int] = {}
-        self.bucket: dict[tuple, list[tuple]] = {}
-        self.items = patterns
-        for p in patterns:
-            for end in range(self.block, m + 1):
-                key = p[end - self.block : end]
-                self.shift[key] = min(self.shift.get(key, m), m - end)
-            self.bucket.setdefault(p[m - self.block :], []).append(p)
-
-    def search(self, words: list[str]):
-        """The start and pattern of each occurrence."""
-        m, b, shift, bucket = self.m, self.block, self.shift, self.bucket
-        far, at, n = m - b + 1, m, len(words)
-        while at <= n:
-            key = tuple(words[at - b : at])
-            move = shift.get(key, far)
+    """Patterns of m words: all windows of m words of some texts.  texts: (item, word numbers)."""
+
+    def __init__(self, m: int, texts: list[tuple[int, np.ndarray]], size: int):
+        self.m, self.block, self.size = m, min(2, m), size
+        self.flat = np.concatenate([t for _, t in texts])
+        lens = np.array([len(t) for _, t in texts], dtype=np.int64)
+        base = np.cumsum(lens) - lens
+        place = np.arange(len(self.flat)) - np.repeat(base, lens)
+        left = np.repeat(lens, lens) - place  # words from here to the end of the text
+        # a block at place p ends a window if p >= m - block; else a window that holds it ends m - block - p words on
+        at = np.flatnonzero(left >= self.block)
+        codes, shifts = self._codes(self.flat)[at], np.maximum(0, m - self.block - place[at])
+        order = np.lexsort((shifts, codes))
+        codes, shifts = codes[order], shifts[order]
+        first = np.concatenate(([True], codes[1:] != codes[:-1]))
+        self.codes, self.shifts = codes[first], shifts[first].astype(np.int32)
+        # distinct windows, and the items of each
+        starts = np.flatnonzero(left >= m)
+        rows = self.flat[starts[:, None] + np.arange(m)]
+        kept, same = _distinct(rows)
+        owner = np.repeat(np.array([i for i, _ in texts], dtype=np.int64), lens)[starts]
+        pairs = np.unique(np.stack([same.ravel(), owner], axis=1), axis=0)
+        self.owners, self.cut = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(kept) + 1))
+        suffix = self._codes(self.flat)[starts[kept] + m - self.block]
+        order = np.argsort(suffix, kind="stable")
+        self.suffix, self.window, self.begin = suffix[order], order, starts[kept][order]
+
+    def _codes(self, words: np.ndarray) -> np.ndarray:
+        """A number for the block at each place (the last place of a longer block has none that counts); -1 with a word that no item has."""
+        if self.block == 1:
+            return words.astype(np.int64)
+        w = words.astype(np.int64)
+        nxt = np.append(w[1:], -1)
+        return np.where((w < 0) | (nxt < 0), -1, w * self.size + nxt)
+
+    def search(self, words: np.ndarray):
+        """The start and window of each occurrence."""
+        m, b, n = self.m, self.block, len(words)
+        if n < m:
+            return
+        if not (words >= 0).any():
+            return
+        codes = self._codes(words)
+        spot = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        moves = np.where(self.codes[spot] == codes, self.shifts[spot], m - b + 1).tolist()
+        at = m - b  # the place of the window's last block
+        while at <= n - b:
+            move = moves[at]
             if move:
                 at += move
                 continue
-            window = tuple(words[at - m : at])
-            for p in bucket[key]:
-                if p == window:
-                    yield at - m, p
-                    break  # patterns are distinct
+            low, high = np.searchsorted(self.suffix, codes[at]), np.searchsorted(self.suffix, codes[at], side="right")
+            start = at + b - m
+            if high > low:
+                same = (self.flat[self.begin[low:high, None] + np.arange(m)] == words[start : start + m]).all(axis=1)
+                for k in np.flatnonzero(same):
+                    yield start, int(self.window[low + k])
             at += 1
 
 
 class Searcher:
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        by_length: dict[int, dict[tuple, set]] = {}
-        for item, text in items:
+        self.names, self.vocabulary = [i for i, _ in items], {}
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for k, (_, text) in enumerate(items):
             words = words_of(text)
-            m = min(window, len(words))
-            for i in range(len(words) - m + 1) if m else ():
-                by_length.setdefault(m, {}).setdefault(tuple(words[i : i + m]), set()).add(item)
-        self.searchers = [WuManber(m, p) for m, p in sorted(by_length.items())]
+            if words:
+                numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], dtype=np.int32)
+                by_length.setdefault(min(window, len(words)), []).append((k, numbers))
+        self.searchers = [WuManber(m, t, len(self.vocabulary)) for m, t in sorted(by_length.items())]
 
     def search(self, words: list[str]) -> tuple[set[int], set[str]]:
         """Positions of hit words, and items with an occurring window."""
         hit, items = set(), set()
+        get = self.vocabulary.get
+        numbers = np.fromiter((get(w, -1) for w in words), dtype=np.int32, count=len(words))
         for s in self.searchers:
-            for at, p in s.search(words):
+            for at, k in s.search(numbers):
                 hit.update(range(at, at + s.m))
-                items |= s.items[p]
+                items.update(self.names[i] for i in s.owners[s.cut[k] : s.cut[k + 1]])
         return hit, items
 
 
@@ -122,13 +167,18 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     span_type = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
     schema = extended(docs, f"{names[0]} long, {names[1]} array<struct<begin:int,end:int>>, {names[2]} array<string>")
     sc = docs.sparkSession.sparkContext
-    out = None
+    out = written = None
     for block in blocks(benchmark, item_id, item_text, block_bytes):
-        items = sc.broadcast(block)  # at most block_bytes
+        shared = sc.broadcast(Searcher(block, window))  # a few times block_bytes at most
         first = out is None
-
-        def run(batches, items=items, first=first):
-            searcher = Searcher(items.value, window)
+        if not first:  # one pass at a time, so that one block's tables are in a worker at a time
+            before = written
+            out = written = materialize(out, "passages")
+            if before is not None:
+                discard(before)
+
+        def run(batches, shared=shared, first=first):
+            searcher = shared.value
             for b in slices(batches):
                 texts = b.column(place).to_pylist()
                 if not first:

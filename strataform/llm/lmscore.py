@@ -39,7 +39,7 @@ from .tokens import WordTokenizer, parts
 
 ORDER = 5
 BACKOFF = 0.4
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 #: Words of the corpus for one bucket of n-gram hashes.
 BUCKET_WORDS = 1_000_000
 
@@ -277,11 +277,13 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order:
         return learn
 
     for k in range(1, order + 1):
-        told = totals(exploded(state, k, buckets))
+        told = materialize(totals(exploded(state, k, buckets)), f"counts-{k}")
+        forget(spark)
         out = state.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(learner(k), state.schema if k < order else f"doc_id {kind}, n_words long, log_score double, mean_log_score double")
         if k == order:
             return out
         after = materialize(out, f"order-{k}")
+        discard(told)
         discard(state)
         state = after
         del out, told

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_small
+from .common import checked_small, materialize
 
 SPACE = "[ \\t-\\r]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -85,7 +85,7 @@ def quality_rules(docs: DataFrame, max_line_docs: int = 20, min_left_words: int
     if few enough; else the join is shuffled, where adaptive execution splits hot lines.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), F.col(host).alias("_src"))
-    lines = document_lines(d, "doc_id", "_text", "_src")
+    lines = materialize(document_lines(d, "doc_id", "_text", "_src"), "lines")  # hashes and places; the texts are cut into lines once
     frequent = checked_small(frequent_lines(lines, max_line_docs).select("_line"), "frequent-lines")
     removed = (
         lines.join(frequent, "_line", "left_semi")

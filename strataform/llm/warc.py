@@ -10,7 +10,7 @@ Payloads of ``min_revisit`` bytes or more that repeat are written once, for the
 revisit records that refer to it and keep length and digest in their headers.
 
 Cases: a null payload is empty.  A null url is an empty target.  Of repeated rows with the smallest page_id all
-are responses.  A null page_id never is the smallest; a payload of such rows alone has responses only.  An empty
+are responses.  Ids are percent-encoded in headers, so any text, the empty one too, comes back as it was.  A null page_id never is the smallest; a payload of such rows alone has responses only.  An empty
 table gives no bundles and no rows.
 """
 
@@ -20,17 +20,20 @@ import hashlib
 import io
 import struct
 import uuid
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_small, file_system, materialize, scratch
+from .common import file_system, materialize, scratch
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20
 MIN_REVISIT = 100
+#: Tasks of a read, at most; each reads its bundles one after the other.
+MOST_TASKS = 20_000
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "record_id string, bundle string, frame int, offset long, length long"
@@ -97,15 +100,22 @@ def make_record(page_id, url: str | None, payload: bytes, digest: str, refers_to
     """A response, or a revisit of refers_to, whose HTTP header tells the payload's length."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
+    name = lambda x: "" if x is None else "=" + quote(str(x), safe="")
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:x-page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:x-page:{name(page_id)}>", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:x-page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: <urn:x-page:{name(refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def page_of(head: dict[str, str], header: str = "WARC-Record-ID") -> str | None:
+    """The page_id in a header; null for the name of none."""
+    text = head[header][len("<urn:x-page:") : -1]
+    return unquote(text[1:]) if text else None
+
+
 def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at a place."""
     stop = data.index(b"\r\n\r\n", at)
@@ -120,14 +130,26 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return headers, data[begin:end], end + 4
 
 
-def decide(pages: DataFrame, page_id: str, payload: str, min_revisit: int = MIN_REVISIT) -> DataFrame:
+def prefix_of(digest: str):
+    """The first 20 bits."""
+    return F.conv(F.substring(digest, 1, 5), 16, 10).cast("int")
+
+
+def decide(pages: DataFrame, page_id: str, payload: str, min_revisit: int = MIN_REVISIT, broadcast_rows: int = 200_000) -> DataFrame:
     """pages with _payload, _digest and _first: the page_id of the response with an equal payload, where payloads repeat."""
     p = pages.withColumn("_payload", F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b"")))
     p = p.withColumn("_digest", F.sha2("_payload", 256))
     keyed = p.select(F.col(page_id).alias("_page"), "_digest", F.length("_payload").alias("_n")).filter(F.col("_n") >= min_revisit)
     repeats = keyed.groupBy("_digest").agg(F.min("_page").alias("_first"), F.count(F.lit(1)).alias("_copies")).filter("_copies > 1").select(F.col("_digest").alias("_d"), "_first")
-    repeats = checked_small(repeats, "repeats", 200_000)
-    return p.join(repeats, F.col("_digest") == F.col("_d"), "left").drop("_d")
+    repeats = materialize(repeats, "repeats")
+    n = repeats.count()
+    if n <= broadcast_rows:
+        return p.join(F.broadcast(repeats), F.col("_digest") == F.col("_d"), "left").drop("_d")
+    # A bit for each prefix of a repeated digest: a table of bounded size, by which the other payloads stay where they are.
+    marks = repeats.select(prefix_of("_d").alias("_at")).distinct()
+    p = p.join(F.broadcast(marks), prefix_of("_digest") == F.col("_at"), "left")  # at most 2^20 rows
+    alone = p.filter("_at IS NULL").drop("_at").withColumn("_first", F.lit(None).cast(pages.schema[page_id].dataType))
+    return alone.unionByName(p.filter("_at IS NOT NULL").drop("_at").join(repeats, F.col("_digest") == F.col("_d"), "left").drop("_d"))
 
 
 def write_bundles(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_revisit: int = MIN_REVISIT, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -183,7 +205,7 @@ def read_bundles(index: DataFrame, payloads: bool = False) -> DataFrame:
                     body = block[stop:]
                     if refers is None and (len(body) != n or hashlib.sha256(body).hexdigest() != digest):
                         raise ValueError(f"payload of {head['WARC-Record-ID']} in {bundle} is damaged")
-                    yield head["WARC-Record-ID"][12:-1] or None, n, digest, head["WARC-Type"], refers and refers[12:-1], head["WARC-Target-URI"], body if payloads else None
+                    yield page_of(head), n, digest, head["WARC-Type"], refers and page_of(head, "WARC-Refers-To"), head["WARC-Target-URI"], body if payloads else None
 
     def run(batches):
         kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
@@ -200,10 +222,40 @@ def read_bundles(index: DataFrame, payloads: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
 
     bundles = index.select("bundle").distinct()
-    out = bundles.repartition("bundle").mapInArrow(run, RECORD)
+    # rows of a name each stand for megabytes: as many tasks as bundles, up to MOST_TASKS, whatever the names' bytes
+    out = bundles.repartition(max(1, min(MOST_TASKS, bundles.count())), "bundle").mapInArrow(run, RECORD)
     return out if payloads else out.drop("payload")
 
 
+def read_records(index: DataFrame) -> DataFrame:
+    """record_id, frame_id (the record's own header), payload_bytes and payload_digest of each row of the index, each read by its frame and offset alone; a frame is unpacked once for the records asked of it."""
+
+    def run(batches):
+        for b in batches:
+            out, opened = [], {}
+            for name, bundle, frame, offset, length in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if opened.get("bundle") != bundle:
+                    if opened:
+                        opened["file"].close()
+                    fs, path = file_system(bundle)
+                    opened = {"bundle": bundle, "file": fs.open_input_file(path)}
+                    opened["reader"] = BundleReader(opened["file"])
+                if opened.get("frame") != frame:
+                    opened["frame"], opened["plain"] = frame, opened["reader"].frame(frame)
+                head, block, end = parse_record(opened["plain"][offset : offset + length])
+                if end != length:
+                    raise ValueError(f"the index of {name} is wrong")
+                http = dict(x.split(": ", 1) for x in block[: block.index(b"\r\n\r\n")].decode().split("\r\n")[1:])
+                out.append((name, page_of(head), int(http["Content-Length"]), head["WARC-Payload-Digest"].removeprefix("sha256:")))
+            if opened:
+                opened["file"].close()
+            cols = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.string()))], names=["record_id", "frame_id", "payload_bytes", "payload_digest"])
+
+    ordered = index.repartition(max(1, min(MOST_TASKS, index.select("bundle").distinct().count())), "bundle").sortWithinPartitions("bundle", "frame", "offset")
+    return ordered.select("record_id", "bundle", "frame", "offset", "length").mapInArrow(run, "record_id string, frame_id string, payload_bytes long, payload_digest string")
+
+
 def fetch(index: DataFrame, record_id: str) -> tuple[dict[str, str], bytes]:
     """Headers and block of one record: one seek, one frame."""
     r = index.filter(F.col("record_id") == record_id).first()
@@ -214,9 +266,17 @@ def fetch(index: DataFrame, record_id: str) -> tuple[dict[str, str], bytes]:
         return parse_record(BundleReader(f).record(r.frame, r.offset, r.length))[:2]
 
 
+def verify_index(index: DataFrame, one_in: int = 16) -> None:
+    """Read about one record in so many by its frame and offset alone; an error if another record stands there."""
+    some = index.filter(F.pmod(F.xxhash64("record_id"), F.lit(one_in)) == 0)
+    if read_records(some).filter(~F.col("record_id").eqNullSafe(F.col("frame_id"))).take(1):
+        raise ValueError("the index names a place where another record stands")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     index = write_bundles(pages, scratch(spark, "warc"))
+    verify_index(index)
     kind = pages.schema["page_id"].dataType.simpleString()
     return read_bundles(index).select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 

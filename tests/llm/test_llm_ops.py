@@ -109,6 +109,26 @@ def test_mixed_spans(spark, sf_dir):
     assert lang == "fr" and [s["lang"] for s in spans] == ["fr", "de"] and abs(spans[0]["end"] - 60) < 6
 
 
+def test_words_of_scripts():
+    """Numerals aren't letters, marks stay in words, and long runs are cut, not dropped."""
+    assert langid.words_of("\u00b2 \u00bd \u2167 \u2460 12 _") == [] and langid.words_of("Don't Stra\u00dfe") == ["don", "t", "stra\u00dfe"]
+    assert langid.words_of("\u0939\u093f\u0928\u094d\u0926\u0940") == ["\u0939\u093f\u0928\u094d\u0926\u0940"]
+    run = "".join(chr(0x4E00 + i) for i in range(500))
+    assert "".join(langid.words_of(run)) == run and len(langid.words_of(run)) == 13
+    two = langid.Labeller(langid.LanguageModel(["aaa aab aba", "bbb bba bab"], ["x", "y"]))
+    assert two.label(["\u2167 \u2460", None, "q"])[:2] == [("und", 0.0, [])] * 2
+    assert two.label(["aaa bbb"], spans=True)[0][:2] == ("x", 1.0)  # one switch costs more than it gains; a tie goes to the first
+
+
+def test_many_languages():
+    """More labels than a byte holds."""
+    names = [f"l{i:03}" for i in range(300)]
+    letters = [chr(97 + i % 26) + chr(97 + i // 26) for i in range(300)]
+    model = langid.LanguageModel([f"{w} " * 9 for w in letters], names)
+    got = langid.Labeller(model).label([f"{w} " * 5 for w in letters])
+    assert [x for x, _, _ in got] == names
+
+
 def test_viterbi_brute():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5):
@@ -153,6 +173,30 @@ def test_licences(spark, odd, none):
     assert licenses.scan_licences(none, licenses.train(none)).count() == 0
 
 
+def test_licence_passages(spark, odd):
+    """Wrapped notices, versions, several families, tags, and a notice amid a long line."""
+    model = licenses.train(odd)
+    wrapped = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    cases = {
+        wrapped: {"GPL-3.0"}, "GNU General Public License, version 1": {"GPL-1.0"}, "Licensed under the MIT and Apache 2.0 licenses.": {"MIT", "Apache-2.0"}, "SPDX-License-Identifier: Apache-2.0": {"Apache-2.0"},
+        "grey sky over town " * 200 + "Released under the MIT License. " + "and so they went home " * 200: {"MIT"}, "He studied at MIT and lived in Apache county.": set(),
+    }
+    rows = [(i, t, None, None, None) for i, t in enumerate(cases)]
+    got = {r.doc_id: {x.family for x in r.licences} for r in licenses.scan_licences(docs_of(spark, rows), model).collect()}
+    assert [got[i] for i in range(len(rows))] == list(cases.values())
+
+
+def test_licence_scores_brute(spark, odd):
+    """The probabilities by the definition: weights of each distinct known feature and the intercept, over the temperature, as a softmax."""
+    model = licenses.train(odd)
+    for t in ("licensed under the mit license", "a b c", "the gnu general public license version 2"):
+        words = t.split()
+        known = {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))} & set(model.place)
+        z = [(sum(model.weights[model.place[f], c] for f in known) + model.weights[-1, c]) / model.temperature for c in range(len(model.classes))]
+        e = [np.exp(x - max(z)) for x in z]
+        assert np.allclose(model.probabilities(words), np.array(e) / sum(e))
+
+
 def test_licences_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     named = docs.select("doc_id", F.col("text").rlike("(?m)^(Released under the MIT|Licensed under|This work is licensed|All rights reserved)").alias("has"))
@@ -171,9 +215,39 @@ def test_warc(spark):
     assert head["WARC-Target-URI"] == "u" and block.endswith(b"small")
     bodies = {r.page_id: bytes(r.payload) for r in warc.read_bundles(index, payloads=True).collect()}
     assert bodies["8"].decode() == "é" * 90000 and hashlib.sha256(bodies["1"]).hexdigest() == hashlib.sha256(big.encode()).hexdigest()
+    by_index = sorted((r.record_id or "", r.payload_bytes) for r in warc.read_records(index).collect() if r.record_id == r.frame_id)
+    assert by_index == sorted((a, n) for a, n, _, _ in got)
+    warc.verify_index(index, 1)
+    with pytest.raises(Exception, match="another record|no record|wrong"):
+        warc.verify_index(index.withColumn("offset", F.lit(0).cast("long")), 1)
     assert warc.read_bundles(warc.write_bundles(pages.limit(0), scratch(spark, "t"))).count() == 0
+    odd_ids = ["a b", "", None, "x\r\nWARC-Type: y", "\u00e9>"]
+    odd_pages = spark.createDataFrame([(i, "u", big) for i in odd_ids], "page_id string, url string, html string")
+    back = {(r.page_id, r.refers_to) for r in warc.read_bundles(warc.write_bundles(odd_pages, scratch(spark, "t"))).collect()}
+    assert back == {(i, None if i == "" else "") for i in odd_ids}
+
+
+def test_warc_many_repeats(spark):
+    """Beyond the bound of a broadcast, payloads that can't repeat stay out of the join; results are the same."""
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("y" * 100), (F.col("id") % 1700).cast("string")).alias("html"))
+    whole = warc.decide(pages, "page_id", "html").select("page_id", "_first")
+    split = warc.decide(pages, "page_id", "html", broadcast_rows=10).select("page_id", "_first")
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, split.collect())) and split.filter("_first IS NOT NULL").count() == 2600
 
 
+def test_blocks_of_a_large_benchmark(spark):
+    """Several blocks, each a pass of its own, find what one block finds; a full block's tables stay small."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(30)) + " " + items[rng.randrange(400)][1][5:200] for _ in range(60)]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    one, many = ({r.doc_id: (r.spans, sorted(r["items"])) for r in decontam.find_passages(docs, bench, block_bytes=n).collect()} for n in (decontam.BLOCK_BYTES, 200_000))
+    assert one == many and all(i for _, i in one.values())
+    s = decontam.Searcher([(str(i), t) for i, t in items])
+    size = sum(x.nbytes for w in s.searchers for x in vars(w).values() if isinstance(x, np.ndarray))
+    assert size < 8 * sum(len(t) for _, t in items) * 4
+
 def test_globs_brute(spark):
     rng = random.Random(2)
     to_re = lambda g: re.compile("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in g), re.S)
