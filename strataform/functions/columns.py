@@ -146,38 +146,94 @@ def strftime(format: str, value) -> Column:
     return F.date_format(_c(value), format)
 
 
-def snowflake_id(node: int = 0) -> Column:
-    """Milliseconds (41 bits), node (10) and a number within the partition (12, which wraps)."""
-    seq = F.monotonically_increasing_id().bitwiseAND(F.lit(4095))
-    return F.shiftleft(F.unix_millis(F.current_timestamp()), 22).bitwiseOR(F.lit((node & 1023) << 12)).bitwiseOR(seq)
+def snowflake_id(node: int = 0, base_ms: int | None = None) -> Column:
+    """Milliseconds (41 bits), node (10) and a number (12), distinct over all rows of a query.
+
+    The rows of partition p take the milliseconds from now + p * 2^18 on, and 4096 numbers of each, so that no two of
+    2^30 rows a partition meet.  Ids of two queries of one node meet only if their spans of milliseconds do.
+    """
+    at = F.monotonically_increasing_id()
+    part, row = F.shiftright(at, 33), at.bitwiseAND(F.lit((1 << 33) - 1))
+    now = F.lit(base_ms) if base_ms is not None else F.unix_millis(F.current_timestamp())
+    ms = now + F.shiftleft(part, 18) + F.shiftright(row, 12)
+    return F.shiftleft(ms, 22).bitwiseOR(F.lit((node & 1023) << 12)).bitwiseOR(row.bitwiseAND(F.lit(4095)))
 
 
 # Text
 
 
-STOP = "a an and are as at be by for from has he in is it its of on or that the to was were will with".split()
+# Results depend on these words and suffixes.
+STOP = """
+    a an the is it in on at to for of with by from as into through during before after above below between out off
+    over under again further then once here there when where why how all each every both few more most other some such no
+    nor not only own same so than too very can will just don should now
+    и в на за от да се е са по не че с към но или ако при до
+""".split()
+STOP_BY_LANGUAGE = {
+    "en": """
+        a an the is it in on at to for of with by from as into through during and or not but if then else when be was were
+        been being have has had do does did will would could should may this that these those i you he she we they
+    """.split(),
+    "bg": """
+        и в на за от да се е са по не че с към но или ако при до как какво кой коя кое кои този тази това тези със между
+        след преди без още вече само може трябва има няма
+    """.split(),
+    "de": "der die das ein eine und oder aber nicht ist sind war hat haben werden wird kann mit von für auf in an zu bei nach über unter vor zwischen durch gegen ohne".split(),
+    "fr": "le la les un une des et ou mais pas est sont était a ont sera peut avec de du pour sur dans par entre sous chez je tu il elle nous vous ils elles".split(),
+    "ru": "и в на не что он я с а как это по но они мы за от из у к бы ты его её их мой твой наш ваш свой который этот тот такой каждый".split(),
+}
+#: Of each language, suffixes in the order in which they are tried.
+SUFFIXES = {
+    "en": "ing tion ness ment able ies es ed ly s".split(),
+    "bg": "ища ище ция ние ост ски ство на та".split(),
+    "de": "ung heit keit lich isch chen schaft en er es".split(),
+    "fr": "ement ment tion eur euse ique esse eux er es".split(),
+    "ru": "ость ение ание тель ский ция ние ать ить ыть".split(),
+}
+# End of the fixed values.
 
 
 def tokens(text) -> Column:
-    """Lower-cased runs of letters, _ and -; of 2 to 64 characters; without stop words."""
+    """Lower-cased runs of letters, _ and -; of 2 to 64 bytes; without stop words."""
     stop = F.array(*map(F.lit, STOP))
-    return F.filter(F.regexp_extract_all(F.lower(_c(text)), F.lit(r"([\p{L}_-]+)"), 1), lambda t: F.length(t).between(2, 64) & ~F.array_contains(stop, t))
+    return F.filter(F.regexp_extract_all(F.lower(_c(text)), F.lit(r"([\p{L}_-]+)"), 1), lambda t: F.octet_length(t).between(2, 64) & ~F.array_contains(stop, t))
 
 
-def simple_stem(t) -> Column:
-    """The longest of a few English suffixes off, where three letters stay."""
-    return F.regexp_replace(_c(t), "^(.{3,}?)(ational|ization|ingly|ness|ment|tion|ing|edly|ies|ed|ly|es|s)$", "$1")
+def _stripped(t, suffixes: list[str]) -> Column:
+    """The first fitting suffix off; words of three bytes stay, and so do short words before the shortest suffixes."""
+    t, out = _c(t), F.when(F.octet_length(_c(t)) <= 3, _c(t))
+    for s in suffixes:
+        fits = t.endswith(s)
+        if s in ("es", "ed", "ly"):
+            fits = fits & (F.octet_length(t) > 4)
+        if s == "s":
+            fits = fits & ~t.endswith("ss")
+        cut = F.substring(t, F.lit(1), F.length(t) - len(s))
+        out = out.when(fits, F.concat(cut, F.lit("y")) if s == "ies" else cut)
+    return out.otherwise(t)
 
 
-STEMS = {
-    "en": "(ational|ization|ingly|ness|ment|ing|edly|ies|ed|ly|es|s)", "de": "(erinnen|ungen|heiten|keiten|lich|isch|ung|heit|keit|ern|em|er|en|es|e|s)",
-    "fr": "(issements|issement|ations|ation|ements|ement|euses|euse|ives|ive|és|ées|ée|er|es|s|e)", "ru": "(иями|ями|ами|ого|ему|ыми|ать|ить|ов|ев|ой|ая|ые|ий|ый|ам|ом|а|я|ы|и|о|е)", "bg": "(ията|ите|ата|ият|ът|та|то|те|ия|а|и|о|е)",
-}
+def simple_stem(t) -> Column:
+    """English suffixes, with -ible beside -able."""
+    own = SUFFIXES["en"]
+    return _stripped(t, [*own[:5], "ible", *own[5:]])
 
 
 def stem(t, lang: str = "en") -> Column:
-    """Languages without a list of suffixes use English's."""
-    return F.regexp_replace(_c(t), f"^(.{{3,}}?){STEMS.get(lang, STEMS['en'])}$", "$1")
+    """Languages without a list of suffixes use English's.  Outside English no suffix asks for a longer word."""
+    if lang in ("en",) or lang not in SUFFIXES:
+        return _stripped(t, SUFFIXES["en"])
+    out = F.when(F.octet_length(_c(t)) <= 3, _c(t))
+    for s in SUFFIXES[lang]:
+        out = out.when(_c(t).endswith(s), F.substring(_c(t), F.lit(1), F.length(_c(t)) - len(s)))
+    return out.otherwise(_c(t))
+
+
+def language_tokens(text, lang: str = "en") -> Column:
+    """Lower-cased runs of letters, digits, _ and -, stemmed, of two bytes or more, without the language's stop words."""
+    stop = F.array(*map(F.lit, STOP_BY_LANGUAGE.get(lang, STOP_BY_LANGUAGE["en"])))
+    words = F.regexp_extract_all(F.lower(_c(text)), F.lit(r"([\p{L}\p{Nd}_-]+)"), 1)
+    return F.filter(F.transform(words, lambda w: stem(w, lang)), lambda t: (F.octet_length(t) >= 2) & ~F.array_contains(stop, t))
 
 
 def detect_language(text) -> Column:

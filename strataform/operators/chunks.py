@@ -48,14 +48,24 @@ def recursive(text: str, size: int = 1024, overlap: int = 128, least: int = 64)
     return kept or [x for x in out if x][:1]
 
 
-def chunk(df: DataFrame, key: str = "doc_id", text: str = "text", strategy: str = "recursive", size: int = 1024, overlap: int = 128) -> DataFrame:
-    """key, index, text and size of each chunk."""
+def split_text(text: str, strategy: str = "recursive", size: int = 1024, overlap: int = 128, least: int = 64) -> list[str]:
+    """The chunks of one text: paragraph, sentence, fixed or recursive (which drops pieces under `least` characters, unless the text is one)."""
+    if strategy == "paragraph":
+        return [p for p in (x.strip(" \t\r\n") for x in text.split("\n\n")) if p]
+    if strategy == "sentence":
+        return [p for p in (x.strip(" \t\r\n") for x in re.split(r"(?<=[.?!]) ", text)) if p]
+    return fixed(text, size, overlap) if strategy == "fixed" else recursive(text, size, overlap, least)
+
+
+def chunk(df: DataFrame, key: str = "doc_id", text: str = "text", strategy: str = "recursive", size: int = 1024, overlap: int = 128, least: int = 64) -> DataFrame:
+    """key, index, chunk and size of each chunk of each text; null and blank texts have none."""
     kind = df.schema[key].dataType.simpleString()
-    cut = {"recursive": recursive, "fixed": fixed}[strategy]
+    if strategy not in ("paragraph", "sentence", "fixed", "recursive"):
+        raise ValueError(f"no strategy {strategy}")
 
     def run(batches):
         for b in batches:
-            rows = [(k, i, c, len(c)) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, c in enumerate(cut(t or "", size, overlap))]
+            rows = [(k, i, c, len(c)) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, c in enumerate(split_text(t or "", strategy, size, overlap, least))]
             cols = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32())], names=[key, "index", "chunk", "size"])
 

@@ -8,10 +8,10 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialize
+from ..sources.tables import discard, materialize, scratch
 
 
 class Graph:
@@ -60,31 +60,35 @@ class Graph:
 
     # Traversal
 
-    def bfs(self, start, max_depth: int = 1000, label: str | None = None) -> DataFrame:
-        """id, depth and parent (the smallest on a shortest path) of each node reachable from start."""
+    def bfs(self, start, max_depth: int | None = None, label: str | None = None, until=None) -> DataFrame:
+        """id, depth and parent (the smallest on a shortest path) of each node reachable from start, or up to the depth of `until`.
+
+        Each round writes its frontier alone; the folders of all rounds are one table.
+        """
         hops = self.edges if label is None else self.edges.filter(F.col("label") == label)
         hops = materialize(hops.select("src", "dst").distinct(), "hops")
         kind = hops.schema["src"].dataType
         spark = hops.sparkSession
-        seen = frontier = materialize(spark.range(1).select(F.lit(start).cast(kind).alias("id"), F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")), "bfs")
-        for depth in range(1, max_depth + 1):
+        base, depth = scratch(spark, "bfs"), 0
+        first = spark.range(1).select(F.lit(start).cast(kind).alias("id"), F.lit(None).cast(kind).alias("parent"))
+        first.write.parquet(f"{base}/depth=0")
+        while True:
+            seen = spark.read.schema(f"id {kind.simpleString()}, parent {kind.simpleString()}, depth int").parquet(base)
+            frontier = seen.filter(F.col("depth") == depth)
+            if (max_depth is not None and depth >= max_depth) or not frontier.take(1) or (until is not None and frontier.filter(F.col("id") == until).take(1)):
+                return seen.select("id", "depth", "parent")
             nxt = hops.join(frontier.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-            nxt = materialize(nxt.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent"), "bfs")
-            if not nxt.take(1):
-                return seen
-            seen, frontier = materialize(seen.unionByName(nxt), "bfs"), nxt
-        return seen
+            depth += 1
+            nxt.join(seen.select("id"), "id", "left_anti").write.parquet(f"{base}/depth={depth}")
 
     def shortest_path(self, start, end) -> list:
-        """Node ids from start to end, [] if there is none."""
-        reached = self.bfs(start)
-        path, at = [], end
-        while at is not None:
-            row = reached.filter(F.col("id") == at).first()
-            if row is None:
-                return []
-            path.append(at)
-            at = row.parent
+        """Node ids from start to end, [] if there is none; of any length.  The walk back reads one round's folder a step."""
+        reached = self.bfs(start, until=end)
+        row = reached.filter(F.col("id") == end).first()
+        path = []
+        while row is not None:
+            path.append(row.id)
+            row = None if row.depth == 0 else reached.filter((F.col("depth") == row.depth - 1) & (F.col("id") == row.parent)).first()
         return path[::-1]
 
     def dijkstra(self, start, weight: str = "weight") -> DataFrame:
@@ -100,20 +104,26 @@ class Graph:
         return best
 
     def pagerank(self, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-        """id and rank; the mass of nodes without out-edges goes to all."""
+        """id and rank; the mass of nodes without out-edges goes to all.  That mass is observed while a round's ranks are written: one job a round."""
         out = self.edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
         hops = materialize(self.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).join(out, "src").select("src", "dst", (F.col("m") / F.col("deg")).alias("share")), "hops")
         n = self.nodes.count()
-        ranks = materialize(self.nodes.select("id").distinct().join(out.select(F.col("src").alias("id"), F.lit(True).alias("_out")), "id", "left").select("id", F.col("_out").isNull().alias("_dangles"), F.lit(1.0 / max(1, n)).alias("rank")), "ranks")
-        for _ in range(rounds):
-            lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("_dangles"), F.col("rank"))), F.lit(0.0)).alias("l")).first()[0]
+        ranks = self.nodes.select("id").distinct().join(out.select(F.col("src").alias("id"), F.lit(True).alias("_out")), "id", "left").select("id", F.col("_out").isNull().alias("_dangles"), F.lit(1.0 / max(1, n)).alias("rank"))
+        mass = F.coalesce(F.sum(F.when(F.col("_dangles"), F.col("rank"))), F.lit(0.0)).alias("lost")
+        last = None
+        for i in range(rounds + 1):
+            seen = Observation()
+            ranks = materialize(ranks.observe(seen, mass), "ranks")
+            if last is not None:
+                discard(last)
+            last = ranks
+            if i == rounds:
+                return ranks.select("id", "rank")
             got = hops.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("g"))
-            new = ranks.select("id", "_dangles").join(got, "id", "left").select("id", "_dangles", ((1 - damping) / n + damping * (F.coalesce("g", F.lit(0.0)) + lost / n)).alias("rank"))
-            ranks = materialize(new, "ranks")
-        return ranks.select("id", "rank")
+            ranks = ranks.select("id", "_dangles").join(got, "id", "left").select("id", "_dangles", ((1 - damping) / max(1, n) + damping * (F.coalesce("g", F.lit(0.0)) + seen.get["lost"] / max(1, n))).alias("rank"))
 
-    def dfs(self, start, max_depth: int = 1000) -> DataFrame:
-        """id and position of a stack's preorder, the largest neighbour first.  Serial by nature: one task walks what BFS reaches."""
+    def dfs(self, start, max_depth: int | None = None) -> DataFrame:
+        """id and position of a stack's preorder, the largest neighbour first; of any depth, if none is given.  Serial by nature: one task walks what BFS reaches."""
         reached = self.bfs(start, max_depth).select(F.col("id").alias("src"))
         own = F.lit(start).cast(self.edges.schema["src"].dataType)
         rows = self.edges.join(reached, "src").select("src", "dst").distinct().unionByName(self.nodes.sparkSession.range(1).select(own.alias("src"), own.alias("dst")))
@@ -128,7 +138,7 @@ class Graph:
             seen, order, stack = set(), [], [(start, 0)]
             while stack:
                 at, depth = stack.pop()
-                if at in seen or depth > max_depth:
+                if at in seen or (max_depth is not None and depth > max_depth):
                     continue
                 seen.add(at)
                 order.append(at)
@@ -138,7 +148,38 @@ class Graph:
         return rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(walk, f"id {kind}, position long")
 
     def louvain(self, passes: int = 10) -> DataFrame:
-        """id and community (its smallest id): one level of greedy moves in id order.  Serial by nature, on one task."""
+        """id and community (its smallest id): one level of greedy moves.
+
+        Nodes of one colour (a bit of a hash that changes with the pass) move at once, each to the community of the largest gain,
+        ties to the smallest, if that gain beats staying; then the other colour.  Ends with a pass without a move.
+        """
+        both = self.edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
+        hops = materialize(both.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(both.filter("a <> b").select(F.col("b").alias("src"), F.col("a").alias("dst"), "w")), "hops")
+        state = materialize(hops.groupBy("src").agg(F.sum("w").alias("deg")).select(F.col("src").alias("id"), "deg", F.col("src").alias("c")), "communities")
+        total = state.agg(F.sum("deg")).first()[0] or 1.0
+        for p in range(passes):
+            moves = 0
+            for colour in (0, 1):
+                turn = F.pmod(F.xxhash64("id", F.lit(p)), F.lit(2)) == colour
+                weight = state.groupBy("c").agg(F.sum("deg").alias("weight"))
+                to = hops.filter("src <> dst").join(state.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id"), F.col("c").alias("to")).agg(F.sum("w").alias("w"))
+                own = state.filter(turn).select("id", F.col("c").alias("own"), "deg")
+                to = to.join(own, "id").unionByName(own.select("id", F.col("own").alias("to"), F.lit(0.0).alias("w"), "own", "deg")).groupBy("id", "to").agg(F.max("w").alias("w"), F.first("own").alias("own"), F.first("deg").alias("deg"))
+                gain = F.col("w") - (F.col("weight") - F.when(F.col("to") == F.col("own"), F.col("deg")).otherwise(0.0)) * F.col("deg") / total
+                rated = to.join(weight, to["to"] == weight["c"]).select("id", "own", "to", F.round(gain, 9).alias("gain"))
+                best = rated.groupBy("id").agg(F.max(F.struct("gain", (F.col("to") == F.col("own")).alias("stays"))).alias("top"), F.max(F.when(F.col("to") == F.col("own"), F.col("gain"))).alias("stay"))
+                go = rated.join(best.filter("top.gain > stay"), "id").filter("gain = top.gain").groupBy("id").agg(F.min("to").alias("to"))
+                new = materialize(state.join(go, "id", "left").select("id", "deg", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("_moved")), "communities")
+                moves += new.filter("_moved").count()
+                discard(state)
+                state = new
+            if not moves:
+                break
+        least = state.groupBy("c").agg(F.min("id").alias("community"))
+        return self.nodes.select("id").join(state.join(least, "c").select("id", "community"), "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+
+    def louvain_serial(self, passes: int = 10) -> DataFrame:
+        """id and community (its smallest id): one level of greedy moves, one node after the other in id order, on one task."""
         rows = self.edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
         kind = rows.schema["a"].dataType.simpleString()
 
@@ -190,21 +231,28 @@ class Graph:
         told = near.join(deg, "n").select("id", "n", (1 / F.log("d")).alias("w"))
         return told.alias("x").join(told.alias("y"), F.expr("x.n = y.n AND x.id < y.id")).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.sum("x.w").alias("similarity"))
 
-    def node2vec(self, dims: int = 64, walks: int = 4, length: int = 8) -> DataFrame:
-        """id and a vector of co-occurrence features of deterministic walks: all nodes step at once, a join a step."""
-        near = self.edges.groupBy(F.col("src").alias("at")).agg(F.array_sort(F.collect_set("dst")).alias("near"))
-        near = materialize(near, "near")
-        at = self.nodes.select("id", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("w"), F.col("id").alias("at"))
-        visits = None
+    def node2vec(self, dims: int = 64, walks: int = 5, length: int = 10) -> DataFrame:
+        """id and a vector of each node: of its neighbours on deterministic walks, the share of each, in the dimension of its hash; 0.01 everywhere for a node that no walk leaves or enters.
+
+        All walks step at once.  Step s of walk w takes the neighbour at place (17 s + 31 w) modulo their number, in their order; places are rows, so a hub is never one value.
+        """
+        pairs = self.edges.select("src", "dst").distinct()
+        near = materialize(pairs.select("src", "dst", (F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1).alias("place")), "near")
+        sizes = materialize(near.groupBy(F.col("src").alias("at")).agg(F.count(F.lit(1)).alias("n")), "sizes")
+        own = self.nodes.select("id").distinct()
+        at = own.select(F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("w"), F.col("id").alias("at")).withColumn("k", F.lit(1).cast("long"))
+        steps = None
         for step in range(length):
-            at = at.join(near, "at").select("id", "w", F.element_at("near", (F.pmod(F.lit(step * 17) + F.col("w") * 31, F.size("near")) + 1).cast("int")).alias("at"))
-            at = materialize(at, "walk")
-            visits = at if visits is None else visits.unionByName(at)
-        counts = visits.groupBy("id", F.pmod(F.xxhash64("at"), F.lit(dims)).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("c"))
-        held = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("m"))
-        total = F.sqrt(F.aggregate(F.map_values("m"), F.lit(0.0), lambda s, x: s + x * x))
-        vec = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)) / total)
-        return held.select("id", vec.alias("embedding"))
+            spot = at.join(sizes, "at").select("w", "at", "k", F.pmod(F.lit(step * 17) + F.col("w") * 31, F.col("n")).cast("int").alias("place"))
+            gone = spot.join(near, (spot["at"] == near["src"]) & (spot["place"] == near["place"])).groupBy("w", "at", "dst").agg(F.sum("k").alias("k"))
+            gone = materialize(gone, "walk")  # walks that meet go on together
+            steps = gone if steps is None else steps.unionByName(gone)
+            at = gone.groupBy("w", F.col("dst").alias("at")).agg(F.sum("k").alias("k"))
+        met = steps.filter("at <> dst").select(F.col("at").alias("id"), F.col("dst").alias("other"), "k").unionByName(steps.filter("at <> dst").select(F.col("dst").alias("id"), F.col("at").alias("other"), "k"))
+        counts = met.groupBy("id", F.pmod(F.xxhash64("other"), F.lit(dims)).cast("int").alias("d")).agg(F.sum("k").alias("c"))
+        held = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("d", "c"))).alias("m"), F.sum("c").alias("total"))
+        vec = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("total"), F.lit(0.0)))
+        return own.join(held, "id", "left").select("id", F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.01), dims)).otherwise(vec).alias("embedding"))
 
     # Patterns
 
@@ -254,15 +302,15 @@ class Graph:
             out = out.orderBy(*(F.col(k).desc_nulls_last() if d else F.col(k).asc_nulls_last() for k, d in keys))
         return out.limit(int(limit)) if limit else out
 
-    def graph_table(self, algorithm: str, start=None, end=None, max_depth: int = 1000, label: str | None = None) -> DataFrame:
+    def graph_table(self, algorithm: str, start=None, end=None, max_depth: int | None = None, label: str | None = None) -> DataFrame:
         """_node_id, _node_label and what the algorithm adds: bfs, dfs, shortest_path, dijkstra, pagerank, louvain; else all nodes."""
         g = Graph(self.nodes, self.edges if label is None else self.edges.filter(F.col("label") == label))
         if start is None and algorithm in ("bfs", "dfs", "shortest_path", "dijkstra"):
             start = self.nodes.agg(F.min("id")).first()[0]
         if algorithm == "shortest_path":
             spark = self.nodes.sparkSession
-            path = g.shortest_path(start, end)
-            found = spark.createDataFrame(list(enumerate(path)), "position int, id long")
+            kind = self.nodes.schema["id"].dataType.simpleString()
+            found = spark.createDataFrame(list(enumerate(g.shortest_path(start, end))), f"position int, id {kind}")
         else:
             found = {"bfs": lambda: g.bfs(start, max_depth).select("id", "depth"), "dfs": lambda: g.dfs(start, max_depth), "dijkstra": lambda: g.dijkstra(start), "pagerank": g.pagerank, "louvain": g.louvain}.get(algorithm, lambda: g.nodes.select("id"))()
         return found.join(self.nodes.select("id", F.col("label").alias("_node_label")), "id", "left").withColumnRenamed("id", "_node_id")
@@ -272,12 +320,23 @@ def similarity_json(pairs: DataFrame) -> str:
     return json.dumps([{"a": r.a, "b": r.b, "score": r.similarity} for r in pairs.orderBy("a", "b").toLocalIterator()])
 
 
-def recursive_union(seed: DataFrame, step, limit: int = 1000) -> DataFrame:
-    """WITH RECURSIVE ... UNION: step(rows new in the last round) until it gives no new row; an error beyond limit rounds."""
-    seen = new = materialize(seed.distinct(), "recursive")
-    for _ in range(limit):
-        new = materialize(step(new).distinct().join(seen, seen.columns, "left_anti"), "recursive")
+def recursive_union(seed: DataFrame, step, limit: int | None = None) -> DataFrame:
+    """WITH RECURSIVE ... UNION: step(rows new in the last round) until it gives no new row; an error beyond limit rounds, if one is given.
+
+    Each round writes its new rows alone; the folders of all rounds are one table.
+    """
+    spark = seed.sparkSession
+    base, n = scratch(spark, "recursive"), 0
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seed.schema.fields)
+    seed.distinct().write.parquet(f"{base}/round_n=0")
+    while True:
+        seen = spark.read.schema(f"{fields}, round_n int").parquet(base)
+        new = seen.filter(F.col("round_n") == n).drop("round_n")
         if not new.take(1):
-            return seen
-        seen = materialize(seen.unionByName(new), "recursive")
-    raise RecursionError(f"no end after {limit} rounds")
+            return seen.drop("round_n")
+        if limit is not None and n >= limit:
+            raise RecursionError(f"no end after {limit} rounds")
+        n += 1
+        rows = step(new).distinct()
+        told = [rows[c].eqNullSafe(seen[c]) for c in seed.columns]
+        rows.join(seen, told, "left_anti").write.parquet(f"{base}/round_n={n}")

@@ -1,76 +1,237 @@
-"""Full-text search over DataFrames: BM25, TF-IDF, fuzzy, phrase, proximity, boolean, n-gram, facets, rank fusion."""
+"""Full-text search: a stored inverted index with BM25, TF-IDF, phrase, proximity, boolean, fuzzy, n-gram and wildcard
+search; facets and rank fusion.
+
+The index is a list of segments in the shared folder.  A segment holds postings (term, key, tf, positions, dl), partitioned
+by a bucket of the term's hash and sorted by term, documents (key, dl) and terms (term, freq).  A search names its terms, so
+it reads their buckets alone, and within these the row groups whose statistics fit.
+"""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import STOP, tokens
+from ..sources.tables import scratch
 
 K1, B = 1.2, 0.75
+BUCKETS = 16
 
 
 def query_terms(query: str) -> list[str]:
-    return [t for t in re.findall(r"[^\W\d]+(?:[-_][^\W\d]*)*", query.lower()) if 2 <= len(t) <= 64 and t not in STOP]
+    return [t for t in re.findall(r"(?:[^\W\d]|-)+", query.lower()) if 2 <= len(t.encode()) <= 64 and t not in STOP]
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """term, key, tf and positions (from 0): the inverted index."""
-    d = docs.select(key, F.posexplode(tokens(text)).alias("pos", "term"))
-    return d.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    """term, key, tf, positions (from 0) and dl (the document's tokens) of each term of each document."""
+    d = docs.select(key, tokens(text).alias("_t"))
+    e = d.select(key, F.size("_t").alias("dl"), F.posexplode("_t").alias("pos", "term"))
+    return e.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
 
 
-def _same(term: str):
-    return lambda x: x == term
+def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term and freq (occurrences)."""
+    return docs.select(F.explode(tokens(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def _places(term: str) -> Column:
-    return F.filter(F.transform("_t", lambda x, i: F.when(x == term, i)), lambda x: x.isNotNull())
+def _followed(at: Column, places: Column, slop: int) -> Column:
+    return F.transform(at, lambda s: F.struct(s.a.alias("a"), F.array_min(F.filter(places, lambda x: (x > s.b) & (x <= s.b + 1 + slop))).alias("b")))
 
 
-def _follow(at: Column, places: Column, slop: int) -> Column:
-    step = F.transform(at, lambda s: F.struct(s.a.alias("a"), F.array_min(F.filter(places, lambda p: (p > s.b) & (p <= s.b + 1 + slop))).alias("b")))
-    return F.filter(step, lambda s: s.b.isNotNull())
+def _spots(places: str, term: str) -> Column:
+    return F.transform(places, lambda p: F.struct(p.alias("p"), F.lit(term).alias("t")))
 
 
-def _counts(docs: DataFrame, terms: list[str], key: str, text: str) -> tuple[DataFrame, list[Column]]:
-    d = docs.select(key, tokens(text).alias("_t"))
-    tf = [F.size(F.filter("_t", _same(t))).alias(f"_tf{i}") for i, t in enumerate(terms)]
-    return d.select(key, F.size("_t").alias("_dl"), *tf), [F.col(f"_tf{i}") for i in range(len(terms))]
+def _matches(positions: list[Column], slop: int) -> Column:
+    """Starts from which each next word follows within 1 + slop places, the nearest such place each time."""
+    at = F.transform(positions[0], lambda x: F.struct(x.alias("a"), x.alias("b")))
+    for p in positions[1:]:
+        at = F.filter(_followed(at, p, slop), lambda s: s.b.isNotNull())
+    return F.coalesce(F.size(at), F.lit(0)).cast("long")
 
 
-def bm25(docs: DataFrame, query: str, k: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and score of documents with a query term; a term given twice counts twice.
+def _window(hits: Column, terms: list[str]) -> Column:
+    """The smallest last place less first that holds all terms, of an array of (p, t) sorted by place."""
+    start = F.struct(F.array_repeat(F.lit(-(1 << 29)), len(terms)).alias("last"), F.lit(1 << 30).alias("best"))
 
-    Two scans and one row of statistics, no shuffle of documents.
-    """
-    terms = query_terms(query)
-    d, tf = _counts(docs, terms, key, text)
-    stats = d.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), *(F.sum((c > 0).cast("long")).alias(f"_df{i}") for i, c in enumerate(tf)))
+    def step(acc, s):
+        last = F.array(*(F.when(s.t == t, s.p).otherwise(F.element_at(acc.last, i + 1)) for i, t in enumerate(terms)))
+        return F.struct(last.alias("last"), F.least(acc.best, F.array_max(last) - F.array_min(last)).alias("best"))
 
-    def part(i: int, c: Column) -> Column:
-        idf = F.log((F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5) + 1)
-        return F.when(c > 0, idf * c * (K1 + 1) / (c + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))).otherwise(0.0)
+    return F.aggregate(hits, start, step).getField("best").cast("long")
 
-    hit = d.filter(sum((c for c in tf), F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # one row
-    out = hit.select(key, sum((part(i, c) for i, c in enumerate(tf)), F.lit(0.0)).alias("score"))
-    return out.orderBy(F.desc("score"), key).limit(k) if k else out
 
+class TextIndex:
+    """An inverted index over documents.  Changes add segments or tombstones; compact() writes all anew.
 
-def tfidf(docs: DataFrame, query: str, k: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    terms = query_terms(query)
-    d, tf = _counts(docs, terms, key, text)
-    stats = d.agg(F.count(F.lit(1)).alias("_n"), *(F.sum((c > 0).cast("long")).alias(f"_df{i}") for i, c in enumerate(tf)))
-    hit = d.filter(sum((c for c in tf), F.lit(0)) > 0).crossJoin(F.broadcast(stats))
-    out = hit.select(key, sum((F.when(c > 0, c * F.log(F.col("_n") / F.col(f"_df{i}"))).otherwise(0.0) for i, c in enumerate(tf)), F.lit(0.0)).alias("score"))
-    return out.orderBy(F.desc("score"), key).limit(k) if k else out
+    Null texts are documents of no tokens.  A key that is added again stands beside its old rows: remove it first.
+    Searches return key and score, highest first, ties by key; limit None returns all.
+    """
 
+    def __init__(self, spark: SparkSession, key: str = "doc_id", buckets: int = BUCKETS):
+        self.spark, self.key, self.buckets = spark, key, buckets
+        self.segments: list[str] = []
+        self.dead: str | None = None
+        self.n, self.total = 0, 0
 
-def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
-    """term and freq (occurrences)."""
-    return docs.select(F.explode(tokens(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
+    @classmethod
+    def build(cls, docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> "TextIndex":
+        out = cls(docs.sparkSession, key, buckets)
+        out.add(docs, text)
+        return out
+
+    def add(self, docs: DataFrame, text: str = "text") -> None:
+        """Write a segment."""
+        path = scratch(self.spark, "text-index")
+        own = postings(docs, self.key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)))
+        own.repartitionByRange("bucket", "term", self.key).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        docs.select(self.key, F.coalesce(F.size(tokens(text)), F.lit(0)).alias("dl")).withColumn("dl", F.greatest("dl", F.lit(0))).write.parquet(f"{path}/documents")
+        written = self.spark.read.parquet(f"{path}/postings")
+        written.groupBy("term").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/terms")
+        self.segments.append(path)
+        self._count()
+
+    def _count(self) -> None:
+        r = self.documents().agg(F.count(F.lit(1)), F.sum("dl")).first()
+        self.n, self.total = r[0], r[1] or 0
+
+    def _read(self, part: str, dead: bool = True) -> DataFrame:
+        out = None
+        for s in self.segments:
+            d = self.spark.read.parquet(f"{s}/{part}")
+            out = d if out is None else out.unionByName(d)
+        if out is None:
+            raise ValueError("an index without a segment")
+        return out.join(self.spark.read.parquet(self.dead), self.key, "left_anti") if self.dead and dead else out
+
+    def documents(self) -> DataFrame:
+        return self._read("documents")
+
+    def postings(self) -> DataFrame:
+        return self._read("postings").drop("bucket")
+
+    def terms(self) -> DataFrame:
+        """term and freq, of all segments; tombstones count until compact()."""
+        return self._read("terms", dead=False).groupBy("term").agg(F.sum("freq").alias("freq"))
+
+    def remove(self, keys: DataFrame) -> None:
+        """Tombstones for the keys of a DataFrame with the key's column."""
+        path = scratch(self.spark, "tombstones")
+        own = keys.select(self.key).filter(F.col(self.key).isNotNull())
+        (own.unionByName(self.spark.read.parquet(self.dead)) if self.dead else own).distinct().write.parquet(path)
+        self.dead = path
+        self._count()
+
+    def compact(self) -> None:
+        """One segment without the removed documents."""
+        path = scratch(self.spark, "text-index")
+        self._read("postings").repartitionByRange("bucket", "term", self.key).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        self.documents().write.parquet(f"{path}/documents")
+        self.spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/terms")
+        self.segments, self.dead = [path], None
+        self._count()
+
+    # Searches
+
+    def hits(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms: their buckets are pruned by partition, their rows by statistics."""
+        each = sorted(set(terms))
+        d = self._read("postings")
+        wanted = F.array(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(self.buckets)) for t in each)) if each else F.array(F.lit(0))
+        buckets = sorted(set(self.spark.range(1).select(wanted).first()[0])) if each else []
+        return d.filter(F.col("bucket").isin(buckets) & F.col("term").isin(each)).drop("bucket")
+
+    def _weighed(self, hits: DataFrame, terms: list[str] | None = None, kind: str = "bm25") -> DataFrame:
+        """hits with _w, the weight of each posting; a term given twice counts twice.  The document frequencies, a row for each term that was asked for, are broadcast."""
+        df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+        j = hits.join(F.broadcast(df), "term")
+        times = F.lit(1)
+        for t in set(terms or []):
+            if terms.count(t) > 1:
+                times = F.when(F.col("term") == t, terms.count(t)).otherwise(times)
+        if kind == "tfidf":
+            return j.withColumn("_w", times * F.col("tf") * F.log(F.lit(self.n) / F.col("_df")))
+        mean = self.total / self.n if self.total else 1.0
+        idf = F.log((F.lit(self.n) - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1)
+        return j.withColumn("_w", times * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean)))
+
+    def _top(self, scored: DataFrame, limit: int | None) -> DataFrame:
+        return scored.orderBy(F.desc("score"), self.key).limit(limit) if limit is not None else scored
+
+    def bm25(self, query: str, limit: int | None = None) -> DataFrame:
+        terms = query_terms(query)
+        w = self._weighed(self.hits(terms), terms)
+        return self._top(w.groupBy(self.key).agg(F.sum("_w").alias("score")), limit)
+
+    def tfidf(self, query: str, limit: int | None = None) -> DataFrame:
+        terms = query_terms(query)
+        w = self._weighed(self.hits(terms), terms, "tfidf")
+        return self._top(w.groupBy(self.key).agg(F.sum("_w").alias("score")), limit)
+
+    def _all_terms(self, terms: list[str]) -> tuple[DataFrame, list[str]]:
+        """key, _s (the sum of weights) and, by term, _p0 and on (positions) of the documents that hold every term."""
+        each = sorted(set(terms))
+        w = self._weighed(self.hits(terms), terms)
+        d = w.groupBy(self.key).agg(F.sum("_w").alias("_s"), F.count(F.lit(1)).alias("_n"), *(F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"_p{i}") for i, t in enumerate(each)))
+        return d.filter(F.col("_n") == len(each)), each
+
+    def phrase(self, words: str, slop: int = 0, limit: int | None = None) -> DataFrame:
+        """Documents where the words follow one another within 1 + slop places: twice their BM25, and n_matches."""
+        terms = query_terms(words)
+        d, each = self._all_terms(terms)
+        n = _matches([F.col(f"_p{each.index(t)}") for t in terms], slop) if terms else F.lit(0)
+        return self._top(d.select(self.key, (2 * F.col("_s")).alias("score"), n.alias("n_matches")).filter("n_matches > 0"), limit)
+
+    def proximity(self, words: str, most: int, limit: int | None = None) -> DataFrame:
+        """Documents whose smallest span of all words is at most `most`: BM25 times most over the span, and the span."""
+        terms = query_terms(words)
+        d, each = self._all_terms(terms)
+        spots = F.array_sort(F.flatten(F.array(*(_spots(f"_p{i}", t) for i, t in enumerate(each)))))
+        d = d.select(self.key, "_s", _window(spots, each).alias("span")).filter(F.col("span") <= most)
+        return self._top(d.select(self.key, (F.col("_s") * most / F.greatest("span", F.lit(1))).alias("score"), "span"), limit)
+
+    def _by_term(self, weight: Column, limit: int | None) -> DataFrame:
+        """Sums of weight * tf; weight is null where a term doesn't fit."""
+        d = self._read("postings").select(self.key, "tf", weight.alias("_w")).filter("_w IS NOT NULL")
+        return self._top(d.groupBy(self.key).agg(F.sum(F.col("_w") * F.col("tf")).alias("score")), limit)
+
+    def fuzzy(self, query: str, distance: int = 2, limit: int | None = None) -> DataFrame:
+        """(1 - distance / longer length) * tf, over terms within the distance of a query word."""
+        weight = F.lit(None).cast("double")
+        for w in query_terms(query):
+            d = F.levenshtein("term", F.lit(w), distance)
+            s = F.when(d >= 0, 1 - d / F.greatest(F.length("term"), F.lit(len(w))))
+            weight = F.coalesce(weight + s, weight, s)
+        return self._by_term(weight, limit)
+
+    def wildcard(self, pattern: str, limit: int | None = None) -> DataFrame:
+        """The occurrences of terms that fit *inner*, *end, start* or a whole term."""
+        t, p = F.col("term"), pattern
+        if p.startswith("*") and p.endswith("*") and len(p) > 1:
+            fits = t.contains(p[1:-1])
+        else:
+            fits = t.endswith(p[1:]) if p.startswith("*") else t.startswith(p[:-1]) if p.endswith("*") else t == p
+        return self._by_term(F.when(fits, 1.0), limit)
+
+    def ngram_fuzzy(self, word: str, distance: int = 2, limit: int | None = None) -> DataFrame:
+        """Candidate terms' scores times their occurrences.  Candidates are joined by term: broadcast only if few."""
+        found = ngram_candidates(self.terms(), word, distance).select("term", "score")
+        d = self._read("postings").join(found, "term").groupBy(self.key).agg(F.sum(F.col("score") * F.col("tf")).alias("score"))
+        return self._top(d, limit)
+
+    def boolean(self, query: str, limit: int | None = None, fields: DataFrame | None = None) -> DataFrame:
+        """Documents that fit the query; the score is the BM25 of its terms, 0 where a document holds none.  fields: key and columns for field:value and ranges."""
+        parsed = BooleanQuery(query)
+        d = self._read("postings").filter(parsed.any_term())
+        w = self._weighed(d)
+        flags = w.groupBy(self.key).agg(F.sum("_w").alias("score"), *parsed.flags())
+        every = self.documents().select(self.key)
+        if fields is not None:
+            every = every.join(fields, self.key, "left")
+        out = every.join(flags, self.key, "left").filter(parsed.test()).select(self.key, F.coalesce("score", F.lit(0.0)).alias("score"))
+        return self._top(out, limit)
 
 
 def fuzzy_terms(vocab: DataFrame, word: str, distance: int = 2) -> DataFrame:
@@ -78,62 +239,36 @@ def fuzzy_terms(vocab: DataFrame, word: str, distance: int = 2) -> DataFrame:
     return vocab.select("term", "freq", d.cast("long").alias("distance")).filter((F.col("distance") >= 0) & (F.abs(F.length("term") - len(word)) <= distance))
 
 
-def fuzzy_search(docs: DataFrame, word: str, distance: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Sum of (1 - distance / longer length) * tf over terms within the distance."""
-    p = docs.select(key, F.explode(tokens(text)).alias("term"))
-    d = F.levenshtein("term", F.lit(word), distance)
-    p = p.select(key, (1 - d / F.greatest(F.length("term"), F.lit(len(word)))).alias("s"), d.alias("d")).filter("d >= 0")
-    return p.groupBy(key).agg(F.sum("s").alias("score"))
-
-
 def wildcard(vocab: DataFrame, pattern: str) -> DataFrame:
     """Terms that fit a pattern of * and ?."""
     return vocab.filter(F.col("term").rlike("^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$"))
 
 
-def phrase(docs: DataFrame, words: str, slop: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and n_matches: starts from which each next word follows within 1 + slop places."""
-    terms = query_terms(words)
-    d = docs.select(key, tokens(text).alias("_t")).filter(sum((F.array_contains("_t", t).cast("int") for t in set(terms)), F.lit(0)) == len(set(terms)))
-    d = d.select(key, *(_places(t).alias(f"_p{i}") for i, t in enumerate(terms)))
-    at = F.transform("_p0", lambda x: F.struct(x.alias("a"), x.alias("b")))
-    for i in range(1, len(terms)):
-        at = _follow(at, F.col(f"_p{i}"), slop)
-    return d.select(key, F.size(at).cast("long").alias("n_matches")).filter("n_matches > 0")
-
-
-def proximity(docs: DataFrame, words: str, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and the smallest window (last place less first) that holds all words, where at most `most`.  One pass over each text's places."""
-    terms = sorted(set(query_terms(words)))
-    d = docs.select(key, F.filter(F.transform(tokens(text), lambda x, i: F.struct(x.alias("t"), i.alias("p"))), lambda s: s.t.isin(terms)).alias("_h"))
-    far = F.lit(1 << 30)
-    start = F.struct(F.array_repeat(F.lit(-(1 << 29)), len(terms)).alias("last"), far.alias("best"))
-
-    def step(acc, s):
-        last = F.array(*(F.when(s.t == t, s.p).otherwise(F.element_at(acc.last, i + 1)) for i, t in enumerate(terms)))
-        return F.struct(last.alias("last"), F.least(acc.best, F.array_max(last) - F.array_min(last)).alias("best"))
-
-    return d.select(key, F.aggregate("_h", start, step).getField("best").cast("long").alias("span")).filter(F.col("span") <= most)
-
-
 def ngrams(term: Column, n: int = 3) -> Column:
-    padded = F.concat(F.lit("$"), term, F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n))))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(term) - n + 1, F.lit(1))), lambda i: F.substring(term, i, F.lit(n))))
 
 
-def ngram_fuzzy(vocab: DataFrame, word: str, distance: int = 2, least: float = 0.1) -> DataFrame:
-    """Terms by Jaccard similarity of trigrams; score is that times ln(freq + 1)."""
-    own, q = ngrams(F.col("term")), ngrams(F.lit(word))
-    common = F.size(F.array_intersect(own, q))
-    sim = common / (F.size(own) + F.size(q) - common)
-    d = vocab.filter(F.abs(F.length("term") - len(word)) <= distance).select("term", "freq", sim.alias("similarity"))
-    return d.filter(F.col("similarity") >= least).withColumn("score", F.col("similarity") * F.log(F.col("freq") + 1))
+def ngram_candidates(vocab: DataFrame, word: str, distance: int = 2, least: float = 0.1, n: int = 3) -> DataFrame:
+    """Terms that share n-grams with the word (Jaccard of at least `least`) and lie within the distance; score is (1 - distance / longer length) * ln(freq + 1)."""
+    asked = [word[i : i + n] for i in range(max(1, len(word) - n + 1))]
+    own = ngrams(F.col("term"), n)
+    common = sum((F.array_contains(own, g).cast("int") for g in asked), F.lit(0))
+    jaccard = common / (len(asked) + F.greatest(F.length("term") - n + 1, F.lit(1)) - common)
+    d = F.levenshtein("term", F.lit(word), distance)
+    out = vocab.filter((F.abs(F.length("term") - len(word)) <= distance) & (common > 0)).select("term", "freq", jaccard.alias("similarity"), d.cast("long").alias("distance"))
+    out = out.filter((F.col("similarity") >= least) & (F.col("distance") >= 0))
+    return out.withColumn("score", (1 - F.col("distance") / F.greatest(F.length("term"), F.lit(len(word)))) * F.log(F.col("freq") + 1))
 
 
-def facet_counts(df: DataFrame, fields: list[str]) -> DataFrame:
-    """field, value and n of each value of each field, in one pass."""
+def facet_counts(df: DataFrame, fields: list[str], candidates: DataFrame | None = None, key: str = "doc_id", limit: int | None = None) -> DataFrame:
+    """field, value and n of each value of each field, in one pass; of candidate keys alone, if given; the limit most frequent values of each field."""
+    d = df if candidates is None else df.join(candidates.select(key), key, "left_semi")
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("p")
-    return df.select(pairs).groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    out = d.select(pairs).groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    if limit is None:
+        return out
+    w = Window.partitionBy("field").orderBy(F.desc("n"), "value")
+    return out.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).drop("_r")
 
 
 def facet_filter(df: DataFrame, include: dict[str, list], exclude: dict[str, list] | None = None) -> DataFrame:
@@ -145,13 +280,14 @@ def facet_filter(df: DataFrame, include: dict[str, list], exclude: dict[str, lis
     return df
 
 
-def rank_fusion(lists: list[DataFrame], key: str, weights: list[float] | None = None, k: int = 60) -> DataFrame:
-    """key and score: the sum over ranked lists (key, rank from 1) of weight / (k + rank)."""
+def rank_fusion(lists: list[DataFrame], key: str, weights: list[float] | None = None, k: int = 60, limit: int | None = None) -> DataFrame:
+    """key and score: the sum over ranked lists (key, rank from 1) of weight / (k + rank); the limit best."""
     parts = [d.select(F.col(key), (F.lit(w) / (k + F.col("rank"))).alias("s")) for d, w in zip(lists, weights or [1.0] * len(lists))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy(key).agg(F.sum("s").alias("score"))
+    out = out.groupBy(key).agg(F.sum("s").alias("score"))
+    return out.orderBy(F.desc("score"), key).limit(limit) if limit is not None else out
 
 
 def ranked(top: DataFrame, order: list, k: int) -> DataFrame:
@@ -170,60 +306,81 @@ def rerank(hits: DataFrame, query: str, text: str = "text", score: str = "score"
 _TOKEN = re.compile(r'\s*(?:(\()|(\))|(AND|OR|NOT)\b|([+-])(?=\S)|(?:(\w+):)?(?:\[(\S+) TO (\S+)\]|"([^"]*)"|([^\s()"~*]+)(?:~(\d*)|(\*))?))')
 
 
-def boolean(query: str, text: str = "text") -> Column:
-    """A predicate over rows.  Neighbours without an operator must both hold."""
-    found, at = [], 0
-    while at < len(query.rstrip()):
-        m = _TOKEN.match(query, at)
-        if not m or m.end() == at:
-            raise ValueError(f"unreadable at {at}: {query}")
-        found.append(m.groups())
-        at = m.end()
-    own = tokens(text)
-
-    def leaf(field, low, high, quoted, term, fuzz, star) -> Column:
+class BooleanQuery:
+    """A parsed query: which postings it reads, what to gather of each document, and the test of a document.  Neighbours without an operator must both hold."""
+
+    def __init__(self, query: str):
+        self.found, at = [], 0
+        while at < len(query.rstrip()):
+            m = _TOKEN.match(query, at)
+            if not m or m.end() == at:
+                raise ValueError(f"unreadable at {at}: {query}")
+            self.found.append(m.groups())
+            at = m.end()
+        #: (name, condition on a term) of each leaf, and the terms whose positions phrases need.
+        self.leaves: list[tuple[str, Column]] = []
+        self.placed: list[str] = []
+        self.at = 0
+        self.tree = self._either() if self.found else None
+        if self.at < len(self.found):
+            raise ValueError(f"unbalanced: {query}")
+
+    def _flag(self, cond: Column) -> Column:
+        name = f"_f{len(self.leaves)}"
+        self.leaves.append((name, cond))
+        return F.coalesce(F.col(name), F.lit(False))
+
+    def _leaf(self, field, low, high, quoted, term, fuzz, star) -> Column:
         if low is not None:
-            return F.col(field or text).between(low, high)
+            return F.col(field).between(low, high)
         if quoted is not None:
-            return F.contains(F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" ")), F.lit(" " + " ".join(query_terms(quoted)) + " "))
+            terms = query_terms(quoted)
+            self.placed += [t for t in terms if t not in self.placed]
+            return F.coalesce(_matches([F.col(f"_p{self.placed.index(t)}") for t in terms], 0) > 0, F.lit(False)) if terms else F.lit(True)
         if field:
             return F.col(field).cast("string") == term
         t = term.lower()
         if fuzz is not None:
-            n = int(fuzz or 2)
-            return F.exists(own, lambda x: F.levenshtein(x, F.lit(t), n) >= 0)
-        return F.exists(own, lambda x: x.startswith(t)) if star else F.array_contains(own, t)
-
-    i = 0
-
-    def either() -> Column:
-        nonlocal i
-        out = both()
-        while i < len(found) and found[i][2] == "OR":
-            i += 1
-            out = out | both()
+            return self._flag(F.levenshtein("term", F.lit(t), int(fuzz or 2)) >= 0)
+        return self._flag(F.col("term").startswith(t) if star else F.col("term") == t)
+
+    def _either(self) -> Column:
+        out = self._both()
+        while self.at < len(self.found) and self.found[self.at][2] == "OR":
+            self.at += 1
+            out = out | self._both()
         return out
 
-    def both() -> Column:
-        nonlocal i
-        out = one()
-        while i < len(found) and found[i][1] is None and found[i][2] != "OR":
-            i += found[i][2] == "AND"
-            out = out & one()
+    def _both(self) -> Column:
+        out = self._one()
+        while self.at < len(self.found) and self.found[self.at][1] is None and self.found[self.at][2] != "OR":
+            self.at += self.found[self.at][2] == "AND"
+            out = out & self._one()
         return out
 
-    def one() -> Column:
-        nonlocal i
-        g = found[i]
-        i += 1
+    def _one(self) -> Column:
+        if self.at >= len(self.found):
+            raise ValueError("an operator without its operand")
+        g = self.found[self.at]
+        self.at += 1
         if g[2] == "NOT" or g[3] == "-":
-            return ~one()
+            return ~F.coalesce(self._one(), F.lit(False))
         if g[3] == "+":
-            return one()
+            return self._one()
         if g[0]:
-            out = either()
-            i += 1
+            out = self._either()
+            self.at += 1
             return out
-        return leaf(*g[4:])
+        return self._leaf(*g[4:])
+
+    def any_term(self) -> Column:
+        out = F.col("term").isin(self.placed) if self.placed else F.lit(False)
+        for _, cond in self.leaves:
+            out = out | cond
+        return out
+
+    def flags(self) -> list[Column]:
+        return [*(F.bool_or(c).alias(n) for n, c in self.leaves), *(F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"_p{i}") for i, t in enumerate(self.placed))]
 
-    return F.coalesce(either(), F.lit(False))
+    def test(self) -> Column:
+        return F.coalesce(self.tree, F.lit(False)) if self.tree is not None else F.lit(False)

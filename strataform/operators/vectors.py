@@ -1,4 +1,4 @@
-"""Nearest neighbours: exact, filtered, batched; IVF and LSH indexes; product quantisation."""
+"""Nearest neighbours: exact, filtered, batched; stored IVF, LSH and product-quantised indexes."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import DISTANCES, inner_product, vector
+from ..functions.columns import DISTANCES, vector
+from ..sources.tables import scratch
 
 
 def knn(df: DataFrame, query, k: int, column: str = "embedding", key: str = "vec_id", metric: str = "cosine", where: Column | str | None = None) -> DataFrame:
@@ -34,62 +35,168 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int, column: str = "embeddin
     return out
 
 
-def sign_buckets(column: str, dims: int, bits: int = 8, seed: int = 5) -> Column:
-    """A bucket by the signs of random projections."""
-    planes = np.random.default_rng(seed).normal(size=(bits, dims))
-    return F.concat(*(F.when(inner_product(column, vector(p.tolist())) >= 0, F.lit("1")).otherwise(F.lit("0")) for p in planes))
+def _blocks(queries: DataFrame, key: str, column: str, block: int):
+    """The queries as (query_id, _q) in parts of about `block`, which is what is broadcast at a time."""
+    q = queries.select(F.col(key).alias("query_id"), F.col(column).alias("_q"))
+    parts = max(1, -(-q.count() // block))
+    for i in range(parts):
+        yield q if parts == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
+
+
+def _best(pairs: DataFrame, k: int, key: str, metric: str, column: str) -> DataFrame:
+    """query_id, key, distance and rank of the k nearest of each query's candidates."""
+    w = Window.partitionBy("query_id").orderBy("distance", key)
+    return pairs.select("query_id", key, DISTANCES[metric](column, "_q").alias("distance")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _sample(df: DataFrame, column: str, key: str, rows: int) -> np.ndarray:
+    """At most `rows` vectors, those with the lowest hashes of their keys."""
+    return np.array([r[0] for r in df.select(column).filter(F.col(column).isNotNull()).orderBy(F.xxhash64(key)).limit(rows).collect()], dtype=np.float64)
+
+
+def _means(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    c = x[: max(1, min(k, len(x)))].copy()
+    for _ in range(rounds):
+        at = (-2 * x @ c.T + (c**2).sum(axis=1)).argmin(axis=1)
+        for i in range(len(c)):
+            if (at == i).any():
+                c[i] = x[at == i].mean(axis=0)
+    return c
+
+
+def _matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _with_codes(df: DataFrame, column: str, name: str, codes, kind: str = "array<int>") -> DataFrame:
+    """df without rows whose vector is null, and an array of ints that codes(matrix) gives."""
+    d = df.filter(F.col(column).isNotNull())
+    place, names = d.columns.index(column), [*d.columns, name]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                got = codes(_matrix(b.column(place)))
+                flat = pa.array(np.ascontiguousarray(got, dtype=np.int32).reshape(-1))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * got.shape[1]), flat)], names=names)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields)
+    return d.mapInArrow(run, f"{fields}, `{name}` {kind}")
 
 
 class IvfIndex:
-    """Cells by k-means, fitted on a bounded sample; every row gets its nearest cell.  A search reads its nearest cells."""
+    """Cells by k-means, fitted on a bounded sample of `sample` rows; every row is written in the partition of its nearest cell.
+
+    A search reads the cells nearest to its queries and no others.  Rows with a null vector are in no cell.
+    """
 
     def __init__(self, df: DataFrame, cells: int = 16, column: str = "embedding", key: str = "vec_id", sample: int = 20_000, rounds: int = 10):
         self.column, self.key = column, key
-        x = np.array([r[0] for r in df.select(column).orderBy(F.xxhash64(key)).limit(sample).collect()], dtype=np.float64)
-        c = x[: max(1, min(cells, len(x)))].copy()
-        for _ in range(rounds):
-            at = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1) if len(x) < 5000 else (-2 * x @ c.T + (c**2).sum(axis=1)).argmin(axis=1)
-            for i in range(len(c)):
-                if (at == i).any():
-                    c[i] = x[at == i].mean(axis=0)
-        self.centres = c
-        self.indexed = df.withColumn("cell", self._cell())
-
-    def _cell(self) -> Column:
-        ranked = F.array(*(F.struct(DISTANCES["euclidean"](self.column, vector(c.tolist())).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centres)))
-        return F.array_min(ranked)["i"]
-
-    def search(self, query: list[float], k: int, probes: int = 4, metric: str = "euclidean") -> DataFrame:
+        self.centres = c = _means(_sample(df, column, key, sample), cells, rounds)
+        path = scratch(df.sparkSession, "ivf")
+        own = _with_codes(df, column, "cell", lambda x: (-2 * x @ c.T + (c**2).sum(axis=1)).argmin(axis=1)[:, None])
+        own.withColumn("cell", F.col("cell")[0]).repartition("cell", F.pmod(F.xxhash64(key), F.lit(16))).write.partitionBy("cell").parquet(path)
+        self.indexed = df.sparkSession.read.parquet(path)
+
+    def search(self, query: list[float], k: int, probes: int = 12, metric: str = "euclidean") -> DataFrame:
         near = ((self.centres - np.array(query)) ** 2).sum(axis=1).argsort()[:probes]
         return knn(self.indexed, query, k, self.column, self.key, metric, F.col("cell").isin([int(i) for i in near]))
 
+    def search_batch(self, queries: DataFrame, k: int, probes: int = 12, metric: str = "euclidean", block: int = 2000) -> DataFrame:
+        c, out = self.centres, None
+        for q in _blocks(queries, self.key, self.column, block):
+            near = _with_codes(q, "_q", "_cells", lambda x: np.argsort(-2 * x @ c.T + (c**2).sum(axis=1), axis=1, kind="stable")[:, :probes])
+            near = near.select("query_id", "_q", F.explode("_cells").alias("cell"))
+            got = _best(self.indexed.join(F.broadcast(near), "cell"), k, self.key, metric, self.column)
+            out = got if out is None else out.unionByName(got)
+        return out
+
+
+class LshIndex:
+    """Several tables of sign projections, centred on a bounded sample; a search takes the buckets within `radius` bits of its own in each table and compares what it finds exactly."""
+
+    def __init__(self, df: DataFrame, tables: int = 12, bits: int = 6, column: str = "embedding", key: str = "vec_id", seed: int = 5, sample: int = 20_000):
+        self.column, self.key, self.bits, self.df = column, key, bits, df
+        x = _sample(df, column, key, sample)
+        centre, planes = x.mean(axis=0), np.random.default_rng(seed).normal(size=(tables, bits, x.shape[1]))
+
+        def buckets(m: np.ndarray) -> np.ndarray:
+            return np.stack([((m - centre) @ p.T >= 0) @ (1 << np.arange(bits)) + (t << bits) for t, p in enumerate(planes)], axis=1)
+
+        self.buckets = buckets
+        path = scratch(df.sparkSession, "lsh")
+        own = _with_codes(df.select(key, column), column, "_b", buckets).select(key, column, F.explode("_b").alias("bucket"))
+        own.repartition("bucket").write.parquet(path)
+        self.indexed = df.sparkSession.read.parquet(path)
+
+    def search_batch(self, queries: DataFrame, k: int, radius: int = 1, metric: str = "euclidean", block: int = 2000) -> DataFrame:
+        flips = [0, *(1 << i for i in range(self.bits))] if radius else [0]
+        out = None
+        for q in _blocks(queries, self.key, self.column, block):
+            near = _with_codes(q, "_q", "_b", self.buckets).select("query_id", "_q", F.explode(F.flatten(F.transform("_b", lambda b: F.array(*(b.bitwiseXOR(F.lit(f)) for f in flips))))).alias("bucket"))
+            found = self.indexed.join(F.broadcast(near), "bucket").dropDuplicates(["query_id", self.key])
+            got = _best(found, k, self.key, metric, self.column)
+            out = got if out is None else out.unionByName(got)
+        return out
+
 
 class ProductQuantizer:
-    """k-means codes of each of several parts of the vector, fitted on a bounded sample."""
-
-    def __init__(self, df: DataFrame, parts: int = 8, codes: int = 16, column: str = "embedding", key: str = "vec_id", sample: int = 5000, rounds: int = 8):
-        x = np.array([r[0] for r in df.select(column).orderBy(F.xxhash64(key)).limit(sample).collect()], dtype=np.float64)
-        self.parts, self.width, self.column = parts, x.shape[1] // parts, column
-        self.books = []
-        for p in range(parts):
-            y = x[:, p * self.width : (p + 1) * self.width]
-            c = y[:codes].copy()
-            for _ in range(rounds):
-                at = (-2 * y @ c.T + (c**2).sum(axis=1)).argmin(axis=1)
-                for i in range(len(c)):
-                    if (at == i).any():
-                        c[i] = y[at == i].mean(axis=0)
-            self.books.append(c)
-
-    def encode(self) -> Column:
-        def code(p: int) -> Column:
-            own = F.slice(self.column, p * self.width + 1, self.width)
-            return F.array_min(F.array(*(F.struct(DISTANCES["euclidean"](own, vector(c.tolist())).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.books[p]))))["i"]
-
-        return F.array(*(code(p) for p in range(self.parts)))
-
-    def distance(self, codes: str, query: list[float]) -> Column:
-        """From tables of each part's squared distances to the query."""
-        q = np.array(query).reshape(self.parts, self.width)
-        tables = [vector(((b - q[p]) ** 2).sum(axis=1).tolist()) for p, b in enumerate(self.books)]
-        return F.sqrt(sum((F.element_at(t, F.element_at(codes, p + 1) + 1) for p, t in enumerate(tables)), F.lit(0.0)))
+    """k-means codes of each of several parts of the vector, fitted on a bounded sample of `sample` rows.
+
+    A search ranks all codes by tables of squared distances, and compares the `candidates` best of each query exactly.
+    """
+
+    def __init__(self, df: DataFrame, parts: int = 16, codes: int = 32, column: str = "embedding", key: str = "vec_id", sample: int = 5000, rounds: int = 8):
+        x = _sample(df, column, key, sample)
+        self.parts, self.width, self.column, self.key, self.df = parts, x.shape[1] // parts, column, key, df
+        self.books = [_means(x[:, p * self.width : (p + 1) * self.width], codes, rounds) for p in range(parts)]
+        path = scratch(df.sparkSession, "pq")
+        self.encode(df.select(key, column)).select(key, "codes").write.parquet(path)
+        self.coded = df.sparkSession.read.parquet(path)
+
+    def encode(self, df: DataFrame) -> DataFrame:
+        """df with codes."""
+        books, width = self.books, self.width
+
+        def codes(x: np.ndarray) -> np.ndarray:
+            own = [x[:, p * width : (p + 1) * width] for p in range(len(books))]
+            return np.stack([(-2 * y @ b.T + (b**2).sum(axis=1)).argmin(axis=1) for y, b in zip(own, books)], axis=1)
+
+        return _with_codes(df, self.column, "codes", codes)
+
+    def decode(self, codes: Column) -> Column:
+        """The centres of codes, one after the other."""
+        books = [F.array(*(vector(c.tolist()) for c in b)) for b in self.books]
+        return F.flatten(F.array(*(F.element_at(b, F.element_at(codes, p + 1) + 1) for p, b in enumerate(books))))
+
+    def search_batch(self, queries: DataFrame, k: int, candidates: int = 400, metric: str = "euclidean", block: int = 500) -> DataFrame:
+        books, width, key, out = self.books, self.width, self.key, None
+        kind = self.coded.schema[key].dataType.simpleString()
+        for q in _blocks(queries, self.key, self.column, block):
+            rows = q.collect()  # a block of bounded size
+            if not rows:
+                continue
+            x = np.array([r._q for r in rows], dtype=np.float64)
+            names = [r.query_id for r in rows]
+            tables = [((x[:, None, p * width : (p + 1) * width] - b[None]) ** 2).sum(axis=2) for p, b in enumerate(books)]
+
+            def run(batches, tables=tables, names=names):
+                import pyarrow as pa
+
+                for b in batches:
+                    if not b.num_rows:
+                        continue
+                    codes = _matrix(b.column(1)).astype(np.int64)
+                    d = sum(t[:, codes[:, p]] for p, t in enumerate(tables))
+                    top = np.argsort(d, axis=1, kind="stable")[:, :candidates]  # of each batch; all batches together hold the best of all rows
+                    own = np.repeat(np.arange(len(names)), top.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in own]), b.column(0).take(pa.array(top.ravel())), pa.array(np.take_along_axis(d, top, axis=1).ravel())], names=["query_id", key, "_d"])
+
+            first = self.coded.select(key, "codes").mapInArrow(run, f"query_id {kind}, {key} {kind}, _d double")
+            first = first.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("_d", key))).filter(F.col("_r") <= candidates)
+            exact = self.df.select(key, self.column).join(first.select("query_id", key), key).join(F.broadcast(q), "query_id")
+            got = _best(exact, k, key, metric, self.column)
+            out = got if out is None else out.unionByName(got)
+        return out

@@ -13,7 +13,7 @@ PAIRS: dict[str, str | tuple[str, str]] = {
     "like": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%a%'",
     "not_like": "SELECT p_partkey FROM part WHERE p_brand NOT LIKE 'Brand#1_'",
     "ilike": "SELECT c_custkey FROM customer WHERE c_name ILIKE 'CUSTOMER%1'",
-    "is_null": "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL",
+    "is_null": "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000 WHERE o.o_orderkey IS NULL",
     "is_not_null": "SELECT count(*) AS n FROM documents WHERE text IS NOT NULL",
     "bool_logic": "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' OR o_totalprice < 50000) AND o_orderkey <> 7",
     "distinct": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
@@ -23,6 +23,7 @@ PAIRS: dict[str, str | tuple[str, str]] = {
     # scalars
     "arith_null_safe": ("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) + l_tax, 4) AS net, round(try_divide(l_extendedprice, l_linenumber - 1), 4) AS per, try_mod(l_orderkey, CAST(l_linenumber - 1 AS BIGINT)) AS rest, -l_linenumber AS neg FROM lineitem", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) + l_tax, 4) AS net, round(l_extendedprice / nullif(l_linenumber - 1, 0), 4) AS per, l_orderkey % nullif(CAST(l_linenumber - 1 AS BIGINT), 0) AS rest, -l_linenumber AS neg FROM lineitem"),
     "power_concat": "SELECT p_partkey, power(p_size, 2) AS sq, concat(p_brand, '/', p_type) AS label FROM part",
+    "floor_div_negative": ("SELECT p_partkey, CAST(floor((p_size - 30) / 7) AS BIGINT) AS q FROM part", "SELECT p_partkey, CAST(floor((p_size - 30) / CAST(7 AS DOUBLE)) AS BIGINT) AS q FROM part"),
     "floor_div": ("SELECT p_partkey, CAST(floor(p_size / 7) AS BIGINT) AS q FROM part", "SELECT p_partkey, CAST(p_size // 7 AS BIGINT) AS q FROM part"),
     "case_searched": "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS class FROM part",
     "case_simple": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS code FROM orders",
@@ -39,6 +40,11 @@ PAIRS: dict[str, str | tuple[str, str]] = {
     "join_full": "SELECT s.s_suppkey, c.c_custkey FROM supplier s FULL OUTER JOIN customer c ON s.s_suppkey = c.c_custkey + 5",
     "join_cross": "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n",
     "join_comma": "SELECT n.n_name, r.r_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey",
+    "join_theta_pure": "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey",
+    "join_derived": "SELECT c.c_custkey, o.total FROM customer c JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey",
+    "lateral_cross": "SELECT n.n_nationkey, t.c_custkey FROM nation n CROSS JOIN LATERAL (SELECT c.c_custkey FROM customer c WHERE c.c_nationkey = n.n_nationkey ORDER BY c.c_acctbal DESC, c.c_custkey LIMIT 2) t",
+    "set_precedence": "SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 4 UNION SELECT n_nationkey FROM nation WHERE n_nationkey > 10 INTERSECT SELECT n_nationkey FROM nation WHERE n_nationkey < 15",
+    "star_join": "SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey",
     "join_theta": "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey",
     "join_multi": "SELECT c.c_custkey, n.n_name, r.r_name, count(*) AS n_orders FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY c.c_custkey, n.n_name, r.r_name",
     "join_self": "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey",
@@ -47,7 +53,7 @@ PAIRS: dict[str, str | tuple[str, str]] = {
     "semi_in": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)",
     "anti_not_in": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)",
     "semi_exists": "SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 49)",
-    "anti_not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "anti_not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)",
     "scalar_subquery": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)",
     "correlated_scalar": "SELECT c.c_custkey, (SELECT max(o.o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS top FROM customer c",
     "derived_table": "SELECT seg, n FROM (SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY c_mktsegment) t WHERE n > 1",
@@ -56,6 +62,7 @@ PAIRS: dict[str, str | tuple[str, str]] = {
     "group_having": "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING sum(o_totalprice) > 500000",
     "group_distinct_aggs": "SELECT l_returnflag, count(DISTINCT l_suppkey) AS sup, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS lines, avg(DISTINCT l_linenumber) AS mean FROM lineitem GROUP BY l_returnflag",
     "agg_filter": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 2) AS o FROM orders GROUP BY o_orderpriority",
+    "array_agg_distinct": ("SELECT c_mktsegment, array_join(array_sort(collect_set(c_nationkey)), ',') AS nations FROM customer GROUP BY c_mktsegment", "SELECT c_mktsegment, array_to_string(list_sort(array_agg(DISTINCT c_nationkey)), ',') AS nations FROM customer GROUP BY c_mktsegment"),
     "array_agg": ("SELECT n_regionkey, array_join(array_sort(collect_list(n_name)), ',') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(list_sort(array_agg(n_name)), ',') AS names FROM nation GROUP BY n_regionkey"),
     "string_agg": ("SELECT n_regionkey, listagg(n_name, '; ') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
     "global_agg": "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders",

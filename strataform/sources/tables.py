@@ -21,10 +21,12 @@ def register(spark: SparkSession, sf_dir: str, names: list[str]) -> None:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir, or in one of our own where the session names none; removed at the end."""
+    """A new path in the folder of spark.checkpoint.dir; removed at the end.  Where the session names none, a folder of our own: with a local master alone, since other machines don't see it."""
     sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="strataform-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/strataform/{label}-{uuid.uuid4().hex}"
@@ -44,7 +46,16 @@ def materialize(df: DataFrame, label: str = "state") -> DataFrame:
     """Written to the shared folder and read back: cuts lineage for loops, and survives lost executors."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._written = path
+    return kept
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a DataFrame that materialize returned and that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(df._written)
+    target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def import_file(spark: SparkSession, path: str, format: str = "csv", schema=None, header: bool = True, delimiter: str = ",", null_value: str | None = None) -> DataFrame:
