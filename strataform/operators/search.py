@@ -75,6 +75,14 @@ class TextIndex:
         self.segments: list[str] = []
         self.dead: str | None = None
         self.n, self.total = 0, 0
+        self.kind = "long"
+
+    def _schema(self, part: str) -> str:
+        return {
+            "postings": f"term string, `{self.key}` {self.kind}, tf long, positions array<int>, dl int, bucket long",
+            "documents": f"`{self.key}` {self.kind}, dl int",
+            "terms": "term string, freq long, df long",
+        }[part]
 
     @classmethod
     def build(cls, docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> "TextIndex":
@@ -85,14 +93,18 @@ class TextIndex:
     def add(self, docs: DataFrame, text: str = "text") -> None:
         """Write a segment."""
         path = scratch(self.spark, "text-index")
+        self.kind = docs.schema[self.key].dataType.simpleString()
         own = postings(docs, self.key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)))
         own.repartitionByRange("bucket", "term", self.key).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
         docs.select(self.key, F.coalesce(F.size(tokens(text)), F.lit(0)).alias("dl")).withColumn("dl", F.greatest("dl", F.lit(0))).write.parquet(f"{path}/documents")
-        written = self.spark.read.parquet(f"{path}/postings")
-        written.groupBy("term").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/terms")
+        self._terms(path)
         self.segments.append(path)
         self._count()
 
+    def _terms(self, path: str) -> None:
+        written = self.spark.read.schema(self._schema("postings")).parquet(f"{path}/postings")
+        written.groupBy("term").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/terms")
+
     def _count(self) -> None:
         r = self.documents().agg(F.count(F.lit(1)), F.sum("dl")).first()
         self.n, self.total = r[0], r[1] or 0
@@ -100,7 +112,7 @@ class TextIndex:
     def _read(self, part: str, dead: bool = True) -> DataFrame:
         out = None
         for s in self.segments:
-            d = self.spark.read.parquet(f"{s}/{part}")
+            d = self.spark.read.schema(self._schema(part)).parquet(f"{s}/{part}")
             out = d if out is None else out.unionByName(d)
         if out is None:
             raise ValueError("an index without a segment")
@@ -129,7 +141,7 @@ class TextIndex:
         path = scratch(self.spark, "text-index")
         self._read("postings").repartitionByRange("bucket", "term", self.key).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
         self.documents().write.parquet(f"{path}/documents")
-        self.spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/terms")
+        self._terms(path)
         self.segments, self.dead = [path], None
         self._count()
 

@@ -67,6 +67,7 @@ class Table:
     rls: bool = False
     triggers: dict[tuple[str, str], list[Callable]] = field(default_factory=dict)
     changes: list[DataFrame] = field(default_factory=list)
+    version: int = 0
 
     def __post_init__(self) -> None:
         for f in self.foreign:
@@ -123,9 +124,11 @@ class Table:
             f(self, rows)
 
     def _log(self, kind: str, rows: DataFrame) -> None:
-        self.changes.append(rows.select(F.lit(self.name).alias("table"), F.lit(kind).alias("kind"), F.to_json(F.struct(*self.df.columns)).alias("data")))
+        self.version += 1
+        self.changes.append(rows.select(F.lit(self.name).alias("table"), F.lit(kind).alias("kind"), F.to_json(F.struct(*self.df.columns)).alias("data"), F.lit(self.version).alias("version")))
 
     def change_log(self) -> DataFrame:
+        """table, kind, data (JSON) and version (which rises with each change of the table) of each changed row."""
         out = self.changes[0]
         for d in self.changes[1:]:
             out = out.unionByName(d)
@@ -145,6 +148,7 @@ class Table:
         rows = rows.select(*(F.col(c).cast(k).alias(c) for c, k in self.df.dtypes))
         if self.serial:
             rows = number_rows(rows, self.serial, self.df.agg(F.max(self.serial)).first()[0] or 0)
+            rows = rows.withColumn(self.serial, F.col(self.serial).cast(self.df.schema[self.serial].dataType))
         if self.rls and user is not None:
             own = self._applicable(user, "insert")
             if self.policies and not own:

@@ -875,6 +875,33 @@ def _sessions(spark, d):
     return streams.sessions(T.load(spark, d, "events"))
 
 
+@query("sliding_window", "WITH x AS (SELECT unnest([time_bucket(INTERVAL 30 minute, ts), time_bucket(INTERVAL 30 minute, ts) - INTERVAL 30 minute]) AS start, event_type, value FROM events) SELECT start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM x GROUP BY 1, 2")
+def _sliding(spark, d):
+    return streams.tumbling(T.load(spark, d, "events"), "1 hour", slide="30 minutes").withColumn("total", F.round("total", 3))
+
+
+@query("stream_windows", "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
+def _stream_windows(spark, d):
+    """The events as a stream: all there are, then an end."""
+    path = T.scratch(spark, "windows")
+    events = streams.read_stream(spark, f"{d}/events.parquet", T.load(spark, d, "events").schema)
+    streams.run_to_end(streams.tumbling(events, late="1 hour"), path)
+    return spark.read.parquet(path).withColumn("total", F.round("total", 3))
+
+
+@query("subscribe", "SELECT 'update' AS kind, count(*) AS n FROM nation WHERE n_regionkey = 1")
+def _subscribe(spark, d):
+    """Change rows of two tables in a folder; the subscriber of one sees its own."""
+    log, got = T.scratch(spark, "log"), T.scratch(spark, "got")
+    db = _db(spark, d, "nation", "region")
+    db.sql("UPDATE nation SET n_name = upper(n_name) WHERE n_regionkey = 1; DELETE FROM region WHERE r_regionkey = 2")
+    for t in ("nation", "region"):
+        streams.write_changes(db.tables[t].change_log(), log)
+    changes = streams.read_stream(spark, log, db.tables["nation"].change_log().schema)
+    streams.subscribe(changes, "nation", lambda rows, _: rows.write.mode("append").parquet(got), T.scratch(spark, "subscriber")).awaitTermination()
+    return spark.read.parquet(got).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict:
     return dict(_Q)
 

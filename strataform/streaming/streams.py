@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch
+
 
 def tumbling(events: DataFrame, every: str = "1 hour", late: str | None = None, slide: str | None = None, ts: str = "ts") -> DataFrame:
     """start, event_type, n and total of each window; batch or stream.  late: the watermark."""
@@ -24,6 +26,16 @@ def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+def run_to_end(result: DataFrame, path: str, checkpoint: str | None = None, mode: str = "complete"):
+    """Take all that a stream has now, and leave the result as Parquet at path: whole (complete), or what each batch finished (append)."""
+
+    def keep(rows: DataFrame, _: int) -> None:
+        rows.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    q = result.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint or scratch(result.sparkSession, "stream")).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def subscribe(changes: DataFrame, table: str, handle: Callable[[DataFrame, int], None], checkpoint: str):
     """Hand each new batch of one table's change rows (table, kind, data) to handle, once the batch is complete."""
     return changes.filter(F.col("table") == table).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
