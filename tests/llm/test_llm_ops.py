@@ -502,6 +502,39 @@ def test_network(spark, odd, none, sf_dir):
     assert bytecnn.score_quality(none, net).count() == 0
 
 
+def test_network_scores_brute():
+    """A plain forward pass: each chunk's every place, embedding times filter, maxima, then the layer."""
+    net = bytecnn.ByteNetwork(3)
+    rng = np.random.default_rng(2)
+    net.p["layer"], net.p["bias"] = rng.normal(0, 0.4, 3 * bytecnn.FILTERS), rng.normal(0, 0.1, bytecnn.FILTERS)
+    texts = ["", "abc", "Grüße " * 150, "x" * 960]
+    for t, got in zip(texts, net.score(texts)):
+        tops = []
+        for chunk in bytecnn.chunks_of(t):
+            z = [[sum(float(net.p["embed"][chunk[i + k]] @ net.p["filters"][k][:, f]) for k in range(bytecnn.WIDTH)) for f in range(bytecnn.FILTERS)] for i in range(0, len(chunk) - bytecnn.WIDTH + 1)]
+            tops.append([max(max(row[f] for row in z) + net.p["bias"][f], 0) for f in range(bytecnn.FILTERS)])
+        each = list(zip(*tops))
+        x = [*map(max, each), *(sum(e) / len(e) for e in each), *map(min, each)]
+        assert abs(got - 1 / (1 + np.exp(-(sum(a * b for a, b in zip(x, net.p["layer"])) + net.p["end"][0])))) < 1e-4
+
+
+def test_very_long_texts():
+    """Beyond a block of hashes, a group of words, a chunk, and a batch's part: what the whole text gives."""
+    rng = random.Random(7)
+    text = " ".join(f"w{rng.randrange(500)}" for _ in range(70_000))
+    assert simhash.fingerprint(simhash.shingle_hashes(text)) & (1 << 64) - 1 == brute_fingerprint(text)
+    model = langid.LanguageModel(["the cat and the dog", "le chat et le chien"], ["en", "fr"])
+    labels = langid.Labeller(model).label(["the cat and the dog " * 210_000, "le chat et le chien", None, "the dog"])
+    assert [x for x, _, _ in labels] == ["en", "fr", "und", "en"]
+    tok = tokens.WordTokenizer(open(tokens.default_path()).read())
+    assert tok.encode([text, "cat"])[0] == b"".join(tok.encode(text.split(" ")))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 50, None, "b", "c" * 200, "d"])], names=["t"])
+    cut = [b.column(0).to_pylist() for b in tokens.parts([batch, batch.slice(0, 0)], 0, 60)]
+    assert sum(cut, []) == batch.column(0).to_pylist() and len(cut) > 1
+
+
 def test_chunks_cover_text():
     for n in (0, 1, 511, 512, 513, 960, 961, 5000):
         text = "".join(chr(65 + i % 26) for i in range(n))
