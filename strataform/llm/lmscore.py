@@ -9,7 +9,7 @@ position's n-gram and of its context gives its score; what no other document hol
 single words, where a word not seen elsewhere counts half.  Scores are summed for each document.
 
 A row holds the n-grams that one chunk has in one bucket, sorted and packed, so that shuffles move six bytes an n-gram
-and few rows.  Buckets are as many as the counted words need.  A round explodes only n-grams whose two parts of one order
+and few rows; back comes a bit for each, with the counts of those that are shared.  Buckets are as many as the counted words need.  A round explodes only n-grams whose two parts of one order
 less are both held by another document: all others are held by no other document either, so nothing is lost.  A frequent
 n-gram counts once a chunk; nothing is broadcast or collected; a task holds one chunk, or one bucket, at a time.
 
@@ -105,6 +105,13 @@ def _read(path: str) -> bytes:
         return f.read()
 
 
+def runs_of(grams: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """bucket, begin and end of each run of sorted hashes in one bucket: hashes go to buckets in their order."""
+    place = (grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True]))) if len(place) else np.zeros(1, dtype=np.int64)
+    return [(int(place[i]), int(i), int(j)) for i, j in zip(cut[:-1], cut[1:])]
+
+
 class Chunk:
     """The words of a chunk's documents, and what other documents hold of the n-grams that start at each."""
 
@@ -150,14 +157,17 @@ class Chunk:
             return h, begin, begin
         return h[begin], np.diff(np.append(begin, len(h))), np.minimum(np.add.reduceat(own.astype(np.int64), begin), 2)
 
-    def learn(self, k: int, grams: np.ndarray, totals: np.ndarray) -> None:
-        """Take out each document's own occurrences from the totals of the grams (sorted) that several documents hold."""
+    def learn(self, k: int, buckets: int, told: dict[int, tuple[bytes, bytes]]) -> None:
+        """Take out each document's own occurrences.  told: of each bucket, which of this chunk's n-grams there several documents hold, and how often all chunks do."""
         at, h, new, own = self.grams(k)
         left = np.zeros(len(self.codes), dtype=np.uint32)
-        if len(at) and len(grams):
-            begin = np.flatnonzero(new)
-            place = np.minimum(np.searchsorted(grams, h[begin]), len(grams) - 1)
-            total = np.where(grams[place] == h[begin], totals[place].astype(np.int64), 0)[np.cumsum(new) - 1]
+        if len(at):
+            grams = h[new]
+            total = np.zeros(len(grams), dtype=np.int64)
+            for bucket, i, j in runs_of(grams, buckets):
+                mask, n = told[bucket]
+                total[i:j][np.unpackbits(np.frombuffer(mask, dtype=np.uint8), count=j - i).astype(bool)] = _unpack(n, np.uint32)
+            total = total[np.cumsum(new) - 1]
             held = np.diff(np.append(np.flatnonzero(own), len(h)))[np.cumsum(own) - 1]
             left[at] = np.minimum(np.where(total > 0, total - held, 0), 0xFFFFFFFF)
         self.left.append(left)
@@ -216,16 +226,14 @@ def exploded(state: DataFrame, k: int, buckets: int) -> DataFrame:
             for chunk, path, left in zip(*(b.column(i).to_pylist() for i in range(3))):
                 grams, n, docs = Chunk.of(path, left[-1:] if k > 1 else []).counted(k)
                 n = np.minimum(n, 0x7FFFFFFF).astype(np.uint32) | np.where(docs > 1, _MANY, np.uint32(0))
-                place = (grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True]))) if len(place) else [0]
-                runs = list(zip(cut[:-1], cut[1:]))
-                yield _rows([int(place[i]) for i, _ in runs], [chunk] * len(runs), [pack_sorted(grams[i:j]) for i, j in runs], [_pack(n[i:j]) for i, j in runs])
+                runs = runs_of(grams, buckets)
+                yield _rows([x for x, _, _ in runs], [chunk] * len(runs), [pack_sorted(grams[i:j]) for _, i, j in runs], [_pack(n[i:j]) for _, i, j in runs])
 
     return state.select("chunk", "path", "left").repartition("chunk").mapInArrow(run, _GRAMS)
 
 
 def totals(grams: DataFrame) -> DataFrame:
-    """bucket, chunk, grams and n: of the n-grams that two documents or more hold, how often all chunks do."""
+    """bucket, chunk, grams and n: for each row of exploded, a bit for each of its n-grams (whether two documents or more hold it), and of these how often all chunks do."""
 
     def told(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk").to_pylist()
@@ -243,7 +251,7 @@ def totals(grams: DataFrame) -> DataFrame:
             r = run[at : at + len(g)]
             at += len(g)
             kept = shared[r]
-            out.append((pack_sorted(g[kept]), _pack(total[r[kept]])))
+            out.append((np.packbits(kept).tobytes(), _pack(total[r[kept]])))
         return pa.Table.from_batches([_rows(table.column("bucket").to_pylist(), chunk, [x for x, _ in out], [x for _, x in out])])
 
     return grams.groupBy("bucket").applyInArrow(told, _GRAMS)
@@ -264,9 +272,7 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order:
         def learn(left: pa.Table, right: pa.Table) -> pa.Table:
             row = left.to_pylist()[0]
             c = Chunk.of(row["path"], row["left"] if k == order else row["left"][-1:])
-            back = sorted(zip(*(right.column(x).to_pylist() for x in ("bucket", "grams", "n"))))
-            grams = np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(x) for _, x, _ in back)])
-            c.learn(k, grams, np.concatenate([np.zeros(0, np.uint32), *(_unpack(x, np.uint32) for _, _, x in back)]))
+            c.learn(k, buckets, dict(zip(right.column("bucket").to_pylist(), zip(right.column("grams").to_pylist(), right.column("n").to_pylist()))))
             if k < order:
                 more = pa.array([[*row["left"], _file(folder, _pack(c.left[-1]))]], pa.list_(pa.string()))
                 return left.set_column(left.schema.get_field_index("left"), "left", more)
