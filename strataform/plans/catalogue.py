@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import chunks, search, vectors
+from ..operators.crossmodal import CrossModal
 from ..operators.graphs import Graph, recursive_union
 from ..operators.tables import ConstraintError, ForeignKey, Policy, Table, number_rows
 from ..sources import tables as T
@@ -424,6 +425,19 @@ def _crossmodal(spark, d):
     return s.groupBy("doc_id").agg(F.round(F.sum("s"), 8).alias("score"))
 
 
+@query("crossmodal_hybrid", f"WITH RECURSIVE {_hybrid_sql(20, 20)}, " + "@E, h(id, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, h.depth + 1 FROM h JOIN e ON e.src = h.id WHERE h.depth < 2), b AS (SELECT id, row_number() OVER (ORDER BY min(depth), id) AS place FROM h GROUP BY id) SELECT doc_id, round(sum(s), 8) AS score FROM (SELECT doc_id, CAST(0.5 AS DOUBLE) / (1 + distance) AS s FROM v UNION ALL SELECT doc_id, CAST(0.3 AS DOUBLE) / rank FROM x UNION ALL SELECT id, CAST(0.2 AS DOUBLE) / place FROM b) GROUP BY doc_id")
+def _crossmodal_hybrid(spark, d):
+    both = CrossModal(_emb(spark, d), _index(spark, d), _graph(spark, d))
+    return both.search("hybrid", _first(spark, d), "license", 1, 20, max_depth=2, weights=(0.5, 0.3, 0.2)).select("doc_id", F.round("score", 8).alias("score"))
+
+
+@query("text_index_build", f"WITH {_D} SELECT count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS total FROM d")
+def _index_build(spark, d):
+    """A new index, for the time that it takes."""
+    index = search.TextIndex.build(_docs(spark, d))
+    return spark.createDataFrame([(index.n, index.total)], "n long, total long")
+
+
 @query("rerank_overlap", "SELECT doc_id, round(CAST(contains(lower(text), 'mit') AS INT) * 0.01 + CAST(contains(lower(text), 'license') AS INT) * 0.01, 6) AS score FROM documents".replace("0.01", "CAST(0.01 AS DOUBLE)"))
 def _rerank(spark, d):
     return search.rerank(_docs(spark, d).withColumn("score", F.lit(0.0)), "MIT license").select("doc_id", F.round("score", 6).alias("score"))
@@ -444,6 +458,7 @@ def _graph(spark, d) -> Graph:
 
 
 _START = 1
+_SQL["crossmodal_hybrid"] = _SQL["crossmodal_hybrid"].replace("@E", _E)
 
 
 @query("bfs_depth", f"WITH RECURSIVE {_E}, r(id, depth) AS (SELECT CAST({_START} AS BIGINT), 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 2) SELECT id, min(depth) AS depth FROM r GROUP BY id")
@@ -837,7 +852,7 @@ def _roundtrip(format: str):
         src = T.load(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
         path = T.scratch(spark, format)
         T.export_file(src, path, format)
-        return T.import_file(spark, path, "ndjson" if format == "json" else format, schema=src.schema)
+        return T.import_file(spark, path, format, schema=src.schema)
 
     return run
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -58,9 +59,12 @@ def discard(df: DataFrame) -> None:
     target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def import_file(spark: SparkSession, path: str, format: str = "csv", schema=None, header: bool = True, delimiter: str = ",", null_value: str | None = None) -> DataFrame:
-    """csv, json (an array or objects over several lines), ndjson or jsonl, parquet, orc.  Headerless CSV columns are column_1 and on."""
+def import_file(spark: SparkSession, path: str, format: str = "csv", schema=None, header: bool = True, delimiter: str = ",", null_value: str | None = None, date_format: str | None = None, max_rows: int | None = None) -> DataFrame:
+    """max_rows rows at most (any, as files have no order across tasks).  csv, json (an array or objects over several lines), ndjson or jsonl, parquet, orc.  Headerless CSV columns are column_1 and on."""
+    if max_rows is not None:
+        return import_file(spark, path, format, schema, header, delimiter, null_value, date_format).limit(max_rows)
     r = spark.read.schema(schema) if schema else spark.read
+    r = r.option("dateFormat", date_format) if date_format else r
     if format == "csv":
         r = r.option("header", header).option("sep", delimiter).option("escape", '"').option("multiLine", True)
         d = (r.option("nullValue", null_value) if null_value is not None else r).csv(path)
@@ -72,12 +76,29 @@ def import_file(spark: SparkSession, path: str, format: str = "csv", schema=None
     return r.format(format).load(path)
 
 
-def export_file(df: DataFrame, path: str, format: str = "csv", header: bool = True, delimiter: str = ",", mode: str = "overwrite") -> None:
-    """Each task writes its own part; nothing is gathered into one file."""
+def _arrays(batches):
+    """The lines of one JSON array from the JSON texts of a task's rows."""
+    import pyarrow as pa
+
+    first = True
+    for b in batches:
+        rows = b.column(0).to_pylist()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([("[" if first and not i else ",") + x for i, x in enumerate(rows)])], names=["value"])
+            first = False
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], names=["value"])
+
+
+def export_file(df: DataFrame, path: str, format: str = "csv", header: bool = True, delimiter: str = ",", mode: str = "overwrite", null_value: str | None = None, date_format: str | None = None) -> None:
+    """Each task writes its own part (of json, an array of its own); nothing is gathered into one file."""
     w = df.write.mode(mode)
     if format == "csv":
+        w = w.option("nullValue", null_value) if null_value is not None else w
+        w = w.option("dateFormat", date_format) if date_format else w
         w.option("header", header).option("sep", delimiter).option("escape", '"').csv(path)
-    elif format in ("json", "ndjson", "jsonl"):
+    elif format == "json":
+        df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).mapInArrow(_arrays, "value string").write.mode(mode).text(path)
+    elif format in ("ndjson", "jsonl"):
         w.json(path)
     else:
         w.format(format).save(path)

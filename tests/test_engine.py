@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strataform.functions import columns as C
 from strataform.operators import chunks, search, vectors
+from strataform.operators.crossmodal import CrossModal
 from strataform.operators.graphs import Graph
 from strataform.operators.tables import ConstraintError, Policy, Table
 from strataform.plans import catalogue, dialect
@@ -167,6 +168,28 @@ def test_vectors_and_hybrid(spark):
     assert C.compression_ratio("4bit") == 8.0 and C.compression_ratio("pq", 64, 16) == 16.0
 
 
+def test_crossmodal_modes(spark):
+    e = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    index = search.TextIndex.build(spark.createDataFrame([(1, "fox"), (3, "fox fox")], "doc_id long, text string"))
+    both = CrossModal(e, index, graph(spark, [(1, 2), (2, 4)], [1, 2, 4]))
+    get = lambda **kw: {r.doc_id: round(r.score, 6) for r in both.search(**kw).collect()}
+    assert get(mode="vector", vector=[1.0, 0.0], k=1) == {1: 1.0} and get(mode="fulltext", text="fox") == {3: 1.0, 1: 0.5}
+    assert get(mode="graph", start=1) == {1: 1.0, 2: 0.5, 4: round(1 / 3, 6)} == get(mode="graph", start=1, traversal="dfs")
+    assert get(vector=[1.0, 0.0], text="fox", start=1, k=1) == {1: 2.0, 2: 0.5, 3: 1.0, 4: round(1 / 3, 6)}
+    with pytest.raises(ValueError):
+        both.search("graph")
+
+
+def test_json_arrays(spark, tmp_path):
+    import json
+
+    d = spark.createDataFrame([(1, "a\"b"), (2, None), (3, "c,\n[")], "id int, s string").repartition(3, "id")
+    T.export_file(d, str(tmp_path / "a"), "json")
+    parts = [json.loads(p.read_text()) for p in (tmp_path / "a").glob("part-*")]
+    assert sorted((x["id"], x["s"]) for p in parts for x in p) == [(1, 'a"b'), (2, None), (3, "c,\n[")]
+    assert rows(T.import_file(spark, str(tmp_path / "a"), "json", schema=d.schema)) == rows(d)
+
+
 @pytest.mark.parametrize("kind", ["ivf_search", "lsh_search", "pq_search"])
 def test_recall(spark, sf_dir, kind):
     """Against all rows: at least nine of ten true neighbours of every fiftieth row."""
