@@ -43,10 +43,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str = "state") -> DataFrame:
-    """Written to the shared folder and read back: cuts lineage for loops, and survives lost executors."""
+def materialize(df: DataFrame, label: str = "state", block_bytes: int | None = None) -> DataFrame:
+    """Written to the shared folder and read back: cuts lineage for loops, and survives lost executors.
+
+    block_bytes: size of Parquet row groups, for rows of megabytes.
+    """
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", block_bytes) if block_bytes else df.write).parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept._written = path
     return kept
