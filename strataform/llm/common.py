@@ -2,72 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: A broadcast side holds at most this many rows of a few longs; larger sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+from ..sources.tables import discard, materialize, scratch  # noqa: F401 (the operators take them from here)
+
+#: A broadcast side holds at most this many rows, and takes at most so many bytes as written; larger sides are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir.  Where the session names none, one of our own: with a local master alone, since other machines don't see it."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="strataform-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/strataform/{label}-{uuid.uuid4().hex}"
-
-    def at_exit() -> None:
-        try:
-            _remove(spark, path)
-        except Exception:  # the session may have ended before the interpreter
-            pass
-
-    atexit.register(at_exit)
-    return path
-
-
-def materialize(df: DataFrame, label: str, block_bytes: int | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and a lost executor costs nothing.
-
-    block_bytes: size of Parquet row groups, for rows of megabytes.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    (df.write.option("parquet.block.size", block_bytes) if block_bytes else df.write).parquet(path)
-    kept = spark.read.schema(df.schema).parquet(path)
-    kept._written = path
-    return kept
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the files of a DataFrame that materialize returned and that nothing reads any more."""
-    _remove(df.sparkSession, df._written)
-
-
 def forget(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more, now rather than at the driver's next full collection."""
     gc.collect()
@@ -82,12 +32,19 @@ def file_system(uri: str):
 
 
 def checked_small(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Write df; mark it for broadcast only if its counted rows are at most limit.
+    """Write df; mark it for broadcast only if its counted rows are at most limit, and its files at most BROADCAST_BYTES.
 
-    Beyond the limit joins with it are shuffled, and adaptive execution splits hot keys.
+    Beyond the limits joins with it are shuffled, and adaptive execution splits hot keys.
     """
     kept = materialize(df, label)
-    return F.broadcast(kept) if kept.count() <= limit else kept
+    return F.broadcast(kept) if kept.count() <= limit and written_bytes(kept) <= BROADCAST_BYTES else kept
+
+
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a DataFrame that materialize returned."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._written)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
