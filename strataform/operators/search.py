@@ -95,12 +95,16 @@ class TextIndex:
         path = scratch(self.spark, "text-index")
         self.kind = docs.schema[self.key].dataType.simpleString()
         own = postings(docs, self.key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)))
-        own.repartitionByRange("bucket", "term", self.key).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        self._dealt(own).write.partitionBy("bucket").parquet(f"{path}/postings")
         docs.select(self.key, F.coalesce(F.size(tokens(text)), F.lit(0)).alias("dl")).withColumn("dl", F.greatest("dl", F.lit(0))).write.parquet(f"{path}/documents")
         self._terms(path)
         self.segments.append(path)
         self._count()
 
+    def _dealt(self, own: DataFrame) -> DataFrame:
+        """A bucket's terms go to several tasks, each sorted by term, and a frequent term's documents to several too; no range is sampled, which would make the postings twice."""
+        return own.repartition("bucket", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(4)), F.pmod(F.xxhash64(self.key), F.lit(4))).sortWithinPartitions("bucket", "term")
+
     def _terms(self, path: str) -> None:
         written = self.spark.read.schema(self._schema("postings")).parquet(f"{path}/postings")
         written.groupBy("term").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/terms")
@@ -139,7 +143,7 @@ class TextIndex:
     def compact(self) -> None:
         """One segment without the removed documents."""
         path = scratch(self.spark, "text-index")
-        self._read("postings").repartitionByRange("bucket", "term", self.key).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        self._dealt(self._read("postings")).write.partitionBy("bucket").parquet(f"{path}/postings")
         self.documents().write.parquet(f"{path}/documents")
         self._terms(path)
         self.segments, self.dead = [path], None
