@@ -1,6 +1,7 @@
 """Small fixtures with nulls, empties and ties; brute force where SQL has no equal; recall of the indexes."""
 
 import math
+import os
 import random
 
 import pytest
@@ -376,3 +377,22 @@ def test_empty_tables(spark):
     t = Table("t", spark.createDataFrame([], "id int, v int"), key=["id"])
     assert t.update({"v": "1"}).count() == 0 and t.delete().count() == 0 and t.insert(spark.createDataFrame([], "id int")).count() == 0
     assert math.isclose(C.compression_ratio("8bit"), 4.0)
+
+
+def test_watermark_of_times_without_zone(spark, tmp_path):
+    """Windows and sessions of a stream whose times have no zone; nothing shifts in a session with summer time, where 02:30 isn't an hour of every day."""
+    src, zone = str(tmp_path / "in"), spark.conf.get("spark.sql.session.timeZone")
+    rows_in = [("2024-03-31 02:30:00", 1.0), ("2024-03-31 02:59:59.999999", 2.0), ("2024-10-27 02:30:00", 4.0), ("1969-12-31 23:59:59", 8.0), (None, 16.0)]
+    spark.createDataFrame([(t, "e", v, 1) for t, v in rows_in], "ts string, event_type string, value double, user_id long").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(src)
+    (one,) = (f"{src}/{f}" for f in os.listdir(src) if f.endswith(".parquet"))  # a stream of a single file, as the tables are
+    try:
+        for z in ("UTC", "Europe/Berlin"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            for name, f in (("windows", streams.tumbling), ("sessions", streams.sessions)):
+                events = streams.read_stream(spark, src if name == "windows" else one, spark.read.parquet(src).schema)
+                out = str(tmp_path / f"{name}-{z.replace('/', '-')}")
+                streams.run_to_end(f(events, late="1 hour"), out)
+                got, want = spark.read.parquet(out), f(spark.read.parquet(src))
+                assert got.schema["start"].dataType == want.schema["start"].dataType and rows(got) == rows(want) and got.count() == 3
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
