@@ -14,12 +14,15 @@ one kind, every score is that kind's share (0.5 without any).  Repeated rows get
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import SAMPLE_CHARS, bounded_sample, extended, fresh, held_out, slices, table
+from .common import bounded_sample, extended, fresh, held_out, materialize, slices, table
 
 #: Labelled documents that the network is fitted on, at most about this many.
 TRAIN_DOCS = 2500
@@ -38,6 +41,20 @@ def chunks_of(text: str | None) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::STEP]
 
 
+def drawn(text: str | None, epochs: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray | None]:
+    """The chunks of a text that so many epochs read, and which of these each epoch reads: CHUNKS_A_DOC drawn anew from all its chunks; None where it has no more, as each epoch reads them all."""
+    c = chunks_of(text)
+    if len(c) <= CHUNKS_A_DOC:
+        return np.ascontiguousarray(c), None
+    rng = np.random.default_rng([seed, zlib.crc32(c[0].tobytes()), len(c)])
+    told, places = np.unique(np.stack([rng.choice(len(c), CHUNKS_A_DOC, replace=False) for _ in range(epochs)]), return_inverse=True)
+    return c[told], places.reshape(epochs, CHUNKS_A_DOC)
+
+
+def epochs_of(n: int, steps: int = STEPS) -> int:
+    return -(-steps // -(-n // BATCH)) if n else 0
+
+
 class ByteNetwork:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -91,21 +108,25 @@ class ByteNetwork:
         return out
 
     def fit(self, texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 11) -> "ByteNetwork":
+        return self.fit_drawn([drawn(t, epochs_of(len(texts), steps), seed) for t in texts], labels, steps, seed)
+
+    def fit_drawn(self, docs: list[tuple], labels: list[int], steps: int = STEPS, seed: int = 11) -> "ByteNetwork":
+        """docs: of each text, what drawn gives for epochs_of(len(docs), steps)."""
         y = np.array(labels, dtype=np.float32)
         if len(set(labels)) < 2:
             self.constant = float(y.mean()) if len(y) else 0.5
             return self
         rng = np.random.default_rng(seed)
-        docs = [chunks_of(t) for t in texts]
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        step = 0
+        step = epoch = 0
         while step < steps:
             order = rng.permutation(len(docs))
             for i in range(0, len(docs), BATCH):
                 rows = order[i : i + BATCH]
-                part = [docs[j] if len(docs[j]) <= CHUNKS_A_DOC else docs[j][rng.choice(len(docs[j]), CHUNKS_A_DOC, replace=False)] for j in rows]
+                part = [c if at is None else c[at[epoch]] for c, at in (docs[j] for j in rows)]
                 step += 1
                 self._step(part, y[rows], moments, step, 0.01 * (1 - 0.9 * step / steps))
+            epoch += 1
         return self
 
     def _step(self, part: list[np.ndarray], y: np.ndarray, moments: dict, step: int, rate: float) -> None:
@@ -149,9 +170,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
     told = labels.filter(~held_out(doc_id) & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("i")).agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("z")).filter("y = z").select("i", "y")
     told = bounded_sample(told, ["i"], limit)
     d = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"))
-    few = d.filter(F.length(F.coalesce("t", F.lit(""))) <= SAMPLE_CHARS).join(F.broadcast(told), "i").dropDuplicates(["i", "t"]).limit(2 * limit)
-    rows = sorted(few.collect(), key=lambda r: (r.i, r.t or ""))
-    return ByteNetwork().fit([r.t for r in rows], [r.y for r in rows])
+    few = d.join(F.broadcast(told), "i").select("t", "i", "y", F.xxhash64("t").alias("h"))
+    epochs = epochs_of(few.select("i", "h").distinct().limit(2 * limit).count())
+
+    def run(batches):
+        for b in slices(batches, 50):
+            got = [drawn(t, epochs) for t in b.column(0).to_pylist()]
+            chunks, places = [c.tobytes() for c, _ in got], [None if at is None else at.astype("<i8").tobytes() for _, at in got]
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.binary()), pa.array(places, pa.binary()), *b.columns[1:]], names=["chunks", "places", "i", "y", "h"])
+
+    # the texts stay where they are: what is read of them comes back, some rows at a time
+    schema = StructType([StructField("chunks", BinaryType()), StructField("places", BinaryType()), *few.schema.fields[1:]])
+    rows = materialize(few.mapInArrow(run, schema).dropDuplicates(["i", "h"]).limit(2 * limit), "drawn")
+    got = sorted(((r.i, r.h or 0, r.y, np.frombuffer(r.chunks, dtype=np.uint8).reshape(-1, CHUNK), None if r.places is None else np.frombuffer(r.places, dtype="<i8").reshape(-1, CHUNKS_A_DOC)) for r in rows.toLocalIterator()), key=lambda r: r[:2])
+    return ByteNetwork().fit_drawn([r[3:] for r in got], [r[2] for r in got])
 
 
 def score_quality(docs: DataFrame, network: ByteNetwork, text: str = "text") -> DataFrame:

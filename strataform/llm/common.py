@@ -52,19 +52,24 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-#: Texts of more characters than this aren't learned from (they are scored whole like all others).
+#: Texts of more characters than this aren't in the sample of op4 (they are scored whole like all others).
 SAMPLE_CHARS = 1_000_000
 
 
-def bounded_sample(df: DataFrame, keys: list[str], limit: int, text: str | None = None) -> DataFrame:
-    """About limit rows with the lowest hashes of the keys, twice as many at most: equal rows count once, and longer texts than SAMPLE_CHARS not at all.  Only what is kept is shuffled."""
+def sampled(df: DataFrame, keys: list[str], limit: int, text: str | None = None) -> DataFrame:
+    """About limit rows, those with the lowest hashes of the keys.  Equal rows come all or not at all, and longer texts than SAMPLE_CHARS not, where text is named."""
     if text:
         df = df.filter(F.length(text) <= SAMPLE_CHARS)
     total = df.count()
     if total > limit:
         share = int(limit / total * (1 << 30))
         df = df.filter(F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(1 << 30)) < share)
-    return df.dropDuplicates(keys).limit(2 * limit)
+    return df
+
+
+def bounded_sample(df: DataFrame, keys: list[str], limit: int, text: str | None = None) -> DataFrame:
+    """What sampled gives, twice limit at most: equal rows count once.  Only what is kept is shuffled."""
+    return sampled(df, keys, limit, text).dropDuplicates(keys).limit(2 * limit)
 
 
 def extended(df: DataFrame, ddl: str) -> StructType:

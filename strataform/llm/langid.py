@@ -22,15 +22,16 @@ import bisect
 import math
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import bounded_sample, extended, fresh, held_out, slices
+from .common import extended, fresh, held_out, materialize, sampled, slices
 
 #: Documents that the model is fitted on, at most about this many.
 TRAIN_DOCS = 2000
@@ -92,15 +93,30 @@ def grams(word: str) -> list[str]:
     return [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
 
 
+def learned_words(text: str | None) -> list[str]:
+    got = words_of(text)
+    return got[:: max(1, len(got) // TRAIN_WORDS)]
+
+
 class LanguageModel:
     def __init__(self, texts: list[str], langs: list[str]):
-        self.langs = sorted(set(langs))
-        place = {x: i for i, x in enumerate(self.langs)}
+        self._fit(zip(langs, map(learned_words, texts)))
+
+    @classmethod
+    def of_words(cls, pairs) -> "LanguageModel":
+        """From the language and learned_words of each text, one at a time."""
+        self = cls.__new__(cls)
+        self._fit(pairs)
+        return self
+
+    def _fit(self, pairs) -> None:
+        own, texts = defaultdict(Counter), Counter()
+        for x, got in pairs:
+            own[x].update(got)
+            texts[x] += 1
+        self.langs = sorted(own)
         n = len(self.langs)
-        words = [Counter() for _ in self.langs]
-        for t, x in zip(texts, langs):
-            got = words_of(t)
-            words[place[x]].update(got[:: max(1, len(got) // TRAIN_WORDS)])
+        words = [own[x] for x in self.langs]
         counts: list[Counter] = [Counter() for _ in self.langs]
         scripts = Counter()
         for i, c in enumerate(words):
@@ -127,7 +143,7 @@ class LanguageModel:
         #: The languages of each script; of others, none.
         self.fits = {s: [scripts[s, i] > 0.005 * max(1, spread[i]) for i in range(n)] for s in {s for s, _ in scripts}}
         self.fits_none = [False] * n
-        self.most = max(range(n), key=lambda i: (langs.count(self.langs[i]), -i)) if n else None
+        self.most = max(range(n), key=lambda i: (texts[self.langs[i]], -i)) if n else None
 
     def score_words(self, words: list[str]) -> np.ndarray:
         """A row for each word: log score of each language, 0 for the best, the same low value where the script excludes it, NaN where no language has the script."""
@@ -249,8 +265,15 @@ class Labeller:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", limit: int = TRAIN_DOCS) -> LanguageModel:
     """Fit on text and lang of about limit documents outside the held-out fold, those with the lowest hash of doc_id."""
     d = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("x")).filter(~held_out("i") & F.col("x").isNotNull() & F.col("t").isNotNull())
-    rows = sorted(bounded_sample(d, ["i", "t", "x"], limit, "t").collect(), key=lambda r: (r.i is None, r.i or 0, r.t, r.x))
-    return LanguageModel([r.t for r in rows], [r.x for r in rows])
+
+    def run(batches):
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([learned_words(t) for t in b.column(0).to_pylist()], pa.list_(pa.string())), *b.columns[1:]], names=["words", "i", "x", "h"])
+
+    # the texts stay where they are: only the words that are learned come back, some rows at a time
+    few = sampled(d, ["i", "t", "x"], limit).select("t", "i", "x", F.xxhash64("t").alias("h")).mapInArrow(run, StructType([StructField("words", ArrayType(StringType())), d.schema["i"], d.schema["x"], StructField("h", LongType())]))
+    rows = materialize(few.dropDuplicates(["i", "x", "h"]).select("x", "words").limit(2 * limit), "words")
+    return LanguageModel.of_words((r.x, r.words) for r in rows.toLocalIterator())
 
 
 def label_languages(docs: DataFrame, model: LanguageModel, text: str = "text", spans: bool = True) -> DataFrame:

@@ -656,3 +656,17 @@ def test_pipeline_brute(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     check_packing(rows)
     assert sorted({r.doc_id for r in rows}) == ids and len(ids) > 50
+
+
+def test_training_takes_no_whole_texts(spark):
+    """Texts of over a million characters are learned from, and what is read of them alone comes to the driver."""
+    texts = {1: ("the cat and the dog ", "en", 1), 3: ("le chat et le chien ", "fr", 0), 4: ("## !! ", "en", 0)}
+    docs = spark.createDataFrame([(i, t * (1_100_000 // len(t)), x, None, None) for i, (t, x, _) in texts.items()], DOC)
+    labels = spark.createDataFrame([(i, y) for i, (_, _, y) in texts.items()], "doc_id long, quality int")
+    model = langid.train(docs)
+    assert model.langs == ["en", "fr"] and langid.Labeller(model).label(["the dog", "le chien"])[1][0] == "fr"
+    assert bytecnn.train(docs, labels).constant is None
+    chunks, places = bytecnn.drawn(texts[1][0] * 50_000, 6)
+    whole = bytecnn.chunks_of(texts[1][0] * 50_000)
+    assert len(chunks) <= 6 * bytecnn.CHUNKS_A_DOC < len(whole) and places.shape == (6, bytecnn.CHUNKS_A_DOC)
+    assert all(len(set(p)) == bytecnn.CHUNKS_A_DOC for p in places.tolist()) and {c.tobytes() for c in chunks} <= {c.tobytes() for c in whole}
