@@ -218,7 +218,7 @@ def _rows(bucket, chunk, grams, n):
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(chunk, pa.int64()), pa.array(grams, pa.binary()), pa.array(n, pa.binary())], names=["bucket", "chunk", "grams", "n"])
 
 
-def exploded(state: DataFrame, k: int, buckets: int) -> DataFrame:
+def exploded(state: DataFrame, k: int, buckets: int, tasks: int) -> DataFrame:
     """bucket, chunk, grams and n: the n-grams of order k of each chunk that another document may hold; the top bit of n tells that several documents of the chunk do."""
 
     def run(batches):
@@ -229,7 +229,7 @@ def exploded(state: DataFrame, k: int, buckets: int) -> DataFrame:
                 runs = runs_of(grams, buckets)
                 yield _rows([x for x, _, _ in runs], [chunk] * len(runs), [pack_sorted(grams[i:j]) for _, i, j in runs], [_pack(n[i:j]) for _, i, j in runs])
 
-    return state.select("chunk", "path", "left").repartition("chunk").mapInArrow(run, _GRAMS)
+    return state.select("chunk", "path", "left").repartitionByRange(tasks, "chunk").mapInArrow(run, _GRAMS)
 
 
 def totals(grams: DataFrame) -> DataFrame:
@@ -264,7 +264,10 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order:
     spark = docs.sparkSession
     folder = scratch(spark, "lm-chunks")
     state = materialize(chunks(docs, doc_id, text, chunk_bytes, tokenizer, folder), "chunks")
-    n_words = state.agg(F.sum("n")).first()[0] or 0
+    n_words, n_chunks = state.agg(F.sum("n"), F.count(F.lit(1))).first()
+    n_words = n_words or 0
+    # A task for each chunk, and so many stated: a row is a path of a few bytes, by which adaptive execution would put all chunks in one task.
+    tasks = max(1, n_chunks)
     buckets = max(1, -(-n_words // bucket_words))
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -283,9 +286,9 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order:
         return learn
 
     for k in range(1, order + 1):
-        told = materialize(totals(exploded(state, k, buckets)), f"counts-{k}")
+        told = materialize(totals(exploded(state, k, buckets, tasks)), f"counts-{k}")
         forget(spark)
-        out = state.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(learner(k), state.schema if k < order else f"doc_id {kind}, n_words long, log_score double, mean_log_score double")
+        out = state.repartition(tasks, "chunk").groupBy("chunk").cogroup(told.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(learner(k), state.schema if k < order else f"doc_id {kind}, n_words long, log_score double, mean_log_score double")
         if k == order:
             return out
         after = materialize(out, f"order-{k}")

@@ -670,3 +670,11 @@ def test_training_takes_no_whole_texts(spark):
     whole = bytecnn.chunks_of(texts[1][0] * 50_000)
     assert len(chunks) <= 6 * bytecnn.CHUNKS_A_DOC < len(whole) and places.shape == (6, bytecnn.CHUNKS_A_DOC)
     assert all(len(set(p)) == bytecnn.CHUNKS_A_DOC for p in places.tolist()) and {c.tobytes() for c in chunks} <= {c.tobytes() for c in whole}
+
+
+def test_lm_chunks_in_tasks_of_their_own(spark, tmp_path):
+    """Rows of a few bytes stand for chunks of megabytes: adaptive execution must not put them in one task."""
+    docs = spark.createDataFrame([(i, f"word{i} and more") for i in range(24)], "doc_id int, text string")
+    state = lmscore.materialize(lmscore.chunks(docs, "doc_id", "text", 1, None, f"file://{tmp_path}/chunks"), "chunks")
+    got = lmscore.exploded(state, 1, 1, 24).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sum(r["count"] for r in got) == 24 and len(got) >= 20
