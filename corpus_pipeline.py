@@ -34,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near-duplicates: five-word shingles, Jaccard 0.8 or more."""
+    """Keep the document with the smallest doc_id of each group of near-duplicates: five-word shingles, Jaccard 0.8 or more, of candidates by SimHash balls and by MinHash bands."""
     return neardup.jaccard_dedup(docs)
 
 

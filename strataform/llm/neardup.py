@@ -2,7 +2,8 @@
 
 Documents with equal sets collapse first (node: a 64-bit hash of the sorted set).  Candidates come from MinHash
 in 28 bands of 4: at similarity 0.8 a pair shares no band with a chance of 0.59 ** 28 = 4e-7, and less above.
-Each bucket links its nodes to its smallest, and components of these links say who may be near whom.  The sets of a
+Each bucket links its nodes to its smallest.  Op7's method gives further candidates: SimHash fingerprints, linked at four
+bits or fewer by ball hashing.  Components of both kinds of links say who may be near whom.  The sets of a
 candidate component then meet in tiles of two blocks of about BLOCK nodes (fewer for long texts): a tile compares
 all its pairs exactly and emits a spanning forest of the pairs at 0.8 or more, never all of them.  Every pair
 of a candidate component meets in a tile, so no pair at 0.8 is lost to a bucket's choice of links.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checked_small, extended, fresh, materialize, slices
-from .simhash import _signed, components, keep_least, shingle_hashes
+from .simhash import _signed, components, fingerprint, keep_least, link_fingerprints, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -52,7 +53,7 @@ def bands(shingles: np.ndarray) -> list[int]:
 
 def with_node(docs: DataFrame, text: str, name: str, keep: list[str], extra: str | None = None) -> DataFrame:
     """The columns keep and a node; also the bands and the size, or the set, if extra is "bands" or "set"."""
-    more = {None: [], "bands": ["_size long", "_bands array<long>"], "set": ["_set array<long>"]}[extra]
+    more = {None: [], "bands": ["_size long", "_bands array<long>", "_fp long"], "set": ["_set array<long>"]}[extra]
     own = docs.select(*keep)
     schema = extended(own, ", ".join([f"{name} long", *(f"{fresh(own, x.split()[0])} {x.split()[1]}" for x in more)]))
     d = docs.select(*keep, F.col(text).alias("_nd_text"))
@@ -63,7 +64,7 @@ def with_node(docs: DataFrame, text: str, name: str, keep: list[str], extra: str
             sets = [shingle_set(t) for t in b.column(b.num_columns - 1).to_pylist()]
             out = [*b.columns[:-1], pa.array([node_of(s) for s in sets], pa.int64())]
             if extra == "bands":
-                out += [pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], longs)]
+                out += [pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], longs), pa.array([fingerprint(shingle_hashes(t)) for t in b.column(b.num_columns - 1).to_pylist()], pa.int64())]
             elif extra == "set":
                 out.append(pa.array([s.view(np.int64) for s in sets], longs))
             yield pa.RecordBatch.from_arrays(out, names=schema.names)
@@ -104,12 +105,22 @@ def _tile(pdf):
     return pd.DataFrame(np.array(e, dtype=np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
+def fingerprint_links(ids: DataFrame) -> DataFrame:
+    """a and b: nodes whose documents' fingerprints are equal or in one component of op7's links, linked to the smallest of these nodes."""
+    pairs = materialize(ids.select("_fp", "_node").distinct(), "fingerprints")
+    linked = link_fingerprints(pairs.select("_fp").distinct()).withColumnRenamed("node", "_linked")
+    told = materialize(pairs.join(linked, pairs._fp == F.col("_linked"), "left").select(F.coalesce("root", "_fp").alias("_group"), "_node").distinct(), "fingerprint-groups")
+    least = told.groupBy("_group").agg(F.min("_node").alias("a"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_group", "a")
+    return told.join(checked_small(least, "least-nodes"), "_group").select("a", F.col("_node").alias("b")).filter("a <> b")
+
+
 def links(docs: DataFrame, ids: DataFrame, distinct: DataFrame, doc_id: str, text: str) -> DataFrame:
     """node and root of every node that is near another.  distinct: _node, _least, _size of each node."""
     keys = materialize(ids.select("_node", "_bands").dropDuplicates(["_node"]).select("_node", F.explode("_bands").alias("_key")), "bands")
     shared = keys.groupBy("_key").agg(F.min("_node").alias("a"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key", "a")
+    by_fingerprint = fingerprint_links(ids)
     # the common keys of copies are many rows of one key: each is met by a broadcast, or split by adaptive execution
-    near = components(keys.join(checked_small(shared, "shared-keys"), "_key").select("a", F.col("_node").alias("b")))
+    near = components(keys.join(checked_small(shared, "shared-keys"), "_key").select("a", F.col("_node").alias("b")).unionByName(by_fingerprint))
     near = materialize(near.join(distinct, near.node == distinct._node).select("_node", "root", "_least", "_size"), "candidates")
     blocks = near.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("_size") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
     near = near.join(blocks, "root").withColumn("_block", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int"))
@@ -127,8 +138,8 @@ def jaccard_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """docs with one row of each group: that of the smallest doc_id (one of them, where it repeats)."""
     name = fresh(docs, "_node")
     marked = materialize(with_node(docs, text, name, docs.columns, "bands"), "marked")
-    extra = [marked.columns[len(docs.columns) + i] for i in range(3)]  # node, size, bands
-    ids = marked.select(F.col(doc_id).alias("_doc"), *(F.col(c).alias(x) for c, x in zip(extra, ("_node", "_size", "_bands"))))
+    extra = [marked.columns[len(docs.columns) + i] for i in range(4)]  # node, size, bands, fingerprint
+    ids = marked.select(F.col(doc_id).alias("_doc"), *(F.col(c).alias(x) for c, x in zip(extra, ("_node", "_size", "_bands", "_fp"))))
     distinct = materialize(ids.groupBy("_node").agg(F.min("_doc").alias("_least"), F.count(F.lit(1)).alias("_n"), F.max("_size").alias("_size")), "sets")
     linked = materialize(links(docs, ids, distinct, doc_id, text), "near")
     grouped = distinct.join(linked, distinct._node == linked.node, "left").filter("_n > 1 OR root IS NOT NULL").select("_node", "_least", F.coalesce("root", "_node").alias("root"))

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from strataform.llm import neardup
 
@@ -60,3 +62,15 @@ def test_same_id_other_texts(spark):
     rows = [(1, "a b c d e f", None, None, None), (1, "u v w x y z", None, None, None), (2, "a b c d e f", None, None, None), (3, "u v w x y z", None, None, None), (None, "", None, None, None), (None, " ", None, None, None)]
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOC), "").collect()
     assert sorted((r.doc_id or 0, len(r.text.strip())) for r in got) == [(0, 0), (1, 11), (1, 11)]
+
+
+def test_fingerprints_give_candidates(spark):
+    """SimHash alone, without a band: what it links and Jaccard confirms is one group, and nothing else is."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [words, words[:-1] + ["x"], words[::-1], ["a"], []]  # the first two differ in one shingle of 396
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    ids = neardup.with_node(docs, "text", "_node", ["doc_id"], "bands").withColumn("_bands", F.expr("CAST(array() AS array<bigint>)"))
+    distinct = ids.groupBy("_node").agg(F.min("doc_id").alias("_least"), F.max("_size").alias("_size"))
+    node = {r.doc_id: r._node for r in ids.collect()}
+    found = {r.node: r.root for r in neardup.links(docs, ids, distinct, "doc_id", "text").collect()}
+    assert set(found) == {node[0], node[1]} and len(set(found.values())) == 1
