@@ -2,7 +2,7 @@
 
 A paragraph is a run of lines without a blank one, so notices wrapped at any width are whole.  Where word pairs of a notice
 stand in it, the words around them are a passage, and passages are classified: features are words and word pairs (a sparse
-dictionary of those seen in training) of a multinomial logistic regression, trained on notices of each family, whole and with
+dictionary of those seen in training; which pairs tell a notice is counted over every paragraph) of a multinomial logistic regression, trained on notices of each family, whole and with
 words dropped, and on passages of a bounded sample of documents as the unknown class.  A temperature, fitted on whole notices
 that a first fit hasn't seen and on passages held back, calibrates the probabilities.  A family is reported only if its
 probability reaches ``min_probability`` (or half of that, where the passage holds its name) and a comparison confirms it: at
@@ -115,17 +115,36 @@ def pairs(text: str) -> set[str]:
     return set(_pairs_of(words)) or set(words)
 
 
+NOTICES = {c: [pairs(t) for t in ts] for c, ts in TEMPLATES.items()}
+NOTICE_PAIRS = {p for ts in NOTICES.values() for t in ts for p in t}
+MIN_OVERLAP = 0.6
+
+
+def holds_notice(own: set[str]) -> bool:
+    return any(len(own & p) >= MIN_OVERLAP * len(p) for ts in NOTICES.values() for p in ts)
+
+
+def count_pairs(texts) -> Counter:
+    """How many of the paragraphs that hold no notice have each pair of a notice, and, under None, how many there are."""
+    out = Counter()
+    for t in texts:
+        own = pairs(t) & NOTICE_PAIRS
+        if not own or not holds_notice(own):
+            out.update(own)
+            out[None] += 1
+    return out
+
+
 class LicenceModel:
-    def __init__(self, negatives: list[str], seed: int = 3):
+    def __init__(self, negatives: list[str], seed: int = 3, often: Counter | None = None):
+        """often: count_pairs of all paragraphs; of the negatives, if not given."""
         self.classes = [*TEMPLATES, UNKNOWN]
-        self.pairs = {c: [pairs(t) for t in ts] for c, ts in TEMPLATES.items()}
-        self.min_probability, self.min_overlap = 0.6, 0.6
-        negatives = [t for t in negatives if not self._holds_notice(pairs(t))]  # the sample holds notices too
-        plain = [*_PLAIN * 4, *negatives]
-        often = Counter(p for t in plain for p in pairs(t))
-        own = {p for ts in self.pairs.values() for t in ts for p in t}
+        self.pairs = NOTICES
+        self.min_probability, self.min_overlap = 0.6, MIN_OVERLAP
+        negatives = [t for t in negatives if not holds_notice(pairs(t))]  # the sample holds notices too
+        often = count_pairs(_PLAIN * 4) + (count_pairs(negatives) if often is None else often)
         #: Pairs of notices that ordinary text hardly has; passages are the words around them.
-        self.telling = {p for p in own if often[p] <= 0.002 * len(plain)}
+        self.telling = {p for p in NOTICE_PAIRS if often[p] <= 0.002 * often[None]}
         rows = [(c, k, t) for c, ts in TEMPLATES.items() for k, t in enumerate(ts)]
         passages = [*_PLAIN * 4, *(" ".join(w[a:b]) for t in negatives for w in [WORD.findall(t.lower())] for a, b in self.passages(w) if not self.confirmed(set(_pairs_of(w[a:b]))))]
         passages += [x for x in negatives[::2] if not self.confirmed(pairs(x))]
@@ -188,9 +207,6 @@ class LicenceModel:
 
         return min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
 
-    def _holds_notice(self, own: set[str]) -> bool:
-        return any(len(own & p) >= self.min_overlap * len(p) for ts in self.pairs.values() for p in ts)
-
     def confirmed(self, own: set[str], classes: list[str] | None = None) -> bool:
         return any(len(own & p) >= self.min_overlap * len(p) or (len(own) > 3 and len(own & p) >= self.min_overlap * len(own)) for c in classes or TEMPLATES for p in self.pairs[c])
 
@@ -255,7 +271,21 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: in
     d = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
     rows = sorted(bounded_sample(d, ["i", "t"], limit, "t").collect(), key=lambda r: (r.i is None, r.i or 0, r.t))
     found = [[" ".join(p) for _, p in paragraphs(r.t)] for r in rows]
-    return LicenceModel([x for own in found for x in own[:: max(1, len(own) // SAMPLE_PARAGRAPHS)]])
+    return LicenceModel([x for own in found for x in own[:: max(1, len(own) // SAMPLE_PARAGRAPHS)]], often=corpus_pairs(docs, text))
+
+
+def corpus_pairs(docs: DataFrame, text: str = "text") -> Counter:
+    """count_pairs of every paragraph of docs; a row a task and pair of a notice is all that is shuffled."""
+
+    def run(batches):
+        n = Counter()
+        for b in slices(batches):
+            for t in b.column(0).to_pylist():
+                n.update(count_pairs(" ".join(lines) for _, lines in paragraphs(t)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["pair", "n"])
+
+    rows = docs.select(F.col(text).alias("t")).mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    return Counter({r.pair: r.n for r in rows})
 
 
 def scan_licences(docs: DataFrame, model: LicenceModel, text: str = "text") -> DataFrame:

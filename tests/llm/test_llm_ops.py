@@ -678,3 +678,13 @@ def test_lm_chunks_in_tasks_of_their_own(spark, tmp_path):
     state = lmscore.materialize(lmscore.chunks(docs, "doc_id", "text", 1, None, f"file://{tmp_path}/chunks"), "chunks")
     got = lmscore.exploded(state, 1, 1, 24).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     assert sum(r["count"] for r in got) == 24 and len(got) >= 20
+
+
+def test_telling_pairs_count_every_paragraph(spark, monkeypatch):
+    """What is frequent is told by all paragraphs, not by those of the sample."""
+    rows = [(i, "they said that this work is\n\nplain words of another kind\n\nthe general public was there", None, None, None) for i in range(700)]
+    got = licenses.corpus_pairs(docs_of(spark, rows))
+    assert got[None] == 2100 and got["this work"] == 700 and got["general public"] == 700
+    monkeypatch.setattr(licenses, "SAMPLE_PARAGRAPHS", 1)
+    model = licenses.train(docs_of(spark, rows), limit=0)
+    assert "this work" not in model.telling and "general public license" not in model.telling and "mit license" in model.telling
