@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import bounded_sample, extended, fresh, held_out, materialize, slices, table
+from .common import bounded_sample, extended, fresh, held_out, lean, materialize, slices, table
 
 #: Labelled documents that the network is fitted on, at most about this many.
 TRAIN_DOCS = 2500
@@ -195,7 +195,7 @@ def score_quality(docs: DataFrame, network: ByteNetwork, text: str = "text") ->
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(b.column(place).to_pylist()), pa.float64())], names=[*cols, name])
 
-    return docs.mapInArrow(run, extended(docs, f"{name} double"))
+    return docs.mapInArrow(lean(run), extended(docs, f"{name} double"))
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

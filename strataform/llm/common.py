@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -84,6 +86,25 @@ def slices(batches, rows: int = 500):
             yield b.slice(i, rows)
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed: Arrow's pool and the C library keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run):
+    """run, a function of mapInArrow, that gives back memory at a task's end: workers are used again, and what one stage left would stand beside the next one's."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or name with underscores where a column (in any case) already has it."""
     taken = {c.lower() for c in df.columns}

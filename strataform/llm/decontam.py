@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, extended, fresh, materialize, slices, table
+from .common import discard, extended, fresh, lean, materialize, slices, table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -195,7 +195,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                     new_items.append(sorted(got))
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(n, pa.int64()), pa.array(new_spans, span_type), pa.array(new_items, pa.list_(pa.string()))], names=[*cols, *names])
 
-        out = (docs if first else out).mapInArrow(run, schema)
+        out = (docs if first else out).mapInArrow(lean(run), schema)
     return out
 
 

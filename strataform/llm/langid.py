@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import extended, fresh, held_out, materialize, sampled, slices
+from .common import extended, fresh, held_out, lean, materialize, sampled, slices
 
 #: Documents that the model is fitted on, at most about this many.
 TRAIN_DOCS = 2000
@@ -290,7 +290,7 @@ def label_languages(docs: DataFrame, model: LanguageModel, text: str = "text", s
             got = labeller.label(b.column(place).to_pylist(), spans)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _, _ in got], pa.string()), pa.array([s for _, s, _ in got], pa.float64()), pa.array([r for _, _, r in got], kind)], names=[*cols, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_small, extended, fresh, materialize, slices
+from .common import checked_small, extended, fresh, lean, materialize, slices
 from .simhash import _signed, components, fingerprint, keep_least, link_fingerprints, shingle_hashes
 
 SHINGLE = 5
@@ -69,7 +69,7 @@ def with_node(docs: DataFrame, text: str, name: str, keep: list[str], extra: str
                 out.append(pa.array([s.view(np.int64) for s in sets], longs))
             yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(lean(run), schema)
 
 
 def forest(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:

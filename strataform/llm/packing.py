@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back, lean, materialize
 from .tokens import WordTokenizer, default_path, parts
 
 CAPACITY = 2048
@@ -46,20 +46,21 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
         tok, at = WordTokenizer(definition.value), TaskContext.get().partitionId() << 40
         step = 4 * capacity
         for b in parts(batches, 1):
-            found, sizes = tok.encode_array(b.column(1))
-            data, rows, begin = found.astype("<u4").tobytes(), [], 0
-            for i, n in zip(b.column(0).to_pylist(), sizes.tolist()):
-                e = data[begin : begin + 4 * n] + END
-                begin += 4 * n
-                for k in range(0, len(e), step):
-                    part = e[k : k + step]
-                    rows.append((at, i, k // step, k // 4, len(part) // 4, zlib.crc32(part), part if ids else None))
-                    at += 1
-            cols = list(zip(*rows)) if rows else [[]] * 7
             kinds = [pa.int64(), b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)][: 7 if ids else 6], names=["uid", "doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 7 if ids else 6])
-
-    return d.mapInArrow(run, f"uid long, doc_id {d.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else ""))
+            docs_of = iter(b.column(0).to_pylist())
+            for found, sizes in tok.encode_runs(b.column(1)):
+                data, rows, begin = found.astype("<u4").tobytes(), [], 0
+                for n, i in zip(sizes.tolist(), docs_of):
+                    e = data[begin : begin + 4 * n] + END
+                    begin += 4 * n
+                    for k in range(0, len(e), step):
+                        part = e[k : k + step]
+                        rows.append((at, i, k // step, k // 4, len(part) // 4, zlib.crc32(part), part if ids else None))
+                        at += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)][: 7 if ids else 6], names=["uid", "doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 7 if ids else 6])
+            give_back()
+
+    return d.mapInArrow(lean(run), f"uid long, doc_id {d.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else ""))
 
 
 def lower_bound(lens, capacity: int = CAPACITY) -> int:

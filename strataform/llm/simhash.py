@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_small, discard, extended, fresh, materialize, slices
+from .common import checked_small, discard, extended, fresh, lean, materialize, slices
 
 RADIUS = 4
 SHINGLE = 4
@@ -71,7 +71,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "_fp", kee
             fps = [fingerprint(shingle_hashes(t)) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.int64())], names=[*keep, name])
 
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(lean(run), schema)
 
 
 def _signed(x: int) -> int:

@@ -27,6 +27,8 @@ UNSAFE = "[^\\x00-\\x{12f}\\x{131}-\\x{17f}]|<\\|"
 ODD_SPACE = "[\\x1c-\\x1f]"
 #: Bytes of text that are taken at a time, about.
 PART_BYTES = 16 << 20
+#: Bytes of text whose ids are gathered at a time, about.
+RUN_BYTES = 1 << 20
 _NONE = np.iinfo(np.int32).max
 
 
@@ -159,23 +161,35 @@ class WordTokenizer:
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids (unsigned 32 bits) of all texts, one after the other, and how many each has; null is empty."""
+        got = list(self.encode_runs(texts, None))
+        return got[0] if got else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
+
+    def encode_runs(self, texts: pa.Array, most: int | None = RUN_BYTES):
+        """What encode_array gives, of runs of about `most` bytes of text (a text at least; None: all texts) one after the other.
+
+        Distinct words are looked at once for all texts; only a run's ids are in memory.
+        """
         texts = texts.fill_null("")
-        odd = pc.match_substring_regex(texts, ODD_SPACE)
-        plain = pc.if_else(odd, "", texts)
-        split = pc.utf8_split_whitespace(plain)
+        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
+        split = pc.utf8_split_whitespace(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
+        offsets = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
         words = split.flatten().dictionary_encode()
+        del split
         flat, starts, sizes = self._words(words.dictionary)
-        ids, n = ragged_take(flat, starts, sizes, words.indices.to_numpy())
-        ends = np.concatenate(([0], np.cumsum(n)))[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        size = np.diff(ends)
-        ids = ids.astype(np.uint32)
-        if not pc.any(odd).as_py():
-            return ids, size
-        parts = np.split(ids, ends[1:-1])
-        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
-            parts[i] = np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
-            size[i] = len(parts[i])
-        return np.concatenate(parts), size
+        codes = words.indices.to_numpy()
+        del words
+        length = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        for i, j in spans(np.cumsum(length) - length, most):
+            ids, n = ragged_take(flat, starts, sizes, codes[offsets[i] : offsets[j]])
+            ends = np.concatenate(([0], np.cumsum(n)))[offsets[i : j + 1] - offsets[i]]
+            size, ids = np.diff(ends), ids.astype(np.uint32)
+            if odd[i:j].any():
+                own = np.split(ids, ends[1:-1])
+                for k in np.flatnonzero(odd[i:j]):
+                    own[k] = np.array(self.tokenizer.encode(texts[int(i + k)].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
+                    size[k] = len(own[k])
+                ids = np.concatenate(own)
+            yield ids, size
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
@@ -184,11 +198,16 @@ class WordTokenizer:
         return [data[e - 4 * n : e] for e, n in zip(ends.tolist(), size.tolist())]
 
 
+def spans(begins: np.ndarray, most: int | None) -> list[tuple[int, int]]:
+    """Where to cut rows that begin at these places into runs of about `most` (None: a single run), a row at least."""
+    place = begins // most if most else np.zeros(len(begins), dtype=np.int64)
+    cut = np.flatnonzero(np.concatenate(([True], np.diff(place) != 0, [True]))).tolist() if len(begins) else [0]
+    return list(zip(cut[:-1], cut[1:]))
+
+
 def parts(batches, column: int, most: int = PART_BYTES):
     """The batches in slices of about `most` bytes of a string column, a row at least."""
     for b in batches:
         size = pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        place = (np.cumsum(size) - size) // most
-        cut = np.flatnonzero(np.concatenate(([True], np.diff(place) != 0, [True]))) if b.num_rows else [0]
-        for i, j in zip(cut[:-1], cut[1:]):
+        for i, j in spans(np.cumsum(size) - size, most):
             yield b.slice(i, j - i)

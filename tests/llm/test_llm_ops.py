@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import Row
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strataform.llm import bytecnn, decontam, langid, licenses, lmscore, packing, quality_rules, simhash, tokens, urlfilter, warc
-from strataform.llm.common import held_out, scratch
+from strataform.llm.common import held_out, lean, scratch
 from strataform.llm.queries import ORACLES, QUERIES
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -400,6 +402,50 @@ def test_tokens_of_any_word():
     assert [np.frombuffer(e, "<u4").tolist() for e in tok.encode(texts)] == [tok.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_tokens_by_runs():
+    """Runs give the ids of all texts in order, and hold the ids of a run alone."""
+    tok, rng = tokens.WordTokenizer(open(tokens.default_path()).read()), random.Random(6)
+    texts = pa.array([" ".join(rng.choice(["some", "words", "c\x1cd", "Grüße", "12"]) for _ in range(rng.choice([0, 1, 3, 40]))) for _ in range(300)] + [None, "x " * 500, ""])
+    ids, sizes = tok.encode_array(texts)
+    for t in (texts, texts.slice(7), texts.slice(0, 0)):
+        runs = list(tok.encode_runs(t, 400))
+        assert np.concatenate([np.zeros(0, "u4"), *(x for x, _ in runs)]).tolist() == tok.encode_array(t)[0].tolist()
+        assert [n for _, size in runs for n in size.tolist()] == tok.encode_array(t)[1].tolist()
+    assert len(list(tok.encode_runs(texts, 400))) > 20 and len(sizes) == len(texts) and sizes.sum() == len(ids)
+    texts = pa.array(["one two three four five " * 40] * 8000)
+    tracemalloc.start()
+    whole = sum(len(x) for x, _ in [tok.encode_array(texts)])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    assert sum(len(x) for x, _ in tok.encode_runs(texts)) == whole
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < most / 3
+
+
+def test_workers_give_back_memory(spark):
+    """What a task has freed doesn't stay with its worker, which later stages use again."""
+
+    def held():
+        return int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read()).group(1)) // 1024
+
+    def run(batches):
+        for b in batches:
+            before = held()
+            tok, rng = tokens.WordTokenizer(definition), random.Random(7)
+            texts = pa.array([" ".join("".join(rng.choices("etaoins", k=9)) for _ in range(500)) for _ in range(800)])
+            tok.encode_array(texts)
+            yield pa.RecordBatch.from_arrays([pa.array([before])], names=["n"])
+
+    def now(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([held()])], names=["n"])
+
+    definition, one = open(tokens.default_path()).read(), spark.range(0, 1, 1, 1)
+    before = one.mapInArrow(lean(run), "n long").collect()[0].n
+    assert one.mapInArrow(now, "n long").collect()[0].n < before + 30
+
+
 def test_packing_query(spark, sf_dir):
     rows = QUERIES["op8_packing"](spark, sf_dir).collect()
     used = check_packing(rows)
