@@ -42,13 +42,14 @@ PAIRS: dict[str, str | tuple[str, str]] = {
     "join_comma": "SELECT n.n_name, r.r_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey",
     "join_theta_pure": "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey",
     "join_derived": "SELECT c.c_custkey, o.total FROM customer c JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey",
-    "lateral_cross": "SELECT n.n_nationkey, t.c_custkey FROM nation n CROSS JOIN LATERAL (SELECT c.c_custkey FROM customer c WHERE c.c_nationkey = n.n_nationkey ORDER BY c.c_acctbal DESC, c.c_custkey LIMIT 2) t",
+    # Spark loses the order of a lateral subquery whose sort columns aren't selected, and keeps any rows: its own texts number them.
+    "lateral_cross": ("SELECT n.n_nationkey, t.c_custkey FROM nation n JOIN (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST, c_custkey NULLS LAST) AS r FROM customer) t ON t.c_nationkey = n.n_nationkey AND t.r <= 2", "SELECT n.n_nationkey, t.c_custkey FROM nation n CROSS JOIN LATERAL (SELECT c.c_custkey FROM customer c WHERE c.c_nationkey = n.n_nationkey ORDER BY c.c_acctbal DESC, c.c_custkey LIMIT 2) t"),
     "set_precedence": "SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 4 UNION SELECT n_nationkey FROM nation WHERE n_nationkey > 10 INTERSECT SELECT n_nationkey FROM nation WHERE n_nationkey < 15",
     "star_join": "SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey",
     "join_theta": "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey",
     "join_multi": "SELECT c.c_custkey, n.n_name, r.r_name, count(*) AS n_orders FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY c.c_custkey, n.n_name, r.r_name",
     "join_self": "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey",
-    "lateral_inner_limit": "SELECT c.c_custkey, t.o_orderkey FROM customer c JOIN LATERAL (SELECT o.o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 2) t ON true",
+    "lateral_inner_limit": ("SELECT c.c_custkey, t.o_orderkey FROM customer c JOIN (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey NULLS LAST) AS r FROM orders) t ON t.o_custkey = c.c_custkey AND t.r <= 2", "SELECT c.c_custkey, t.o_orderkey FROM customer c JOIN LATERAL (SELECT o.o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 2) t ON true"),
     "lateral_left": "SELECT c.c_custkey, t.o_orderkey FROM customer c LEFT JOIN LATERAL (SELECT o.o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o.o_totalprice, o.o_orderkey LIMIT 1) t ON true",
     "semi_in": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)",
     "anti_not_in": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)",
