@@ -50,7 +50,7 @@ PAIRS: dict[str, str | tuple[str, str]] = {
     "join_multi": "SELECT c.c_custkey, n.n_name, r.r_name, count(*) AS n_orders FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY c.c_custkey, n.n_name, r.r_name",
     "join_self": "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey",
     "lateral_inner_limit": ("SELECT c.c_custkey, t.o_orderkey FROM customer c JOIN (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey NULLS LAST) AS r FROM orders) t ON t.o_custkey = c.c_custkey AND t.r <= 2", "SELECT c.c_custkey, t.o_orderkey FROM customer c JOIN LATERAL (SELECT o.o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 2) t ON true"),
-    "lateral_left": "SELECT c.c_custkey, t.o_orderkey FROM customer c LEFT JOIN LATERAL (SELECT o.o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o.o_totalprice, o.o_orderkey LIMIT 1) t ON true",
+    "lateral_left": ("SELECT c.c_custkey, t.o_orderkey FROM customer c LEFT JOIN (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice NULLS LAST, o_orderkey NULLS LAST) AS r FROM orders) t ON t.o_custkey = c.c_custkey AND t.r <= 1", "SELECT c.c_custkey, t.o_orderkey FROM customer c LEFT JOIN LATERAL (SELECT o.o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o.o_totalprice, o.o_orderkey LIMIT 1) t ON true"),
     "semi_in": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)",
     "anti_not_in": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)",
     "semi_exists": "SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 49)",

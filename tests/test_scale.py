@@ -17,7 +17,7 @@ def dealt(spark, sf_dir, tmp_path, names):
     return duck
 
 
-@pytest.mark.parametrize("name", ["lateral_cross", "lateral_inner_limit"])
+@pytest.mark.parametrize("name", ["lateral_cross", "lateral_inner_limit", "lateral_left"])
 def test_lateral_of_many_files(spark, sf_dir, tmp_path, same_rows, name):
     duck = dealt(spark, sf_dir, tmp_path, ["nation", "customer", "orders"])
     out = catalogue.queries()[name](spark, str(tmp_path))
