@@ -4,20 +4,37 @@ search; facets and rank fusion.
 The index is a list of segments in the shared folder.  A segment holds postings (term, key, tf, positions, dl), partitioned
 by a bucket of the term's hash and sorted by term, documents (key, dl) and terms (term, freq).  A search names its terms, so
 it reads their buckets alone, and within these the row groups whose statistics fit.
+
+Postings are made a batch of documents at a time: a batch's tokens, sorted by term, are a packed run for each bucket, and
+only runs are shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import STOP, tokens
-from ..sources.tables import scratch
+from ..sources.tables import discard, materialize, scratch
 
 K1, B = 1.2, 0.75
 BUCKETS = 16
+#: Tokens of a run, and postings that are sorted together when runs are written, about.
+RUN_TOKENS, WRITE_ROWS = 2_000_000, 2_000_000
+#: Tasks that a bucket's runs are dealt to, at most.
+SPREAD = 32
+#: Terms, found in the vocabulary, that are looked up by name; of more, all postings are read.
+NAMED_TERMS = 1000
+#: Tombstones that are broadcast, at most; more are joined by shuffle.
+DEAD_ROWS = 1_000_000
 
 
 def query_terms(query: str) -> list[str]:
@@ -31,6 +48,159 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return e.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
 
 
+def words(text) -> Column:
+    """What tokens() gives before stop words and lengths are looked at, with empty strings."""
+    return F.split(F.lower(text), r"[^\p{L}_-]+")
+
+
+def _packed(runs: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, runs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(runs)
+    return sink.getvalue().to_pybytes()
+
+
+def _own_terms(runs: pa.Table) -> pa.Table:
+    """runs with a dictionary of the terms in it alone."""
+    term = runs.column(0).combine_chunks()
+    if pa.types.is_dictionary(term.type):
+        used, at = np.unique(term.indices.to_numpy(), return_inverse=True)
+        term = pa.DictionaryArray.from_arrays(pa.array(at.astype(np.int32)), term.dictionary.take(pa.array(used)))
+    else:
+        term = term.dictionary_encode()
+    return runs.set_column(0, "term", term)
+
+
+def _by_bucket(runs: pa.Table, buckets: np.ndarray):
+    """The parts of a table by its rows' buckets, packed, with a number that deals them to tasks."""
+    order = np.argsort(buckets, kind="stable")
+    ends = np.flatnonzero(np.diff(buckets[order], append=-1)) + 1
+    begin = 0
+    for e in ends.tolist():
+        yield int(buckets[order[begin]]), _packed(_own_terms(runs.take(pa.array(order[begin:e]))))
+        begin = e
+
+
+def _bucket_of(terms: list[str], buckets: int) -> np.ndarray:
+    """pmod(xxhash64(term), buckets), as Spark has it."""
+    return np.array([((h ^ 1 << 63) - (1 << 63)) % buckets for h in (xxhash.xxh64_intdigest(t.encode(), 42) for t in terms)], dtype=np.int64)
+
+
+def _run(key: pa.Array, split: pa.Array, buckets: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The postings of some documents sorted by term, their buckets, and the documents' tokens."""
+    lens = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    told = split.flatten().dictionary_encode()
+    terms = told.dictionary
+    size = pc.binary_length(terms)
+    fit = pc.and_(pc.and_(pc.greater_equal(size, 2), pc.less_equal(size, 64)), pc.invert(pc.is_in(terms, pa.array(STOP, pa.string())))).to_numpy(zero_copy_only=False)
+    place = np.full(len(terms), -1, dtype=np.int32)
+    place[pc.sort_indices(terms).to_numpy()] = np.arange(len(terms), dtype=np.int32)  # in order of the terms
+    code = told.indices.to_numpy(zero_copy_only=False)
+    keep = fit[code] if len(terms) else np.zeros(0, dtype=bool)
+    doc, code = np.repeat(np.arange(len(lens), dtype=np.int32), lens)[keep], code[keep]
+    dl = np.bincount(doc, minlength=len(lens)).astype(np.int32)
+    pos = (np.arange(len(doc)) - (np.cumsum(dl) - dl)[doc]).astype(np.int32)
+    order = np.argsort(place[code], kind="stable")
+    doc, code, pos = doc[order], code[order], pos[order]
+    first = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))) if len(doc) else np.zeros(0, dtype=np.int64)
+    ends = np.append(first, len(doc))
+    doc, code = doc[first], code[first]
+    used, at = np.unique(code, return_inverse=True)
+    own = terms.take(pa.array(used))
+    found = pa.table({"term": pa.DictionaryArray.from_arrays(pa.array(at.astype(np.int32)), own), "key": key.take(pa.array(doc)), "tf": pa.array(np.diff(ends)), "positions": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(pos)), "dl": pa.array(dl[doc])})
+    return found, _bucket_of(own.to_pylist(), buckets)[at] if len(at) else np.zeros(0, dtype=np.int64), dl
+
+
+def _cuts(lens: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Where to cut rows of these lengths into parts of about `most`, a row at least."""
+    group = (np.cumsum(lens) - lens) // most
+    cut = np.flatnonzero(np.diff(group, prepend=-1, append=-1)).tolist()
+    return list(zip(cut[:-1], cut[1:]))
+
+
+def _text_runs(buckets: int):
+    """Of batches of key and words: packed runs by bucket, and in bucket -1 the keys and tokens of the documents."""
+
+    def run(batches):
+        n = TaskContext.get().partitionId()
+        for b in batches:
+            lens = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+            for i, j in _cuts(lens, RUN_TOKENS):
+                key = b.column(0).slice(i, j - i)
+                found, at, dl = _run(key, b.column(1).slice(i, j - i), buckets)
+                rows = [(-1, _packed(pa.table({"key": key, "dl": pa.array(dl)}))), *_by_bucket(found, at)]
+                n += 1
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), pa.array([n % SPREAD] * len(rows), pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "sub", "run"])
+
+    return run
+
+
+def _row_runs(batches):
+    """Of batches of postings: packed runs by bucket, to be sorted when they are written."""
+    n = TaskContext.get().partitionId()
+    for b in batches:
+        n += 1
+        rows = list(_by_bucket(pa.Table.from_batches([b]).drop_columns("bucket"), b.column("bucket").to_numpy()))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), pa.array([n % SPREAD] * len(rows), pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "sub", "run"])
+
+
+def _sorted_rows(got: list[tuple[int, pa.Table]], key: str):
+    """The postings of some runs sorted by bucket and term, in batches."""
+    buckets = np.repeat([x for x, _ in got], [t.num_rows for _, t in got])
+    rows = pa.concat_tables([t for _, t in got]).unify_dictionaries().combine_chunks()
+    if not rows.num_rows:
+        return
+    term = rows.column(0).chunk(0)
+    place = np.empty(len(term.dictionary), dtype=np.int32)
+    place[pc.sort_indices(term.dictionary).to_numpy()] = np.arange(len(place), dtype=np.int32)
+    order = np.lexsort((place[term.indices.to_numpy()], buckets))
+    for i in range(0, len(order), 50_000):
+        part = rows.take(pa.array(order[i : i + 50_000])).combine_chunks()
+        cols = [part.column(c).chunk(0) for c in range(5)]
+        yield pa.RecordBatch.from_arrays([cols[0].dictionary_decode(), *cols[1:], pa.array(buckets[order[i : i + 50_000]], pa.int64())], names=["term", key, "tf", "positions", "dl", "bucket"])
+
+
+def _written_rows(key: str):
+    """Of batches of packed runs: their postings, sorted some runs at a time."""
+
+    def run(batches):
+        got, n = [], 0
+        for b in batches:
+            for bucket, packed in zip(b.column(0).to_pylist(), b.column(1)):
+                t = pa.ipc.open_stream(packed.as_buffer()).read_all()
+                got.append((bucket, t))
+                n += t.num_rows
+                if n >= WRITE_ROWS:
+                    yield from _sorted_rows(got, key)
+                    got, n = [], 0
+        if got:
+            yield from _sorted_rows(got, key)
+
+    return run
+
+
+def _documents_of(key: str):
+    def run(batches):
+        for b in batches:
+            for packed in b.column(0):
+                for part in pa.ipc.open_stream(packed.as_buffer()).read_all().to_batches():
+                    yield pa.RecordBatch.from_arrays(part.columns, names=[key, "dl"])
+
+    return run
+
+
+@contextmanager
+def _open_files(spark: SparkSession, n: int):
+    """A task may write n folders at once, so that its rows aren't sorted by folder first."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    was = spark.conf.get(name)
+    spark.conf.set(name, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     """term and freq (occurrences)."""
     return docs.select(F.explode(tokens(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
@@ -74,6 +244,7 @@ class TextIndex:
         self.spark, self.key, self.buckets = spark, key, buckets
         self.segments: list[str] = []
         self.dead: str | None = None
+        self.n_dead = 0
         self.n, self.total = 0, 0
         self.kind = "long"
 
@@ -94,16 +265,25 @@ class TextIndex:
         """Write a segment."""
         path = scratch(self.spark, "text-index")
         self.kind = docs.schema[self.key].dataType.simpleString()
-        own = postings(docs, self.key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)))
-        self._dealt(own).write.partitionBy("bucket").parquet(f"{path}/postings")
-        docs.select(self.key, F.coalesce(F.size(tokens(text)), F.lit(0)).alias("dl")).withColumn("dl", F.greatest("dl", F.lit(0))).write.parquet(f"{path}/documents")
+        runs = docs.select(self.key, words(text).alias("_t")).mapInArrow(_text_runs(self.buckets), "bucket int, sub int, run binary")
+        runs = materialize(runs, "runs", 16 << 20)
+        runs.filter("bucket < 0").select("run").mapInArrow(_documents_of(self.key), self._schema("documents")).write.parquet(f"{path}/documents")
+        twice = self.spark.read.schema(self._schema("documents")).parquet(f"{path}/documents").groupBy(self.key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col(self.key).alias("_k"))
+        self._write(runs.filter("bucket >= 0"), path, twice if twice.take(1) else None)
+        discard(runs)
         self._terms(path)
         self.segments.append(path)
         self._count()
 
-    def _dealt(self, own: DataFrame) -> DataFrame:
-        """A bucket's terms go to several tasks, each sorted by term, and a frequent term's documents to several too; no range is sampled, which would make the postings twice."""
-        return own.repartition("bucket", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(4)), F.pmod(F.xxhash64(self.key), F.lit(4))).sortWithinPartitions("bucket", "term")
+    def _write(self, runs: DataFrame, path: str, twice: DataFrame | None = None) -> None:
+        """Postings from packed runs.  A bucket's runs go to several tasks, which sort some runs at a time.  twice: keys of several rows, whose postings of a term are one."""
+        rows = runs.repartition("bucket", "sub").select("bucket", "run").mapInArrow(_written_rows(self.key), self._schema("postings"))
+        if twice is not None:
+            same = rows[self.key].eqNullSafe(twice["_k"])
+            merged = rows.join(twice, same, "left_semi").groupBy("term", self.key).agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"), F.first("dl").alias("dl"), F.first("bucket").alias("bucket"))
+            rows = rows.join(twice, same, "left_anti").unionByName(merged).sortWithinPartitions("bucket", "term")
+        with _open_files(self.spark, self.buckets):
+            rows.write.partitionBy("bucket").parquet(f"{path}/postings")
 
     def _terms(self, path: str) -> None:
         written = self.spark.read.schema(self._schema("postings")).parquet(f"{path}/postings")
@@ -120,7 +300,10 @@ class TextIndex:
             out = d if out is None else out.unionByName(d)
         if out is None:
             raise ValueError("an index without a segment")
-        return out.join(self.spark.read.parquet(self.dead), self.key, "left_anti") if self.dead and dead else out
+        if not (self.dead and dead):
+            return out
+        gone = self.spark.read.parquet(self.dead)
+        return out.join(F.broadcast(gone) if self.n_dead <= DEAD_ROWS else gone, self.key, "left_anti")
 
     def documents(self) -> DataFrame:
         return self._read("documents")
@@ -137,13 +320,13 @@ class TextIndex:
         path = scratch(self.spark, "tombstones")
         own = keys.select(self.key).filter(F.col(self.key).isNotNull())
         (own.unionByName(self.spark.read.parquet(self.dead)) if self.dead else own).distinct().write.parquet(path)
-        self.dead = path
+        self.dead, self.n_dead = path, self.spark.read.parquet(path).count()
         self._count()
 
     def compact(self) -> None:
         """One segment without the removed documents."""
         path = scratch(self.spark, "text-index")
-        self._dealt(self._read("postings")).write.partitionBy("bucket").parquet(f"{path}/postings")
+        self._write(self._read("postings").select("term", F.col(self.key).alias("key"), "tf", "positions", "dl", "bucket").mapInArrow(_row_runs, "bucket int, sub int, run binary"), path)
         self.documents().write.parquet(f"{path}/documents")
         self._terms(path)
         self.segments, self.dead = [path], None
@@ -159,6 +342,11 @@ class TextIndex:
         buckets = sorted(set(self.spark.range(1).select(wanted).first()[0])) if each else []
         return d.filter(F.col("bucket").isin(buckets) & F.col("term").isin(each)).drop("bucket")
 
+    def _fitting(self, fits: Column) -> DataFrame:
+        """The postings of the terms that fit a condition.  The terms are found in the vocabulary; a few are then looked up, of many all postings are read."""
+        found = self._read("terms", dead=False).filter(fits).select("term").distinct().limit(NAMED_TERMS + 1).collect()
+        return self.hits([r.term for r in found]) if len(found) <= NAMED_TERMS else self._read("postings").filter(fits).drop("bucket")
+
     def _weighed(self, hits: DataFrame, terms: list[str] | None = None, kind: str = "bm25") -> DataFrame:
         """hits with _w, the weight of each posting; a term given twice counts twice.  The document frequencies, a row for each term that was asked for, are broadcast."""
         df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
@@ -210,7 +398,7 @@ class TextIndex:
 
     def _by_term(self, weight: Column, limit: int | None) -> DataFrame:
         """Sums of weight * tf; weight is null where a term doesn't fit."""
-        d = self._read("postings").select(self.key, "tf", weight.alias("_w")).filter("_w IS NOT NULL")
+        d = self._fitting(weight.isNotNull()).select(self.key, "tf", weight.alias("_w"))
         return self._top(d.groupBy(self.key).agg(F.sum(F.col("_w") * F.col("tf")).alias("score")), limit)
 
     def fuzzy(self, query: str, distance: int = 2, limit: int | None = None) -> DataFrame:
@@ -232,16 +420,17 @@ class TextIndex:
         return self._by_term(F.when(fits, 1.0), limit)
 
     def ngram_fuzzy(self, word: str, distance: int = 2, limit: int | None = None) -> DataFrame:
-        """Candidate terms' scores times their occurrences.  Candidates are joined by term: broadcast only if few."""
-        found = ngram_candidates(self.terms(), word, distance).select("term", "score")
-        d = self._read("postings").join(found, "term").groupBy(self.key).agg(F.sum(F.col("score") * F.col("tf")).alias("score"))
+        """Candidate terms' scores times their occurrences.  A few candidates are looked up; of many all postings are read and joined."""
+        found = materialize(ngram_candidates(self.terms(), word, distance).select("term", "score"), "candidates")
+        few = found.limit(NAMED_TERMS + 1).collect()
+        own = self.hits([r.term for r in few]).join(F.broadcast(found), "term") if len(few) <= NAMED_TERMS else self._read("postings").join(found, "term")
+        d = own.groupBy(self.key).agg(F.sum(F.col("score") * F.col("tf")).alias("score"))
         return self._top(d, limit)
 
     def boolean(self, query: str, limit: int | None = None, fields: DataFrame | None = None) -> DataFrame:
         """Documents that fit the query; the score is the BM25 of its terms, 0 where a document holds none.  fields: key and columns for field:value and ranges."""
         parsed = BooleanQuery(query)
-        d = self._read("postings").filter(parsed.any_term())
-        w = self._weighed(d)
+        w = self._weighed(self._fitting(parsed.any_term()))
         flags = w.groupBy(self.key).agg(F.sum("_w").alias("score"), *parsed.flags())
         every = self.documents().select(self.key)
         if fields is not None:

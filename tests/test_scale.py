@@ -5,6 +5,7 @@ import re
 import duckdb
 import pytest
 
+from strataform.operators import search
 from strataform.plans import catalogue
 
 
@@ -25,3 +26,57 @@ def test_lateral_of_many_files(spark, sf_dir, tmp_path, same_rows, name):
     # one machine happens to keep an order that a window doesn't ask for; several don't
     windows = re.findall(r"row_number\(\) windowspecdefinition\((.*?)specifiedwindowframe", out._jdf.queryExecution().optimizedPlan().toString())
     assert windows and all(re.search("ASC|DESC", w) for w in windows)
+
+
+def shuffled_rows(spark, job) -> int:
+    """Rows that the stages of a job write to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counted", "")
+    try:
+        job()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = {s for j in tracker.getJobIdsForGroup("counted") for s in tracker.getJobInfo(j).stageIds}
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    return sum(store.lastStageAttempt(int(s)).shuffleWriteRecords() for s in stages)
+
+
+DOCS = [(1, "apache License licence, apache"), (2, None), (3, ""), (4, "Licence apache the Straße_-x Ünï И ΣΑΣ"), (4, "licence more apache"), (None, "apache"), (None, "apache x apache yy"), (7, "lic " * 300), (8, "é" * 40 + " " + "b" * 64 + " " + "c" * 65 + " " + "a")]
+
+
+def test_index_of_odd_documents(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    index = search.TextIndex.build(docs)
+    told = lambda d: sorted(((r.term, r.doc_id, r.tf, tuple(r.positions)) for r in d.collect()), key=repr)
+    want = told(search.postings(docs))
+    assert told(index.postings()) == want and index.n == len(DOCS) and index.total == sum(x[2] for x in want)
+    index.remove(spark.createDataFrame([(1,)], "doc_id long"))
+    index.compact()
+    assert told(index.postings()) == [x for x in want if x[1] != 1]
+
+
+def test_index_shuffles_runs(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    made = []
+    moved = shuffled_rows(spark, lambda: made.append(search.TextIndex.build(docs)))
+    index = made[0]
+    terms = index.terms().count()
+    # the documents' keys, the vocabulary and a few runs; never a row for each posting
+    assert moved < index.postings().count() / 2 + 4 * terms + index.n, (moved, terms)
+    # compacting after a removal shuffles the vocabulary and runs too
+    index.remove(docs.filter("doc_id % 5 = 1"))
+    assert shuffled_rows(spark, index.compact) < index.postings().count() / 2 + 4 * terms
+
+
+@pytest.mark.parametrize("ask", ["fuzzy", "wildcard", "ngram_fuzzy", "boolean", "many"])
+def test_terms_are_looked_up(spark, sf_dir, monkeypatch, ask):
+    """Terms that a condition finds are read from their buckets; if there are too many, all postings are, with the same result."""
+    index = search.TextIndex.build(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    run = {"fuzzy": lambda: index.fuzzy("licence"), "wildcard": lambda: index.wildcard("*icens*"), "ngram_fuzzy": lambda: index.ngram_fuzzy("license"), "boolean": lambda: index.boolean("licence~1 -apache"), "many": lambda: index.wildcard("*")}[ask]
+    few = run()
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert ask == "many" or re.search(r"bucket#\d+L? (IN|INSET|=)", plan), plan
+    got = sorted((r.doc_id, round(r.score, 9)) for r in few.collect())
+    monkeypatch.setattr(search, "NAMED_TERMS", 0)
+    assert got and got == sorted((r.doc_id, round(r.score, 9)) for r in run().collect())
