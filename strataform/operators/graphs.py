@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
+import numpy as np
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -123,29 +125,16 @@ class Graph:
             ranks = ranks.select("id", "_dangles").join(got, "id", "left").select("id", "_dangles", ((1 - damping) / max(1, n) + damping * (F.coalesce("g", F.lit(0.0)) + seen.get["lost"] / max(1, n))).alias("rank"))
 
     def dfs(self, start, max_depth: int | None = None) -> DataFrame:
-        """id and position of a stack's preorder, the largest neighbour first; of any depth, if none is given.  Serial by nature: one task walks what BFS reaches."""
-        reached = self.bfs(start, max_depth).select(F.col("id").alias("src"))
-        own = F.lit(start).cast(self.edges.schema["src"].dataType)
-        rows = self.edges.join(reached, "src").select("src", "dst").distinct().unionByName(self.nodes.sparkSession.range(1).select(own.alias("src"), own.alias("dst")))
-        kind = rows.schema["src"].dataType.simpleString()
+        """id and position of a stack's preorder, the largest neighbour first; of any depth, if none is given.
 
-        def walk(pdf):
-            import pandas as pd
-
-            near: dict = {}
-            for s, t in sorted(zip(pdf["src"], pdf["dst"])):
-                near.setdefault(s, []).append(t)
-            seen, order, stack = set(), [], [(start, 0)]
-            while stack:
-                at, depth = stack.pop()
-                if at in seen or (max_depth is not None and depth > max_depth):
-                    continue
-                seen.add(at)
-                order.append(at)
-                stack += [(t, depth + 1) for t in near.get(at, []) if t not in seen]
-            return pd.DataFrame({"id": order, "position": range(len(order))})
-
-        return rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(walk, f"id {kind}, position long")
+        Serial by nature: one task walks what BFS reaches.  It reads the nodes and then their edges in order, and holds four bytes an edge.
+        """
+        reached = materialize(self.bfs(start, max_depth).select("id").filter("id IS NOT NULL"), "reached")
+        kind = reached.schema["id"].dataType.simpleString()
+        near = self.edges.select("src", "dst").join(reached.select(F.col("id").alias("src")), "src").join(reached.select(F.col("id").alias("dst")), "dst").select("src", "dst").distinct()
+        rows = reached.select(F.col("id").alias("src"), F.lit(None).cast(kind).alias("dst")).unionByName(near)
+        one = rows.repartition(1).sortWithinPartitions(F.col("dst").isNotNull(), "src", "dst")
+        return one.mapInArrow(_walk(start, max_depth), f"id {kind}, position long")
 
     def louvain(self, passes: int = 10) -> DataFrame:
         """id and community (its smallest id): one level of greedy moves.
@@ -316,6 +305,54 @@ class Graph:
         return found.join(self.nodes.select("id", F.col("label").alias("_node_label")), "id", "left").withColumnRenamed("id", "_node_id")
 
 
+def _walk(start, max_depth: int | None):
+    """Of batches of (src, dst), first the nodes (null dst) and then the edges, each in order: the preorder from start."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        nodes, counts, near = [], None, array("i")
+        for b in batches:
+            src, dst = b.column(0), b.column(1)
+            if dst.null_count:
+                nodes.append(src.filter(dst.is_null()))
+                src, dst = src.filter(dst.is_valid()), dst.filter(dst.is_valid())
+            if len(src):
+                if counts is None:
+                    ids = pa.concat_arrays(nodes)
+                    names = ids.to_numpy(zero_copy_only=False)
+                    counts = np.zeros(len(names), dtype=np.int64)
+                at, n = np.unique(np.searchsorted(names, src.to_numpy(zero_copy_only=False)), return_counts=True)
+                counts[at] += n
+                near.frombytes(np.searchsorted(names, dst.to_numpy(zero_copy_only=False)).astype(np.int32).tobytes())
+        if not nodes:
+            return
+        if counts is None:
+            ids = pa.concat_arrays(nodes)
+            names, counts = ids.to_numpy(zero_copy_only=False), np.zeros(len(ids), dtype=np.int64)
+        ends = np.cumsum(counts)
+        begin, left = memoryview(ends - counts), memoryview(ends.copy())  # of each node, the edges not yet looked at end at left
+        seen, stack = bytearray(len(names)), array("i", [int(np.searchsorted(names, start))])
+        order = array("i", stack)
+        seen[stack[0]] = 1
+        while stack:
+            at = stack[-1]
+            if left[at] == begin[at] or (max_depth is not None and len(stack) > max_depth):
+                stack.pop()
+                continue
+            left[at] -= 1
+            to = near[left[at]]
+            if not seen[to]:
+                seen[to] = 1
+                stack.append(to)
+                order.append(to)
+        for i in range(0, len(order), 50_000):
+            part = np.array(order[i : i + 50_000])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(part)), pa.array(np.arange(i, i + len(part)))], names=["id", "position"])
+
+    return run
+
+
 def similarity_json(pairs: DataFrame) -> str:
     return json.dumps([{"a": r.a, "b": r.b, "score": r.similarity} for r in pairs.orderBy("a", "b").toLocalIterator()])
 

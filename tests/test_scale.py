@@ -5,10 +5,11 @@ import uuid
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strataform.operators import search, vectors
+from strataform.operators import graphs, search, vectors
 from strataform.plans import catalogue
 
 
@@ -121,3 +122,38 @@ def test_neighbours_shuffle_few_rows(spark, tmp_path, kind):
         true = {(r.query_id, r.vec_id) for r in vectors.knn_batch(e, q, 10).collect()}
         assert len({(r.query_id, r.vec_id) for r in found} & true) >= 0.9 * len(true)
         assert all(abs(r.distance - np.sqrt(((x[r.query_id] - x[r.vec_id]) ** 2).sum())) < 1e-12 for r in found)
+
+
+def test_dfs_holds_few_bytes_an_edge():
+    """A walk over 400,000 edges, read in batches; against a walk with sets and lists."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    e = np.unique(rng.integers(0, 20_000, size=(400_000, 2)), axis=0)
+    near = {}
+    for a, b in e.tolist():
+        near.setdefault(a, []).append(b)
+    want, seen, todo = [], set(), [7]
+    while todo:
+        at = todo.pop()
+        if at not in seen:
+            seen.add(at)
+            want.append(at)
+            todo += near.get(at, [])
+    own = e[np.isin(e[:, 0], want)]
+    nodes = pa.RecordBatch.from_arrays([pa.array(sorted(want)), pa.nulls(len(want), pa.int64())], names=["src", "dst"])
+    batches = [nodes, *(pa.RecordBatch.from_arrays([pa.array(own[i : i + 10_000, 0]), pa.array(own[i : i + 10_000, 1])], names=["src", "dst"]) for i in range(0, len(own), 10_000))]
+    tracemalloc.start()
+    got = [x for b in graphs._walk(7, None)(batches) for x in b.column(0).to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want and most < 16 * len(own), most / len(own)
+
+
+def test_dfs_is_read_in_batches(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "a"), ("c", "b"), ("x", "y")], "src string, dst string")
+    g = graphs.Graph(spark.createDataFrame([(x,) for x in "abcdxy"], "id string"), edges)
+    out = g.dfs("a")
+    assert [r.id for r in out.orderBy("position").collect()] == ["a", "c", "b", "d"]
+    assert [r.id for r in g.dfs("a", 1).orderBy("position").collect()] == ["a", "c", "b"] and [r.id for r in g.dfs("y").collect()] == ["y"]
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()  # a group would be one batch
