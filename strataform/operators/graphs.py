@@ -149,15 +149,17 @@ class Graph:
         for p in range(passes):
             moves = 0
             for colour in (0, 1):
-                turn = F.pmod(F.xxhash64("id", F.lit(p)), F.lit(2)) == colour
-                weight = state.groupBy("c").agg(F.sum("deg").alias("weight"))
-                to = hops.filter("src <> dst").join(state.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id"), F.col("c").alias("to")).agg(F.sum("w").alias("w"))
-                own = state.filter(turn).select("id", F.col("c").alias("own"), "deg")
-                to = to.join(own, "id").unionByName(own.select("id", F.col("own").alias("to"), F.lit(0.0).alias("w"), "own", "deg")).groupBy("id", "to").agg(F.max("w").alias("w"), F.first("own").alias("own"), F.first("deg").alias("deg"))
-                gain = F.col("w") - (F.col("weight") - F.when(F.col("to") == F.col("own"), F.col("deg")).otherwise(0.0)) * F.col("deg") / total
-                rated = to.join(weight, to["to"] == weight["c"]).select("id", "own", "to", F.round(gain, 9).alias("gain"))
-                best = rated.groupBy("id").agg(F.max(F.struct("gain", (F.col("to") == F.col("own")).alias("stays"))).alias("top"), F.max(F.when(F.col("to") == F.col("own"), F.col("gain"))).alias("stay"))
-                go = rated.join(best.filter("top.gain > stay"), "id").filter("gain = top.gain").groupBy("id").agg(F.min("to").alias("to"))
+                turn = lambda x: F.pmod(F.xxhash64(x, F.lit(p)), F.lit(2)) == colour
+                told = state.join(state.groupBy("c").agg(F.sum("deg").alias("weight")), "c")
+                # only the edges of nodes whose turn it is; they are dealt by node once, for the sums and for the choice
+                to = hops.filter(turn("src") & (F.col("src") != F.col("dst"))).join(told.select(F.col("id").alias("dst"), F.col("c").alias("to"), "weight"), "dst").select(F.col("src").alias("id"), "to", "w", "weight")
+                to = to.repartition("id").groupBy("id", "to").agg(F.sum("w").alias("w"), F.first("weight").alias("weight"))
+                rated = to.join(told.filter(turn("id")).select("id", F.col("c").alias("own"), "deg", F.col("weight").alias("own_weight")), "id")
+                gain = F.when(F.col("to") != F.col("own"), F.round(F.col("w") - F.col("weight") * F.col("deg") / total, 9))
+                within = F.greatest(F.max(F.when(F.col("to") == F.col("own"), F.col("w"))), F.lit(0.0))
+                stay = F.round(within - (F.first("own_weight") - F.first("deg")) * F.first("deg") / total, 9)
+                best = rated.groupBy("id").agg(F.min_by("to", F.when(gain.isNotNull(), F.struct(-gain, F.col("to")))).alias("to"), F.max(gain).alias("top"), stay.alias("stay"))
+                go = best.filter("top > stay").select("id", "to")
                 new = materialize(state.join(go, "id", "left").select("id", "deg", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("_moved")), "communities")
                 moves += new.filter("_moved").count()
                 discard(state)

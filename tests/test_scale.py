@@ -157,3 +157,12 @@ def test_dfs_is_read_in_batches(spark):
     assert [r.id for r in out.orderBy("position").collect()] == ["a", "c", "b", "d"]
     assert [r.id for r in g.dfs("a", 1).orderBy("position").collect()] == ["a", "c", "b"] and [r.id for r in g.dfs("y").collect()] == ["y"]
     assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()  # a group would be one batch
+
+
+def test_louvain_deals_edges_seldom(spark):
+    """One pass: the edges of a turn's nodes go to a join and to their nodes, and no more."""
+    e = np.unique(np.random.default_rng(2).integers(0, 600, size=(12_000, 2)), axis=0)
+    e = e[e[:, 0] < e[:, 1]]
+    g = graphs.Graph(spark.range(600), spark.createDataFrame(e.tolist(), "src long, dst long").withColumn("weight", F.lit(1.0)))
+    moved = shuffled_rows(spark, lambda: g.louvain(1).collect())
+    assert moved < 7 * len(e), moved / len(e)
